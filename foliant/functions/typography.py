@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.nfc import nfc
-from foliant.functions.text import STRIP_CLASS, let, strip
+from foliant.functions.text import LINE_SPACE, let, strip
 
 # Digraphs that broken fonts leave half lower-case in all-caps words, and the
 # characters that make up a word there.
@@ -15,7 +15,7 @@ WORD_CLASS = r"\p{L}\p{M}‘’'ʼ`"
 
 
 def drop_zero_width(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\u200b-\u200d\ufeff\u00ad]+", "")
+    return F.regexp_replace(c, r"[\u00ad-\ufeff&&[\u200b-\u200d\ufeff\u00ad]]+", "")
 
 
 def normalise_newlines(c: Column) -> Column:
@@ -23,7 +23,8 @@ def normalise_newlines(c: Column) -> Column:
 
 
 def normalise_spaces(c: Column) -> Column:
-    irregular = r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+    # The range in front settles ASCII with one test.
+    irregular = r"[\u00a0-\u3000&&[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]]"
     return F.regexp_replace(c, irregular, " ")
 
 
@@ -39,9 +40,9 @@ def unwrap_lines(c: Column) -> Column:
 def squeeze_lines(c: Column) -> Column:
     """Collapse whitespace runs within each line, then strip each line."""
     # A lone space is already right, so only longer runs and other whitespace are rewritten.
-    runs = F.regexp_replace(c, r"(?U)[\s&&[^\n ]][\s&&[^\n]]*| [\s&&[^\n]]+", " ")
-    edge = STRIP_CLASS[:-1] + r"&&[^\n]]"
-    return F.regexp_replace(runs, rf"(?U)(?<![^\n]){edge}+|{edge}+(?=\n|\z)", "")
+    runs = F.regexp_replace(c, rf"[{LINE_SPACE}][ {LINE_SPACE}]*| [ {LINE_SPACE}]+", " ")
+    edge = rf"[ {LINE_SPACE}\x1c-\x1f]+"
+    return F.regexp_replace(runs, rf"(?<![^\n]){edge}|{edge}(?=\n|\z)", "")
 
 
 def fix_caps_digraphs(c: Column) -> Column:
