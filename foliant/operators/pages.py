@@ -70,8 +70,8 @@ def sampled_pages(pages: DataFrame, size: int = SAMPLE_PAGES) -> DataFrame:
     ).cast("int")
     spots = F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), step))
     return totals.where(F.col("total") > 0).select(
-        "doc_id", "total", F.size(spots).alias("sampled"), (F.explode(spots) + 1).alias("page_no")
-    )
+        "doc_id", "total", F.size(spots).alias("sampled"), F.explode(spots).alias("_spot")
+    ).select("doc_id", "total", "sampled", (F.col("_spot") + 1).alias("page_no"))
 
 
 def route_lanes(pages: DataFrame, forced: Column | None = None) -> DataFrame:
