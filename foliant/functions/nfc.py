@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 # marks, Cyrillic without its combining marks, and general punctuation without the two
 # quads that decompose.
 NFC_SAFE = r"\x00-\u02ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e"
+# The same from the other side; the range in front settles most characters with one test.
+_MAY_CHANGE = rf"[\u0300-\x{{10ffff}}&&[^{NFC_SAFE}]]"
 
 
 @F.pandas_udf(T.StringType())
@@ -22,4 +24,4 @@ def nfc_udf(texts: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """NFC form of ``c``. Only text that can change is sent to Python; the rest goes as NULL."""
-    return F.coalesce(nfc_udf(F.when(c.rlike(f"[^{NFC_SAFE}]"), c)), c)
+    return F.coalesce(nfc_udf(F.when(c.rlike(_MAY_CHANGE), c)), c)

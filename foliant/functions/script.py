@@ -101,9 +101,8 @@ def _expand_ye(c: Column) -> Column:
 def _mark_caps(c: Column) -> Column:
     """Put CAPS_MARK before every character of a Cyrillic run that has no lower-case letter."""
     caps = rf"[{CYRILLIC}&&[^\p{{Ll}}]]"
-    walk = (
-        rf"(?:(?<![{CYRILLIC}])(?={caps}++(?![{CYRILLIC}]))|(?<=[{CYRILLIC}])\G)({caps})"
-    )
+    first = rf"(?<![{CYRILLIC}])(?={caps}++(?![{CYRILLIC}]))"
+    walk = rf"(?={caps})(?:{first}|(?<=[{CYRILLIC}])\G)({caps})"
     return F.regexp_replace(c, walk, CAPS_MARK + "$1")
 
 

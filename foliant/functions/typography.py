@@ -29,20 +29,25 @@ def normalise_spaces(c: Column) -> Column:
 
 
 def join_hyphenation(c: Column) -> Column:
-    # The lookbehind only keeps the search from restarting inside a long word.
-    return F.regexp_replace(c, r"(?<!\p{L})(\p{L}+)-[ \t]*\n[ \t]*(\p{L}+)", "$1$2")
+    # The hyphen leads the pattern, so letters are looked at only around one. The word after a
+    # join is used up: a hyphen right behind it, at \G, does not join again.
+    hyphen = r"-(?<=\p{L}-)(?<!\G-)"
+    return F.regexp_replace(c, hyphen + r"[ \t]*\n[ \t]*(\p{L}+)", "$1")
 
 
 def unwrap_lines(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=[^\n])\n(?=[^\n])", " ")
+    return F.regexp_replace(c, r"\n(?<=[^\n]\n)(?=[^\n])", " ")
 
 
 def squeeze_lines(c: Column) -> Column:
     """Collapse whitespace runs within each line, then strip each line."""
-    # A lone space is already right, so only longer runs and other whitespace are rewritten.
-    runs = F.regexp_replace(c, rf"[{LINE_SPACE}][ {LINE_SPACE}]*| [ {LINE_SPACE}]+", " ")
-    edge = rf"[ {LINE_SPACE}\x1c-\x1f]+"
-    return F.regexp_replace(runs, rf"(?<![^\n]){edge}|{edge}(?=\n|\z)", "")
+    # The class in front settles letters with two tests.
+    other = rf"[\t\x0b\x0c\r\x85\xa0\u1680-\u3000&&[{LINE_SPACE}]]"
+    runs = F.regexp_replace(F.regexp_replace(c, other, " "), " {2,}", " ")
+    # Only these can be left at a line's ends; the ends of the text need no pattern.
+    edge = r"[ \x1c-\x1f]+"
+    inner = F.regexp_replace(F.regexp_replace(runs, edge + r"\n", "\n"), r"\n" + edge, "\n")
+    return F.btrim(inner, F.lit(" \x1c\x1d\x1e\x1f"))
 
 
 def fix_caps_digraphs(c: Column) -> Column:
@@ -50,6 +55,8 @@ def fix_caps_digraphs(c: Column) -> Column:
     caps = rf"[{WORD_CLASS}&&[^\p{{Ll}}]]"
     digraph = "(?:" + "|".join(DIGRAPHS) + ")"
     broken_word = rf"(?<![{WORD_CLASS}]){caps}*(?:{digraph}{caps}*)+(?![{WORD_CLASS}])"
+    # Necessary for one and cheap to look for: a digraph with no lower-case letter behind it.
+    broken_end = rf"{digraph}(?:{digraph}|{caps})*+(?![{WORD_CLASS}])"
 
     def repair(word: Column) -> Column:
         fixed = word
@@ -61,7 +68,12 @@ def fix_caps_digraphs(c: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(rf"([{WORD_CLASS}]+|[^{WORD_CLASS}]+)"), F.lit(1))
         return F.array_join(F.transform(tokens, repair), "")
 
-    return let(c, lambda text: F.when(text.rlike(broken_word), by_words(text)).otherwise(text))
+    return let(
+        c,
+        lambda text: F.when(
+            text.rlike(broken_end) & text.rlike(broken_word), by_words(text)
+        ).otherwise(text),
+    )
 
 
 def collapse_blank_lines(c: Column) -> Column:
