@@ -86,10 +86,12 @@ def read_grounded(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_markdown(df: DataFrame, path: str) -> None:
-    """One text file per Markdown path: a folder of that name with one part in it."""
+    """One text file per Markdown path: a folder of that name with one part in it.
+
+    Grounded Markdown ends with a newline, and so does every record that Spark writes as text.
+    """
     (
-        df.select(F.col("md_path").alias("md_path"), F.col("markdown").alias("value"))
+        df.select("md_path", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
         .repartition("md_path")
-        .write.mode("overwrite").partitionBy("md_path").option("lineSep", "")
-        .text(path)
+        .write.mode("overwrite").partitionBy("md_path").text(path)
     )
