@@ -1,7 +1,8 @@
 """Catalog joins, lists and look-ups over modules, topics, materials and audit logs.
 
-Column names follow ``foliant.schemas``. Dimension tables are joined without a broadcast hint:
-Spark broadcasts them when their measured size allows it and shuffles otherwise.
+Column names follow ``foliant.schemas``. Modules, topics and users are joined without a broadcast
+hint: Spark broadcasts them when their measured size allows it, and otherwise shuffles and splits
+a frequent key's partition (adaptive skew join). Where both sides are large, ``lookup`` is used.
 """
 
 from __future__ import annotations
@@ -40,21 +41,22 @@ def material_context(
     materials: DataFrame, topics: DataFrame, modules: DataFrame, users: DataFrame | None = None
 ) -> DataFrame:
     """Materials with topic and module, and the uploader where one is known."""
-    found = lookup(
-        materials, topic_context(topics, modules), ["topic_id"], "inner", spread=["material_id"]
-    )
+    found = materials.join(topic_context(topics, modules), "topic_id")
     if users is None:
         return found
-    mail = users.select(F.col("user_id").alias("uploaded_by"), F.col("email").alias("uploaded_by_email"))
-    return lookup(found, mail, ["uploaded_by"], "left", spread=["material_id"])
+    mail = users.select(
+        F.col("user_id").alias("uploaded_by"), F.col("email").alias("uploaded_by_email")
+    )
+    return found.join(mail, "uploaded_by", "left")
 
 
 def audit_context(audit: DataFrame, materials: DataFrame, modules: DataFrame) -> DataFrame:
     """Audit rows with file name and module code; both references may be missing."""
     names = materials.select("material_id", F.col("original_filename").alias("material_filename"))
     codes = modules.select("module_id", F.col("code").alias("module_code"))
+    # Both sides are large and one material can have most of the events.
     named = lookup(audit, names, ["material_id"], "left", spread=["log_id"])
-    return lookup(named, codes, ["module_id"], "left", spread=["log_id"])
+    return named.join(codes, "module_id", "left")
 
 
 def module_document(modules: DataFrame, topics: DataFrame, stats: DataFrame) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import grounding
 from foliant.functions.script import GATHERED_SAMPLE
-from foliant.operators.ordering import bucket_of, number_rows, total_before
+from foliant.operators.ordering import bucket_of, number_rows
 from foliant.operators.rows import each
 
 # Sections of one document written into one Markdown cell. Shorter documents are one part;
 # the parts of a longer one concatenate to its whole Markdown.
 SECTIONS_PER_PART = 1024
+# Sections per bucket when the head of a document is looked for.
+SAMPLE_BUCKET = 256
 
 META = ["module_code", "module_name", "topic_code", "topic_name", "type", "original_filename"]
 
@@ -24,55 +26,85 @@ def segment_rows(sections: DataFrame, marker: Column, keys: list[str]) -> DataFr
     return each(sections, columns, segments, "_pos", "segment").select(*keys, "ord", (F.col("_pos") + 1).alias("segment_no"), "marker", "segment")
 
 
-def head_sample(sections: DataFrame, size: int = GATHERED_SAMPLE) -> DataFrame:
-    """Leading sections of each document joined by a space, cut at ``size``: the script sample.
+def document_facts(sections: DataFrame, size: int = GATHERED_SAMPLE) -> DataFrame:
+    """Per document: number of chunks, first and last position, and its script sample.
 
-    Sections are not blank, so fewer than ``size / 2`` of them can reach the sample, and they
-    are clipped to it before they are gathered.
+    ``sections`` is ``(doc_id, ord, text)`` with text that is not blank. The sample is the
+    leading sections joined by a space, cut at ``size``. Sections are counted and measured per
+    bucket; only the buckets that reach into the sample are then ordered, and of those fewer
+    than ``size / 2`` sections, clipped to it, are gathered.
     """
-    clipped = sections.select(
-        "doc_id", "ord", F.length("text").alias("_size"),
-        F.substring("text", 1, size).alias("text"),
+    cut = sections.select("doc_id", "ord", "text").withColumn(
+        "_bucket", bucket_of("ord", SAMPLE_BUCKET)
+    )
+    measured = cut.groupBy("doc_id", "_bucket").agg(
+        F.sum(F.length("text") + 1).alias("_size"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min("ord").alias("_first"),
+        F.max("ord").alias("_last"),
+    )
+    whole = Window.partitionBy("doc_id")
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = measured.select(
+        "doc_id", "_bucket",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("chunk_count"),
+        F.min("_first").over(whole).alias("first_ord"),
+        F.max("_last").over(whole).alias("last_ord"),
+    ).where(F.col("_before") < size)
+
+    within = Window.partitionBy("doc_id", "_bucket").orderBy("ord").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    leading = (
+        cut.select(
+            "doc_id", "_bucket", "ord", F.length("text").alias("_size"),
+            F.substring("text", 1, size).alias("text"),
+        )
+        .join(heads, ["doc_id", "_bucket"])
+        .withColumn("_at", F.coalesce(F.sum(F.col("_size") + 1).over(within), F.lit(0)))
+        .where(F.col("_at") + F.col("_before") < size)
     )
-    leading = total_before(
-        clipped, ["doc_id"], [F.col("ord")], bucket_of("ord"), F.col("_size") + 1, "_at"
-    ).where(F.col("_at") < size)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return leading.groupBy("doc_id").agg(
+    return leading.groupBy("doc_id", "chunk_count", "first_ord", "last_ord").agg(
         F.substring(F.array_join(F.transform(ordered, lambda s: s["text"]), " "), 1, size)
         .alias("sample")
     )
 
 
-def assemble(sections: DataFrame, meta: DataFrame) -> DataFrame:
-    """Grounded Markdown of documents given as section rows, in parts of bounded size.
+def with_facts(sections: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join one row per document (with ``last_ord``) to its sections, part by part.
 
-    ``sections`` is ``(doc_id, ord, label, text)`` with finished text, ``meta`` one row per
-    document with ``META``, ``script`` and ``chunk_count``. Each (document, part) is one group,
-    so a long document is assembled by many tasks.
+    The document's row is repeated once per part, so no join key covers a whole book.
     """
+    last = F.floor(F.col("last_ord") / SECTIONS_PER_PART).cast("long")
+    per_part = facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     part = F.floor(F.col("ord") / SECTIONS_PER_PART).cast("long")
-    # The metadata row is repeated once per part, so the join key never covers a whole book.
-    per_part = meta.withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"),
-                                     F.floor(F.col("last_ord") / SECTIONS_PER_PART).cast("long")))
-    )
-    parts = sections.withColumn("part", part).join(per_part, ["doc_id", "part"])
+    return sections.withColumn("part", part).join(per_part, ["doc_id", "part"])
+
+
+def assemble(sections: DataFrame) -> DataFrame:
+    """Grounded Markdown of documents given as section rows, in parts of bounded size.
+
+    ``sections`` is ``(doc_id, part, ord, label, text)`` with finished text, ``META``,
+    ``script``, ``chunk_count`` and ``first_ord``. Each (document, part) is one group, so a
+    long document is assembled by many tasks.
+    """
     marker = grounding.build_marker(
         F.col("original_filename"), F.col("label"), F.col("topic_code"), F.col("type")
     )
-    blocks = (
-        parts.withColumn("_segments", grounding.split_for_grounding(F.col("text")))
-        .select(
-            "doc_id", "part", "ord", "script", "chunk_count", "first_part", *META,
-            grounding.section_block(F.col("label"), marker, F.col("_segments")).alias("_block"),
-            grounding.marker_count(F.col("_segments")).alias("_markers"),
-        )
+    document = ["doc_id", "part", "script", "chunk_count", "first_ord", *META]
+    blocks = sections.withColumn(
+        "_segments", grounding.split_for_grounding(F.col("text"))
+    ).select(
+        *document, "ord",
+        grounding.section_block(F.col("label"), marker, F.col("_segments")).alias("_block"),
+        grounding.marker_count(F.col("_segments")).alias("_markers"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("ord", "_block")))
     # Every block is preceded by a newline: the head ends where the first block begins.
     body = F.array_join(F.transform(ordered, lambda b: F.concat(F.lit("\n"), b["_block"])), "")
-    grouped = blocks.groupBy("doc_id", "part", "script", "chunk_count", "first_part", *META).agg(
+    grouped = blocks.groupBy(*document).agg(
         body.alias("_body"), F.sum("_markers").cast("long").alias("marker_count")
     )
     head = grounding.frontmatter(
@@ -87,7 +119,7 @@ def assemble(sections: DataFrame, meta: DataFrame) -> DataFrame:
         },
         F.col("chunk_count"),
     )
-    first = F.col("part") == F.col("first_part")
+    first = F.col("part") == F.floor(F.col("first_ord") / SECTIONS_PER_PART)
     markdown = F.concat(F.when(first, head).otherwise(""), "_body")
     return grouped.select(
         "doc_id", "part", "script", "chunk_count", "marker_count",

@@ -87,36 +87,41 @@ def lookup(
     keys: list[str],
     how: str = "left",
     spread: list[str] | None = None,
-    salts: int = 64,
-    hot_share: float = 0.001,
+    hot_rows: int = 1_000_000,
+    hot_keys: int = 1000,
 ) -> DataFrame:
     """Join to at most one right row per key when some left keys may be very frequent.
 
-    Keys with more than ``hot_share`` of the left rows are spread over ``salts`` partitions by
-    a hash of the ``spread`` columns, and their right rows are repeated once per salt. At most
-    ``1 / hot_share`` keys can be that frequent, so the broadcast list of them is bounded.
+    The most frequent keys, at most ``hot_keys`` of them and only such with ``hot_rows`` or
+    more, are broadcast with their right rows: a list of fixed maximal length. Left rows of
+    those keys are served from it and, like rows without a key, go through the shuffle of the
+    remaining join under a hash of the ``spread`` columns, so no task gets all of them. A key
+    that is not on the list is either small or one of very many.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    all_rows = counts.agg(F.sum("_n").alias("_all"))
-    hot = (
-        counts.where(F.col("_n") > F.lit(hot_share) * all_rows.scalar())
-        .select(*keys, F.lit(True).alias("_hot"))
+    values = [c for c in right.columns if c not in keys]
+    frequent = (
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+        .orderBy(F.desc("_n"), *keys).limit(hot_keys).select(*keys)
     )
-    no_key = F.lit(False)
+    row = F.struct(F.lit(True).alias("found"), *values)
+    served = right.join(F.broadcast(frequent), keys).select(*keys, row.alias("_near"))
+    listed = frequent.join(F.broadcast(served), keys, "left").withColumn("_hot", F.lit(True))
+
+    staged = left.join(F.broadcast(listed), keys, "left")
+    elsewhere = F.col("_hot").isNotNull()
     for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    salt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
-    salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        elsewhere = elsewhere | F.col(key).isNull()
+    far_keys = {f"_far_{key}": F.when(~elsewhere, F.col(key)) for key in keys}
+    apart = F.when(elsewhere, F.xxhash64(*(spread or left.columns))).otherwise(F.lit(0))
+    staged = staged.withColumns({**far_keys, "_salt": apart})
+    far = right.select(
+        *[F.col(key).alias(f"_far_{key}") for key in keys],
+        F.lit(0).cast("long").alias("_salt"),
+        row.alias("_row"),
     )
-    salted_right = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+    joined = staged.join(far, [*far_keys, "_salt"], "left").withColumn(
+        "_row", F.coalesce("_near", "_row")
     )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    if how == "inner":
+        joined = joined.where("_row.found")
+    return joined.select(*left.columns, *[F.col("_row")[v].alias(v) for v in values])

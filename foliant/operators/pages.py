@@ -114,30 +114,33 @@ def running_lines(
 
     Only pages with recognised text count, both as evidence and as the total.
     """
+    return _running(pages, share, min_pages).select("doc_id", "line", "pages")
+
+
+def _running(pages: DataFrame, share: float, min_pages: int) -> DataFrame:
     filled = pages.where(F.col("text") != "")
-    totals = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_total"))
+    totals = filled.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_total"), F.max("page_no").alias("_last_page")
+    )
     counts = (
         each(filled, ["doc_id"], ocrtext.edge_candidates(F.col("text")), "_at", "line")
         .groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("pages"))
         # The lower limit needs no total, so one-off lines stop here, before the join.
         .where(F.col("pages") >= min_pages)
     )
-    return (
-        counts.join(totals, "doc_id")
-        .where((F.col("_total") >= RUNNING_MIN_DOCUMENT) & (F.col("pages") >= F.col("_total") * share))
-        .drop("_total")
+    enough = F.col("pages") >= F.col("_total") * share
+    return counts.join(totals, "doc_id").where(
+        (F.col("_total") >= RUNNING_MIN_DOCUMENT) & enough
     )
 
 
 def _with_running(pages: DataFrame) -> DataFrame:
     # A page names at most two lines and a running line is on a fifth of the pages, so a
     # document has at most ten of them.
-    lines = running_lines(pages).groupBy("doc_id").agg(F.collect_set("line").alias("_running"))
-    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("_last_page"))
+    lines = _running(pages, RUNNING_SHARE, RUNNING_MIN_PAGES)
+    per_doc = lines.groupBy("doc_id", "_last_page").agg(F.collect_set("line").alias("_running"))
     none = F.array().cast("array<string>")
-    return lookup_by_document(pages, lines.join(last, "doc_id")).withColumn(
-        "_running", F.coalesce("_running", none)
-    )
+    return lookup_by_document(pages, per_doc).withColumn("_running", F.coalesce("_running", none))
 
 
 def peel_pages(pages: DataFrame) -> DataFrame:
@@ -236,13 +239,13 @@ def page_warnings(
     Without the engine there are no results, and every page is checked for being sparse.
     """
     texts = strip(F.coalesce(F.col("text"), F.lit("")))
-    layer = layer.withColumn("text", texts)
+    layer = layer.select("doc_id", "page_no", texts.alias("text"))
+    filled = layer.where(F.col("text") != "")
+    checked, with_text = filled, filled.select("doc_id")
     if ocr_available:
-        texts_now = overlay_ocr(layer, cleaned)
-        read = results.select("doc_id", "page_no")
-        checked = texts_now.join(read, ["doc_id", "page_no"], "left_anti")
-    else:
-        texts_now = checked = layer.where(F.col("text") != "")
+        # A page that was read is not checked, so its cleaned text only tells that there is some.
+        checked = filled.join(results.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
+        with_text = with_text.unionByName(cleaned.where(F.col("text") != "").select("doc_id"))
     size = F.length("text")
     sparse = checked.where(size < ocrtext.SPARSE_PAGE).select(
         "doc_id", F.lit(3).alias("kind_no"), "page_no",
@@ -253,7 +256,7 @@ def page_warnings(
     )
     nothing = (
         layer.select("doc_id").distinct()
-        .join(texts_now.select("doc_id").distinct(), "doc_id", "left_anti")
+        .join(with_text.distinct(), "doc_id", "left_anti")
         .select(
             "doc_id", F.lit(4).alias("kind_no"), F.lit(0).alias("page_no"),
             F.lit(WARN_NOTHING).alias("message"),

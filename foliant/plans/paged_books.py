@@ -9,6 +9,7 @@ from foliant.functions.script import detect_script, latin_if_uzbek
 from foliant.functions.typography import clean_text
 from foliant.operators import grounded, pages
 from foliant.operators.sections import page_sections
+from foliant.session import checkpointed
 
 
 def page_texts(layer: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -18,33 +19,24 @@ def page_texts(layer: DataFrame, results: DataFrame | None = None) -> DataFrame:
     return pages.overlay_ocr(layer, pages.clean_pages(results))
 
 
-def document_facts(sections: DataFrame) -> DataFrame:
-    """Per document: script, number of chunks, first part and last position. Reads raw text."""
-    counts = sections.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("chunk_count"),
-        F.max("ord").alias("last_ord"),
-        F.floor(F.min("ord") / grounded.SECTIONS_PER_PART).cast("long").alias("first_part"),
-    )
-    scripts = grounded.head_sample(sections).select(
-        "doc_id", detect_script(F.col("sample")).alias("script")
-    )
-    return counts.join(scripts, "doc_id")
-
-
 def ground(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """Grounded Markdown of paged documents in parts; see ``grounded.assemble``."""
+    """Grounded Markdown of paged documents in parts; see ``grounded.assemble``.
+
+    The sections are read three times: measured, sampled, and finished. Recognised pages are
+    cleaned and laid over the text layer first, which is stored instead of being repeated.
+    """
     sections = page_sections(page_texts(layer, results))
-    facts = document_facts(sections).join(meta, "doc_id")
-    scripts = facts.select("doc_id", "script", F.col("last_ord").alias("_last_page"))
-    # Clean and transliterate per page, by blocks of pages, before anything is gathered.
-    finished = (
-        pages.lookup_by_document(sections.withColumnRenamed("ord", "page_no"), scripts, "inner")
-        .select(
-            "doc_id", F.col("page_no").alias("ord"), "label",
-            latin_if_uzbek(clean_text(F.col("text")), F.col("script")).alias("text"),
-        )
+    if results is not None:
+        sections = checkpointed(sections)
+    facts = grounded.document_facts(sections).withColumn(
+        "script", detect_script(F.col("sample"))
+    ).drop("sample")
+    joined = grounded.with_facts(sections, facts.join(meta, "doc_id"))
+    # Pages are cleaned and transliterated one by one, before anything is gathered.
+    finished = joined.withColumn(
+        "text", latin_if_uzbek(clean_text(F.col("text")), F.col("script"))
     )
-    return grounded.assemble(finished, facts)
+    return grounded.assemble(finished)
 
 
 def document_totals(parts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,3 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named if named else tempfile.mkdtemp(prefix="run-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Store ``df`` in the cluster's checkpoint folder and go on from there.
+
+    What follows reads it several times, and a lost executor costs a re-read, not a re-run.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

@@ -211,5 +211,5 @@ def book_samples(t):
     """Script sample and decision of paged documents."""
     from foliant.functions.script import detect_script
 
-    head = grounded.head_sample(sections.page_sections(t.layer_pages))
-    return head.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
+    facts = grounded.document_facts(sections.page_sections(t.layer_pages))
+    return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))

@@ -53,7 +53,7 @@ def test_first_rows(rows):
 def test_lookup_spreads_hot_and_missing_keys(spark, rows, how):
     left = rows.withColumn("key", F.when(F.col("id") % 5 != 0, F.col("key")))
     right = rows.select("key").distinct().where("key <> 'k7'").withColumn("value", F.upper("key"))
-    got = ordering.lookup(left, right, ["key"], how, spread=["id"])
+    got = ordering.lookup(left, right, ["key"], how, ["id"], hot_rows=500, hot_keys=3)
     want = left.join(right, ["key"], how)
     assert same(got.select("id", "value").fillna(""), want.select("id", "value").fillna(""))
 
@@ -64,7 +64,7 @@ def test_hot_key_reaches_many_partitions(spark, rows):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = ordering.lookup(rows, right, ["key"], spread=["id"])
+        got = ordering.lookup(rows, right, ["key"], spread=["id"], hot_rows=500)
         parts = got.where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
