@@ -15,7 +15,7 @@ WORD_CLASS = r"\p{L}\p{M}‘’'ʼ`"
 
 
 def drop_zero_width(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\u00ad-\ufeff&&[\u200b-\u200d\ufeff\u00ad]]+", "")
+    return F.regexp_replace(c, r"[\u00ad\u200b-\ufeff&&[\u00ad\u200b-\u200d\ufeff]]+", "")
 
 
 def normalise_newlines(c: Column) -> Column:
@@ -23,8 +23,8 @@ def normalise_newlines(c: Column) -> Column:
 
 
 def normalise_spaces(c: Column) -> Column:
-    # The range in front settles ASCII with one test.
-    irregular = r"[\u00a0-\u3000&&[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]]"
+    # The class in front settles letters with two tests.
+    irregular = r"[\u00a0\u1680-\u3000&&[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]]"
     return F.regexp_replace(c, irregular, " ")
 
 
@@ -53,7 +53,8 @@ def squeeze_lines(c: Column) -> Column:
 def fix_caps_digraphs(c: Column) -> Column:
     """Upper-case digraph tails in words that are all-caps once that is done."""
     caps = rf"[{WORD_CLASS}&&[^\p{{Ll}}]]"
-    digraph = "(?:" + "|".join(DIGRAPHS) + ")"
+    capitals = "".join(pair[0] for pair in DIGRAPHS)
+    digraph = f"(?=[{capitals}])(?:" + "|".join(DIGRAPHS) + ")"
     broken_word = rf"(?<![{WORD_CLASS}]){caps}*(?:{digraph}{caps}*)+(?![{WORD_CLASS}])"
     # Necessary for one and cheap to look for: a digraph with no lower-case letter behind it.
     broken_end = rf"{digraph}(?:{digraph}|{caps})*+(?![{WORD_CLASS}])"
