@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import round_exact, squeeze, strip
+from foliant.functions.text import let, round_exact, squeeze, strip
 from foliant.functions.typography import normalise_newlines
 from foliant.operators.rows import each
 
@@ -67,27 +67,35 @@ def assemble_pages(words: DataFrame) -> DataFrame:
     comparison with the word before. Only word rows (level 5) with visible text count. The
     page is one text cell, so its words fit where the cell fits.
     """
-    rows = words.where((F.col("level") == 5)).withColumn("text", strip("text")).where(
+    rows = words.where(F.col("level") == 5).withColumn("text", strip(F.col("text"))).where(
         F.col("text") != ""
     )
-    page = Window.partitionBy("doc_id", "page").orderBy("row_no")
-    here, line = F.struct("block", "par"), F.col("line")
-    glue = (
-        F.when(F.lag("row_no").over(page).isNull(), "")
-        .when(F.lag(here).over(page) != here, "\n\n")
-        .when(F.lag(line).over(page) != line, "\n")
-        .otherwise(" ")
-    )
     conf = F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0))
-    pieces = rows.select(
-        "doc_id", "page", "row_no", F.concat(glue, "text").alias("_piece"), conf.alias("_conf")
+
+    def glued(ordered: Column) -> Column:
+        def piece(word: Column, at: Column) -> Column:
+            def after(before: Column) -> Column:
+                same_block = (before["block"] == word["block"]) & (before["par"] == word["par"])
+                return (
+                    F.when(at == 0, "")
+                    .when(~same_block, "\n\n")
+                    .when(before["line"] != word["line"], "\n")
+                    .otherwise(" ")
+                )
+
+            return F.concat(let(F.get(ordered, at - 1), after), word["text"])
+
+        return F.array_join(F.transform(ordered, piece), "")
+
+    # The order is needed per page only, so the words are sorted in their page's array.
+    gathered = rows.groupBy("doc_id", F.col("page").alias("page_no")).agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "block", "par", "line", "text"))).alias("_words"),
+        F.avg(F.when(conf >= 0, conf)).alias("_mean"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "_piece")))
-    return pieces.groupBy("doc_id", F.col("page").alias("page_no")).agg(
-        F.array_join(F.transform(ordered, lambda w: w["_piece"]), "").alias("text"),
-        round_exact(
-            F.coalesce(F.avg(F.when(F.col("_conf") >= 0, F.col("_conf"))), F.lit(0.0)), 1
-        ).alias("confidence"),
+    return gathered.select(
+        "doc_id", "page_no",
+        let(F.col("_words"), glued).alias("text"),
+        round_exact(F.coalesce("_mean", F.lit(0.0)), 1).alias("confidence"),
     )
 
 

@@ -42,7 +42,7 @@ def append_audit(rows: DataFrame, path: str) -> None:
     """Append-only audit rows, one folder per day so that a time filter prunes folders."""
     (
         rows.withColumn("day", F.to_date("created_at"))
-        .repartition("day", F.pmod(F.xxhash64("log_id"), F.lit(8)))
+        .hint("rebalance", "day")
         .write.mode("append").partitionBy("day").parquet(path)
     )
 
@@ -57,9 +57,8 @@ def _prefixed(results: DataFrame) -> DataFrame:
 
 def write_page_results(results: DataFrame, path: str) -> None:
     """A new page-result store, without failed pages, partitioned by the first hash characters."""
-    _prefixed(results.where(F.col("error").isNull())).write.mode("overwrite").partitionBy(
-        "hash2"
-    ).parquet(path)
+    kept = _prefixed(results.where(F.col("error").isNull())).hint("rebalance", "hash2")
+    kept.write.mode("overwrite").partitionBy("hash2").parquet(path)
 
 
 def read_page_results(spark: SparkSession, path: str, file_hashes: list[str] | None = None):
@@ -73,6 +72,5 @@ def read_page_results(spark: SparkSession, path: str, file_hashes: list[str] | N
 def merge_page_results(spark: SparkSession, fresh: DataFrame, path: str, target: str) -> None:
     """Write the store after a run to ``target``; the old one stays readable until it is swapped."""
     stored = spark.read.parquet(path).drop("hash2")
-    _prefixed(merge_results(stored, fresh)).write.mode("overwrite").partitionBy("hash2").parquet(
-        target
-    )
+    merged = _prefixed(merge_results(stored, fresh)).hint("rebalance", "hash2")
+    merged.write.mode("overwrite").partitionBy("hash2").parquet(target)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliant.plans import text_corpus
 from foliant.sources.files import describe_files, write_grounded
+from foliant.sources.tables import spread
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -34,7 +35,7 @@ def ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_grounded(text_corpus.ground(prepare(batch)), sink, batch_id)
+        write_grounded(text_corpus.ground(spread(prepare(batch))), sink, batch_id)
 
     return (
         documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
