@@ -39,8 +39,10 @@ def count_letters(c: Column, letters: str) -> Column:
 
 def is_uzbek_cyrillic(c: Column, sample: int = DETECTION_SAMPLE) -> Column:
     def decide(head: Column) -> Column:
-        uzbek = count_letters(head, UZBEK_ONLY)
-        return (uzbek > 0) & (uzbek >= count_letters(head, RUSSIAN_ONLY))
+        return let(
+            count_letters(head, UZBEK_ONLY),
+            lambda uzbek: (uzbek > 0) & (uzbek >= count_letters(head, RUSSIAN_ONLY)),
+        )
 
     return let(F.substring(c, 1, sample), decide)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.names import CODE_PATTERN
+from foliant.functions.text import strip
 from foliant.operators.ordering import lookup
 
 
@@ -44,7 +45,7 @@ def catalog_violations(modules: DataFrame, topics: DataFrame, master_agent: str)
         )
 
     def shared(column: str, rule: str) -> DataFrame:
-        used = F.trim(column)
+        used = strip(F.col(column))
         many = (
             modules.where(used != "").groupBy(used.alias("_k")).agg(one).where(F.col("n") > 1)
         )
@@ -56,7 +57,7 @@ def catalog_violations(modules: DataFrame, topics: DataFrame, master_agent: str)
 
     same_module = modules.groupBy("code").agg(one).where(F.col("n") > 1)
     same_topic = topics.groupBy("module_id", "code").agg(one).where(F.col("n") > 1)
-    master = modules.where(F.trim("agent_id") == master_agent).withColumn("n", F.lit(1))
+    master = modules.where(strip(F.col("agent_id")) == master_agent).withColumn("n", F.lit(1))
     rules = [
         bad_code(modules, "module_code_pattern"),
         bad_code(topics, "topic_code_pattern"),

@@ -36,6 +36,7 @@ ALL_LANGUAGES = "uzb+uzb_cyrl+rus"
 WARN_FAILED = ("OCR: ", " ta sahifa o'qilmadi: ")
 WARN_LOW = ("OCR: ", " ta sahifa past ishonch bilan o'qildi (< ", "%): ")
 WARN_SPARSE = ("-sahifada juda kam matn bor (", " belgi) — skanerlangan rasm bo'lishi mumkin.")
+WARN_UNAVAILABLE = "OCR ishlamadi, sahifalar matn qatlamidan olindi: "
 WARN_NOTHING = "PDF ichidan matn topilmadi — hujjat skanerlangan va OCR talab qiladi."
 
 
@@ -231,18 +232,19 @@ def page_warnings(
     results: DataFrame,
     cleaned: DataFrame,
     min_confidence: float = MIN_CONFIDENCE,
-    ocr_available: bool = True,
+    unavailable: str | None = None,
 ) -> DataFrame:
     """``(doc_id, kind_no, page_no, message)``; ordering by the first three is emission order.
 
     ``layer`` is the text layer, ``results`` the raw results, ``cleaned`` their cleaned text.
-    Without the engine there are no results, and every page is checked for being sparse.
+    When the engine was ``unavailable``, for the reason given, ``results`` are the pages it
+    should have read; their documents are warned and every page is checked for being sparse.
     """
     texts = strip(F.coalesce(F.col("text"), F.lit("")))
     layer = layer.select("doc_id", "page_no", texts.alias("text"))
     filled = layer.where(F.col("text") != "")
     checked, with_text = filled, filled.select("doc_id")
-    if ocr_available:
+    if unavailable is None:
         # A page that was read is not checked, so its cleaned text only tells that there is some.
         checked = filled.join(results.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
         with_text = with_text.unionByName(cleaned.where(F.col("text") != "").select("doc_id"))
@@ -262,8 +264,12 @@ def page_warnings(
             F.lit(WARN_NOTHING).alias("message"),
         )
     )
-    if not ocr_available:
-        return sparse.unionByName(nothing)
+    if unavailable is not None:
+        skipped = results.select("doc_id").distinct().select(
+            "doc_id", F.lit(1).alias("kind_no"), F.lit(0).alias("page_no"),
+            F.lit(WARN_UNAVAILABLE + unavailable).alias("message"),
+        )
+        return skipped.unionByName(sparse).unionByName(nothing)
 
     failed = F.col("problem") == "failed"
     number = F.col("pages").cast("string")

@@ -253,8 +253,9 @@ def date_drilldown(df: DataFrame, timestamp: str = "created_at", zone: str = ZON
 
 
 def extraction_badge(method: Column, confidence: Column, threshold: float = 60.0) -> Column:
-    """The method, or ``low`` when a recognised document's confidence is below the threshold."""
-    return F.when((method != "text") & (confidence < threshold), "low").otherwise(method)
+    """The method, ``low`` for a recognised document below the threshold, a dash for none yet."""
+    low = (method != "text") & (confidence < threshold)
+    return F.when(low, "low").otherwise(F.coalesce(method, F.lit("—")))
 
 
 def script_census(df: DataFrame) -> DataFrame:

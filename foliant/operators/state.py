@@ -13,6 +13,7 @@ RETRY_BASE_SECONDS = 20.0
 RETRY_CAP_SECONDS = 300.0
 
 # Refusals worth another attempt.
+TRANSIENT_STATUS = [429, 502, 503, 504]
 TRANSIENT = (
     r"(?i)(?<![\w-])(?:429|502|503|504)(?![\w-])|too many requests|service unavailable"
     r"|resource[_ ]exhausted|rate.?limit|temporarily unavailable|overloaded"
@@ -40,8 +41,12 @@ def retry_plan(
     """What follows each failure: wait and retry, or give up and stay ready for a later run.
 
     The wait doubles from ``base`` to ``cap``; the last attempt, like a permanent refusal, is
-    not followed by one.
+    not followed by one. A failure is transient by its ``detail`` or, where that column exists,
+    by its HTTP ``status``.
     """
+    transient = F.coalesce(F.col("detail").rlike(TRANSIENT), F.lit(False))
+    if "status" in failures.columns:
+        transient = transient | F.coalesce(F.col("status").isin(TRANSIENT_STATUS), F.lit(False))
     numbered = number_rows(
         failures, ["material_id"], [F.col("failed_at"), F.col("event_id")],
         minute_of("failed_at"), "attempt",
@@ -51,7 +56,7 @@ def retry_plan(
     doubling = F.pow(F.lit(2.0), F.least(F.col("attempt"), F.lit(60)) - 1)
     wait = F.least(F.lit(float(base)) * doubling, F.lit(float(cap)))
     return (
-        numbered.withColumn("transient", F.col("detail").rlike(TRANSIENT))
+        numbered.withColumn("transient", transient)
         .withColumn("action", F.when(retry, "retry").otherwise("give_up"))
         .withColumn("wait_seconds", F.when(retry, wait))
         .withColumn(
@@ -65,41 +70,54 @@ def retry_plan(
     )
 
 
-def sync_plan(modules: DataFrame, kbs: DataFrame, agents: DataFrame, prefix: str = "agent-") -> DataFrame:
-    """``(object, id, module_code, action)``: what to create, update, keep or delete.
+def sync_plan(
+    modules: DataFrame, kbs: DataFrame, agents: DataFrame, master_agent: str, prefix: str = "agent-"
+) -> DataFrame:
+    """``(object, id, module_code, name, action)``: how the index gets in step with the catalog.
 
-    A module without an id gets a new object, one whose object exists keeps it or updates a
-    changed name, and one whose object is gone has it created again. What exists without a
-    module is deleted.
+    A module without a knowledge base or agent, or whose stored one is gone, has it created. An
+    existing agent is updated when it reads another knowledge base or differs in being active;
+    names and settings of existing objects are left alone. What no module owns is deleted, but
+    never the master agent.
     """
 
-    def diff(kind: str, wanted: DataFrame, actual: DataFrame) -> DataFrame:
-        joined = wanted.join(actual, "id", "full_outer")
+    def diff(kind: str, wanted: DataFrame, actual: DataFrame, changed) -> DataFrame:
         action = (
             F.when(F.col("module_code").isNull(), "delete")
-            .when(F.col("_actual").isNull(), "create")
-            .when(F.col("wanted_name") != F.col("_actual"), "update")
+            .when(F.col("exists").isNull(), "create")
+            .when(changed, "update")
             .otherwise("keep")
         )
-        return joined.select(
-            F.lit(kind).alias("object"), "id", "module_code", "wanted_name", action.alias("action")
-        )
-
-    def wanted(ident, name) -> DataFrame:
-        return modules.select(
-            ident.alias("id"), F.col("code").alias("module_code"), name.alias("wanted_name")
+        return wanted.join(actual, "id", "full_outer").select(
+            F.lit(kind).alias("object"), "id", "module_code",
+            F.coalesce("actual_name", "wanted_name").alias("name"), action.alias("action"),
         )
 
+    there = F.lit(True).alias("exists")
+    code = F.col("code").alias("module_code")
     kb = diff(
         "kb",
-        wanted(F.nullif("kb_id", F.lit("")), kb_name(F.col("code"), F.col("name"))),
-        kbs.select(F.col("kb_id").alias("id"), F.col("name").alias("_actual")),
+        modules.select(
+            F.nullif("kb_id", F.lit("")).alias("id"), code,
+            kb_name(F.col("code"), F.col("name")).alias("wanted_name"),
+        ),
+        kbs.select(F.col("kb_id").alias("id"), F.col("name").alias("actual_name"), there),
+        F.lit(False),
     )
     default = agent_slug(F.col("code"), F.col("module_id"), prefix)
     agent = diff(
         "agent",
-        wanted(F.coalesce(F.nullif("agent_id", F.lit("")), default), F.col("name")),
-        agents.select(F.col("agent_id").alias("id"), F.col("name").alias("_actual")),
+        modules.select(
+            F.coalesce(F.nullif("agent_id", F.lit("")), default).alias("id"), code,
+            F.col("name").alias("wanted_name"), F.nullif("kb_id", F.lit("")).alias("wanted_kb"),
+            F.col("is_active").alias("wanted_active"),
+        ),
+        agents.where(F.col("agent_id") != master_agent).select(
+            F.col("agent_id").alias("id"), F.col("name").alias("actual_name"), there,
+            F.col("kb_id").alias("actual_kb"), F.col("is_active").alias("actual_active"),
+        ),
+        ~F.col("wanted_kb").eqNullSafe(F.col("actual_kb"))
+        | (F.col("wanted_active") != F.col("actual_active")),
     )
     return kb.unionByName(agent)
 
@@ -137,3 +155,28 @@ def attachable(existing: DataFrame, modules: DataFrame, column: str, master: str
         F.coalesce("modules", F.lit(0)).cast("long").alias("modules"),
         F.col("name").isNull().alias("missing"),
     )
+
+
+# Messages of a run.
+RUN_DONE = (
+    "Markdown tayyor: ", " ta chunk, ", " ta grounding marker, ", " belgi, yozuv: "
+)
+RUN_FAILED = "Pipeline xatosi: "
+
+
+def run_audit(grounded: DataFrame, at) -> DataFrame:
+    """Audit rows of a finished run: one per material, counts or the reason it failed."""
+    done = F.col("status") == "md_ready"
+    message = F.concat(
+        F.lit(RUN_DONE[0]), F.col("chunk_count").cast("string"),
+        F.lit(RUN_DONE[1]), F.col("marker_count").cast("string"),
+        F.lit(RUN_DONE[2]), F.format_number("char_count", 0),
+        F.lit(RUN_DONE[3]), F.col("script"),
+    )
+    return grounded.select(
+        "material_id",
+        F.when(done, "conversion").otherwise("pipeline").alias("stage"),
+        F.when(done, "info").otherwise("error").alias("level"),
+        F.when(done, message).otherwise(F.concat(F.lit(RUN_FAILED), "error_message")).alias("message"),
+        at.alias("created_at"),
+    )

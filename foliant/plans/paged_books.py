@@ -9,6 +9,7 @@ from foliant.functions.script import detect_script, latin_if_uzbek
 from foliant.functions.typography import clean_text
 from foliant.operators import grounded, pages
 from foliant.operators.sections import page_sections
+from foliant.plans.text_corpus import NO_CONTENT
 from foliant.session import checkpointed
 
 
@@ -46,3 +47,22 @@ def document_totals(parts: DataFrame) -> DataFrame:
         F.sum("char_count").alias("char_count"),
         F.count(F.lit(1)).alias("parts"),
     )
+
+
+def failures(layer: DataFrame, warnings: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Documents without any text, and why: the general reason and their last warning."""
+    kept = page_sections(page_texts(layer, results)).select("doc_id").distinct()
+    last = warnings.groupBy("doc_id").agg(
+        F.max_by("message", F.struct("kind_no", "page_no")).alias("_last")
+    )
+    return (
+        layer.select("doc_id").distinct().join(kept, "doc_id", "left_anti")
+        .join(last, "doc_id", "left")
+        .select(
+            "doc_id", F.lit("failed").alias("status"),
+            F.concat(
+                F.lit(NO_CONTENT),
+                F.coalesce(F.concat(F.lit(" "), "_last"), F.lit("")),
+            ).alias("error_message"),
+        )
+    )

@@ -103,7 +103,7 @@ SELECT event_id, user_id AS material_id, ts AS failed_at,
             WHEN 2 THEN '400: File not found' ELSE 'file a10526f3-4290-4c7f-9f89-503f1409b613 missing' END AS detail
 FROM {events} WHERE event_type = 'error'""",
     "kbs": "SELECT concat('kb-', CAST(r_regionkey AS STRING)) AS kb_id, CASE WHEN r_regionkey = 0 THEN concat('module-00 - ', r_name) ELSE r_name END AS name FROM {region} WHERE r_regionkey <> 3",
-    "agents": "SELECT concat('agent-', CAST(r_regionkey AS STRING)) AS agent_id, r_name AS name FROM {region} WHERE r_regionkey <> 1",
+    "agents": "SELECT concat('agent-', CAST(r_regionkey AS STRING)) AS agent_id, r_name AS name, concat('kb-', CAST(r_regionkey % 4 AS STRING)) AS kb_id, r_regionkey <> 3 AS is_active FROM {region} WHERE r_regionkey <> 1",
     "text_documents": """
 SELECT d.doc_id AS material_id, concat('module-0', CAST(length(d.source) % 5 AS STRING)) AS module_code, concat('Module {Q}', d.lang, '{Q}') AS module_name,
        concat('topic ', d.source) AS topic_code, concat('Topic ', d.source) AS topic_name, 'literature' AS type,

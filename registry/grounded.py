@@ -213,3 +213,19 @@ def book_samples(t):
 
     facts = grounded.document_facts(sections.page_sections(t.layer_pages))
     return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
+
+
+@query(
+    "run_audit",
+    _BLOCKS + """ SELECT material_id, CASE WHEN markdown IS NULL THEN 'pipeline' ELSE 'conversion' END AS stage,
+    CASE WHEN markdown IS NULL THEN 'error' ELSE 'info' END AS level,
+    CASE WHEN markdown IS NULL THEN 'Pipeline xatosi: Hujjatdan matn ajratib bo''lmadi — indekslash uchun kontent yo''q.'
+    ELSE 'Markdown tayyor: ' || CAST(chunks AS VARCHAR) || ' ta chunk, ' || CAST(markers AS VARCHAR) || ' ta grounding marker, '
+      || format('{:,}', length(markdown)) || ' belgi, yozuv: ' || script END AS message, TIMESTAMP '2024-05-01 00:00:00' AS created_at FROM whole""",
+)
+def run_audit(t):
+    """What a run over the documents writes into the audit log."""
+    from foliant.operators.state import run_audit as audit
+
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    return audit(text_corpus.ground(t.text_documents), at)

