@@ -9,12 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Text made only of these characters is already in NFC: everything below the combining
-# marks, Cyrillic without its combining marks, and general punctuation without the two
-# quads that decompose.
-NFC_SAFE = r"\x00-\u02ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e"
-# The same from the other side; the range in front settles most characters with one test.
-_MAY_CHANGE = rf"[\u0300-\x{{10ffff}}&&[^{NFC_SAFE}]]"
+# Text without any of these characters is already in NFC: all but what lies below the combining
+# marks, Cyrillic without its own marks, and general punctuation without the quads, which change.
+MAY_CHANGE = r"\u0300-\u03ff\u0483-\u0489\u0500-\u200f\u2028-\u202f\u205f-\x{10ffff}"
 
 
 @F.pandas_udf(T.StringType())
@@ -24,4 +21,4 @@ def nfc_udf(texts: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """NFC form of ``c``. Only text that can change is sent to Python; the rest goes as NULL."""
-    return F.coalesce(nfc_udf(F.when(c.rlike(_MAY_CHANGE), c)), c)
+    return F.coalesce(nfc_udf(F.when(c.rlike(f"[{MAY_CHANGE}]"), c)), c)

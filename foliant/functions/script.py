@@ -111,27 +111,35 @@ def _mark_caps(c: Column) -> Column:
 def to_latin(c: Column) -> Column:
     """Transliterate every Cyrillic run; other text is left as it is."""
 
-    def convert(text: Column) -> Column:
-        out = _mark_caps(repair_final_ii(text))
+    long_letters = {cyr: lat for cyr, lat in LETTERS.items() if len(lat) > 1}
+    single = [(cyr, lat) for cyr, lat in LETTERS.items() if len(lat) == 1]
+    dropped = [cyr for cyr, lat in LETTERS.items() if not lat]
+
+    def all_caps(text: Column) -> Column:
         out = F.regexp_replace(
-            out,
+            text,
             f"{CAPS_MARK}Е(?:(?<![{CYRILLIC}]{CAPS_MARK}Е)|(?<=[{YE_AFTER}]{CAPS_MARK}Е))",
             "YE",
         )
+        for cyr, lat in long_letters.items():
+            out = F.replace(out, F.lit(CAPS_MARK + cyr.upper()), F.lit(lat.upper()))
+        return out
+
+    def convert(text: Column) -> Column:
+        out = let(
+            _mark_caps(repair_final_ii(text)),
+            lambda t: F.when(F.contains(t, F.lit(CAPS_MARK)), all_caps(t)).otherwise(t),
+        )
         out = _expand_ye(out)
-        single_from, single_to, dropped = "", "", ""
-        for cyr, lat in LETTERS.items():
-            upper = cyr.upper()
-            if len(lat) > 1:
-                out = F.replace(out, F.lit(CAPS_MARK + upper), F.lit(lat.upper()))
-                out = F.replace(out, F.lit(upper), F.lit(lat.capitalize()))
-                out = F.replace(out, F.lit(cyr), F.lit(lat))
-            elif lat:
-                single_from += cyr + upper
-                single_to += lat + lat.upper()
-            else:
-                dropped += cyr + upper
-        return F.translate(out, single_from + dropped + CAPS_MARK, single_to)
+        for cyr, lat in long_letters.items():
+            out = F.replace(out, F.lit(cyr.upper()), F.lit(lat.capitalize()))
+            out = F.replace(out, F.lit(cyr), F.lit(lat))
+        return F.translate(
+            out,
+            "".join(cyr + cyr.upper() for cyr, _ in single)
+            + "".join(cyr + cyr.upper() for cyr in dropped) + CAPS_MARK,
+            "".join(lat + lat.upper() for _, lat in single),
+        )
 
     return let(c, lambda t: F.when(t.rlike(f"[{CYRILLIC}]"), convert(t)).otherwise(t))
 
