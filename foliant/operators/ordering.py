@@ -32,6 +32,17 @@ def _offsets(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     return totals.select(*keys, "_bucket", before.alias("_before"))
 
 
+def _with_offsets(cut: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """Add ``_before``, what earlier buckets of the key sum up to; a missing key is a key too."""
+    names = [*keys, "_bucket"]
+    offsets = _offsets(cut, keys, amount)
+    there = offsets.select(*[F.col(n).alias(f"_at_{n}") for n in names], "_before")
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_at_{name}"))
+    return cut.join(there, same).drop(*[f"_at_{n}" for n in names])
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, into: str
 ) -> DataFrame:
@@ -39,8 +50,8 @@ def number_rows(
     cut = df.withColumn("_bucket", bucket)
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        cut.withColumn("_row", F.row_number().over(within))
-        .join(_offsets(cut, keys, F.lit(1)), [*keys, "_bucket"])
+        _with_offsets(cut, keys, F.lit(1))
+        .withColumn("_row", F.row_number().over(within))
         .withColumn(into, (F.col("_row") + F.col("_before")).cast("long"))
         .drop("_bucket", "_row", "_before")
     )
@@ -56,8 +67,8 @@ def total_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        cut.withColumn("_sum", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
-        .join(_offsets(cut, keys, F.col("_amount")), [*keys, "_bucket"])
+        _with_offsets(cut, keys, F.col("_amount"))
+        .withColumn("_sum", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
         .withColumn(into, F.col("_sum") + F.col("_before"))
         .drop("_bucket", "_amount", "_sum", "_before")
     )

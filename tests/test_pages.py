@@ -138,6 +138,23 @@ def test_parts_concatenate_to_the_whole_markdown(spark, monkeypatch):
     assert totals.char_count == sum(len(p.markdown) for p in parts)
 
 
+def test_recognised_pages_are_grounded_over_the_layer(spark, monkeypatch):
+    monkeypatch.setattr(grounded, "SAMPLE_BUCKET", 2)
+    header = lambda n: f"SARLAVHA {n}\n"
+    layer = {n: "" if n % 2 else f"matn qatlami {n} so‘zlari" for n in range(1, 13)}
+    ocr = {n: header(n) + ("" if n == 5 else f"tanilgan {chr(97 + n) * 3} me'mor") for n in layer if n % 2}
+    schema = "doc_id string, page_no int, text string"
+    layer_df = spark.createDataFrame([("d", n, t) for n, t in layer.items()] + [("leer", 1, " ")], schema)
+    ocr_df = spark.createDataFrame([("d", n, t) for n, t in ocr.items()], schema)
+    meta = spark.createDataFrame([(d, *META) for d in ("d", "leer")], ["doc_id", *grounded.META])
+    rows = paged_books.ground(layer_df, meta, ocr_df).collect()
+    kept = [(f"page {n}", layer[n] or f"tanilgan {chr(97 + n) * 3} meʼmor") for n in layer if n != 5]
+    assert [r.markdown for r in rows] == [rules.markdown(kept, (*META, "uz-latn"))]
+    none = spark.createDataFrame([("leer", 4, 0, "sabab")], "doc_id string, kind_no int, page_no int, message string")
+    failed = paged_books.failures(layer_df, none, ocr_df).collect()
+    assert [(r.doc_id, r.error_message) for r in failed] == [("leer", text_corpus.NO_CONTENT + " sabab")]
+
+
 def test_text_documents_whole(spark):
     texts = ["bir\n\n\n\n\nikki\n\n\nuchinchi", "  \n\n\n ", "a " * 900 + "\r\n\r\n\r\n" + "é", None]
     df = spark.createDataFrame([(i, t, *META) for i, t in enumerate(texts)], ["material_id", "text", *grounded.META])
