@@ -23,37 +23,34 @@ def minute_of(timestamp: str) -> Column:
     return F.date_trunc("minute", F.col(timestamp))
 
 
-def _offsets(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
-    totals = df.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = F.coalesce(F.sum("_total").over(earlier), F.lit(0))
-    return totals.select(*keys, "_bucket", before.alias("_before"))
+def _place(keys: list[str], bucket: Column) -> Column:
+    """Key and bucket in one struct: never NULL itself, so rows without a key join as well."""
+    return F.struct(*keys, bucket.alias("bucket"))
 
 
 def _with_offsets(cut: DataFrame, keys: list[str], amount: Column) -> DataFrame:
-    """Add ``_before``, what earlier buckets of the key sum up to; a missing key is a key too."""
-    names = [*keys, "_bucket"]
-    offsets = _offsets(cut, keys, amount)
-    there = offsets.select(*[F.col(n).alias(f"_at_{n}") for n in names], "_before")
-    same = F.lit(True)
-    for name in names:
-        same = same & F.col(name).eqNullSafe(F.col(f"_at_{name}"))
-    return cut.join(there, same).drop(*[f"_at_{n}" for n in names])
+    """Add ``_before``, what the earlier buckets of the key sum up to."""
+    totals = cut.groupBy("_place").agg(F.sum(amount).alias("_total"))
+    earlier = (
+        Window.partitionBy(*[f"_place.{key}" for key in keys]).orderBy("_place.bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+    return cut.join(totals.select("_place", before.alias("_before")), "_place")
 
 
 def number_rows(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, into: str
 ) -> DataFrame:
     """1-based position of every row within its key."""
-    cut = df.withColumn("_bucket", bucket)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    cut = df.withColumn("_place", _place(keys, bucket))
+    within = Window.partitionBy("_place").orderBy(*order)
+    # The window comes first: the join that follows needs the same distribution.
+    numbered = cut.withColumn("_row", F.row_number().over(within))
     return (
-        _with_offsets(cut, keys, F.lit(1))
-        .withColumn("_row", F.row_number().over(within))
+        _with_offsets(numbered, keys, F.lit(1))
         .withColumn(into, (F.col("_row") + F.col("_before")).cast("long"))
-        .drop("_bucket", "_row", "_before")
+        .drop("_place", "_row", "_before")
     )
 
 
@@ -61,16 +58,15 @@ def total_before(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, amount: Column, into: str
 ) -> DataFrame:
     """Sum of ``amount`` over the rows of the key that come earlier."""
-    cut = df.withColumn("_bucket", bucket).withColumn("_amount", amount.cast("long"))
+    cut = df.withColumn("_place", _place(keys, bucket)).withColumn("_amount", amount.cast("long"))
     within = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
+    summed = cut.withColumn("_sum", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
     return (
-        _with_offsets(cut, keys, F.col("_amount"))
-        .withColumn("_sum", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
+        _with_offsets(summed, keys, F.col("_amount"))
         .withColumn(into, F.col("_sum") + F.col("_before"))
-        .drop("_bucket", "_amount", "_sum", "_before")
+        .drop("_place", "_amount", "_sum", "_before")
     )
 
 

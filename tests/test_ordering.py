@@ -35,12 +35,15 @@ def test_number_rows(rows):
     assert same(got.select("id", "n"), want.select("id", "n"))
 
 
-def test_rows_without_a_key_are_kept(rows):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_rows_without_a_key_are_kept(spark, rows, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     some = rows.withColumn("key", F.when(F.col("id") % 4 != 0, F.col("key")))
     got = ordering.number_rows(some, ["key"], [F.col("pos"), F.col("id")], ordering.bucket_of("pos", 64), "n")
     order = Window.partitionBy("key").orderBy("pos", "id")
     want = some.withColumn("n", F.row_number().over(order).cast("long"))
     assert same(got.select("id", "n"), want.select("id", "n"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_total_before(rows):
