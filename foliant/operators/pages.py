@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ocrtext
 from foliant.functions.script import GATHERED_SAMPLE, detect_script
-from foliant.functions.text import let, round_exact, strip
+from foliant.functions.text import round_exact, strip
 from foliant.operators.ordering import BUCKET, bucket_of, first_rows, total_before
 from foliant.operators.rows import each
 
