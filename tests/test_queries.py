@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+import registry
 from foliant.sources.fixtures import SOURCE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, db, name):
     result = check.compare(spark, db, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert result[0] in ("ok", "rows-only"), result
