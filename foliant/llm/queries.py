@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import mixing
+from foliant.llm import mixing, secrets
 from foliant.llm.shared import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,18 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
   CAST(CASE WHEN size > 0 THEN round(taken / size) ELSE 0 END AS INTEGER) AS copies
 FROM y
 """
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", "spans", base.alias("base")).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
