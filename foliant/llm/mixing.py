@@ -19,7 +19,7 @@ from foliant.llm.shared import stored
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
 # Documents expected in one range of keys.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 500
 
 
 def word_count(text: Column) -> Column:
