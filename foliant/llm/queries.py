@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard, mixing, secrets, url_rules
+from foliant.llm import jaccard, mixing, secrets, toxicity, url_rules
 from foliant.llm.shared import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(read(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
