@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +122,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def run(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield pd.Series(written(fingerprints(part.fillna("").tolist())))
 
