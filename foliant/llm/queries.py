@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard, licences, mixing, repeats, secrets, syncmers, toxicity, url_rules
+from foliant.llm import jaccard, licences, mixing, pieces, repeats, secrets, syncmers, toxicity, url_rules
 from foliant.llm.shared import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
