@@ -159,13 +159,11 @@ def edited(docs: DataFrame) -> DataFrame:
     ends = sorted(set(ends))
     bounds = F.array(*[F.lit(e).cast("long") for e in ends]).cast("array<long>")
     # The range of a document is the number of ends below its place, by bisection.
-    part = F.lit(0)
-    step = 1 << max(0, len(ends).bit_length())
-    while step := step >> 1:
-        tried = part + step
-        part = F.when(
-            (tried <= len(ends)) & (F.try_element_at(bounds, tried) < place), tried
-        ).otherwise(part)
+    steps = [1 << k for k in reversed(range(len(ends).bit_length()))]
+    part = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, s: F.when(F.try_element_at(bounds, at + s) < place, at + s).otherwise(at),
+    )
     ranged = docs.withColumn("part", part.cast("int")) if ends else docs.withColumn("part", F.lit(0))
     firsts = ranged.groupBy("part").agg(F.min(place).alias("p")).orderBy("part").collect()
     if not firsts:
