@@ -155,3 +155,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
