@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard, licences, mixing, pieces, repeats, secrets, syncmers, toxicity, url_rules
+from foliant.llm import jaccard, licences, mixing, partition_search, pieces, repeats, secrets, syncmers, toxicity, url_rules
 from foliant.llm.shared import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,12 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+@query
+def op4_partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return partition_search.search(rows, F.col("vec_id") % 50 == 0)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
