@@ -141,23 +141,27 @@ def mix(
             F.floor((F.col("left") - F.col("end") + F.col("words")) / F.col("n")).alias("part"),
         )
     )
+    # Names that columns of the documents do not have.
+    own = {c: f"_mix_{c}" for c in ("source", "epochs", "end_key", "end_tie", "part", "key", "tie")}
     cuts = stored(
         plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-        .select(F.col("source").alias("_source"), "source_size", "target", "epochs",
-                "end_key", "end_tie", "part")
+        .select("source_size", "target", *[
+            F.col(c).alias(own[c]) for c in ("source", "epochs", "end_key", "end_tie", "part")])
     )
     # The table of sources is joined by its measured size; NULL joins NULL.
-    out = docs.withColumns({"size": size, "_key": key, "_tie": tie}).join(
-        cuts, F.col("source").eqNullSafe(F.col("_source"))
+    out = docs.withColumns({"size": size, own["key"]: key, own["tie"]: tie}).join(
+        cuts, F.col("source").eqNullSafe(F.col(own["source"]))
     )
-    ahead = F.struct("_key", "_tie") < F.struct("end_key", "end_tie")
-    at = (F.col("_key") == F.col("end_key")) & (F.col("_tie") == F.col("end_tie"))
+    epochs, part, key, tie, end_key, end_tie = (
+        F.col(own[c]) for c in ("epochs", "part", "key", "tie", "end_key", "end_tie"))
+    ahead = F.struct(key.alias("k"), tie.alias("t")) < F.struct(end_key.alias("k"), end_tie.alias("t"))
+    at = (key == end_key) & (tie == end_tie)
     # Without an end the budget of the last round is the whole source or nothing of it; rounding
     # a target up to the whole source is the only way to reach the former.
-    extra = F.when(at, F.least("part", "size")).when(ahead, F.col("size")).otherwise(F.lit(0))
-    rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size"))
+    extra = F.when(at, F.least(part, "size")).when(ahead, F.col("size")).otherwise(F.lit(0))
+    rest = F.round(F.col("target") - epochs * F.col("source_size"))
     extra = F.when(rest >= F.col("source_size"), F.col("size")).otherwise(extra)
-    taken = (F.col("epochs") * F.col("size") + extra).cast("long")
+    taken = (epochs * F.col("size") + extra).cast("long")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
     return out.withColumns({"taken": taken}).withColumn("copies", copies.cast("int")).select(
         *docs.columns, *added
