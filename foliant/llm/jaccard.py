@@ -3,8 +3,11 @@
 A text is the set of its n-grams. All sets are ordered rarest first. Two sets whose Jaccard
 similarity reaches the threshold then share one of their first n-grams, so only those are joined.
 Before a pair is compared in full it must pass three filters on what the join knows: the lengths
-differ little enough, the places of the shared n-gram leave enough of both sets, and the sizes of
-corresponding parts of the sets differ by no more than their distance may be.
+differ little enough, the places of the shared n-gram leave enough of both sets, and the sets
+differ in few enough of the parts that they are cut into by hash, some hundred or, for large sets,
+half as many as n-grams. A part is known by whether it has an odd number of n-grams; each part in
+which two sets differ in that holds an n-gram that only one of them has, which bounds their
+distance from below as the halves of a suffix filter do.
 
 Rarity is a count per cell of hashed n-grams over the whole table, of a fixed number of cells, so
 it can be sent to every task at any size of input. It only orders n-grams; any order gives the same
@@ -29,7 +32,10 @@ from foliant.llm.shared import components, stored
 from foliant.llm.words import NON_SPACE, Words, blocks, mixed, sequences
 
 CELL_BITS = 17
-PARTS = 16
+# 64-bit words with a bit for each part of a set, at least.
+PART_WORDS = 8
+# Documents are looked up by so many values of a hash of their id; the list of values is broadcast.
+LOOKUP = 1 << 18
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -54,13 +60,23 @@ def _signed(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))
 
 
+def _oddness(grams: np.ndarray) -> np.ndarray:
+    """A bit for each part of a set, as 64-bit words: a power of two of them, by the set's size."""
+    words = PART_WORDS
+    while 128 * words < len(grams):
+        words *= 2
+    part = (grams & np.uint64(64 * words - 1)).view(np.int64)
+    odd = (np.bincount(part, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int(mixed(grams).sum()), int(mixed(grams ^ _SECOND).sum())
 
 
 def _measured(docs: DataFrame, n: int) -> DataFrame:
-    """A row per text: ``doc_id``, ``n``, digest ``g`` and ``g2`` of its set, sizes of its
-    ``parts``; and rows with ``cell`` and ``n``: how often a cell's n-grams occur in sets."""
+    """A row per text: ``doc_id``, ``n``, digest ``g`` and ``g2`` of its set, oddness of
+    its ``parts``; and rows with ``cell`` and ``n``: how often a cell's n-grams occur in sets."""
 
     def measure(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -68,28 +84,29 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
             ids = batch.column(0)
             rows = len(ids)
             size, g, g2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-            parts = np.zeros((rows, PARTS), np.int32)
+            parts = [np.zeros(0, np.int64)] * rows
             for i, grams in ngram_sets(batch.column(1), n):
                 size[i] = len(grams)
                 g[i], g2[i] = _digest(grams)
-                parts[i] = np.bincount(grams & np.uint64(PARTS - 1), minlength=PARTS)
+                parts[i] = _oddness(grams)
                 np.add.at(counts, grams >> np.uint64(64 - CELL_BITS), 1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), PARTS)
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(size), _signed(g), _signed(g2),
-                 lists.cast(pa.list_(pa.int32())), pa.nulls(rows, pa.int32())],
+                [ids.cast(pa.int64()), pa.array(size), _signed(g), _signed(g2), lists,
+                 pa.nulls(rows, pa.int32())],
                 ["doc_id", "n", "g", "g2", "parts", "cell"],
             )
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(cells), pa.int64()), pa.array(counts[cells])]
             + [pa.nulls(len(cells), pa.int64())] * 2
-            + [pa.nulls(len(cells), pa.list_(pa.int32())), pa.array(cells.astype(np.int32))],
+            + [pa.nulls(len(cells), pa.list_(pa.int64())), pa.array(cells.astype(np.int32))],
             ["doc_id", "n", "g", "g2", "parts", "cell"],
         )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        measure, "doc_id long, n long, g long, g2 long, parts array<int>, cell int"
+        measure, "doc_id long, n long, g long, g2 long, parts array<long>, cell int"
     )
 
 
@@ -143,26 +160,40 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
 
 def _pass(over: int, under: int) -> str:
     """Length and positional filter of a pair with a shared n-gram at places ap and bp."""
-    need = f"({over} * (an + bn))"
     return (
         f"{under} * least(an, bn) >= {over} * greatest(an, bn) AND "
-        f"{over + under} * (1 + least(an - ap - 1, bn - bp - 1)) >= {need}"
+        f"{over + under} * (1 + least(an - ap - 1, bn - bp - 1)) >= {over} * (an + bn)"
     )
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, over: int, under: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) that reach the threshold."""
-    a = nodes.selectExpr("g a", "n an", "parts aparts")
-    b = nodes.selectExpr("g b", "n bn", "parts bparts")
-    distance = F.aggregate(
-        F.zip_with("aparts", "bparts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x
+def _near(over: int, under: int) -> str:
+    """Filter on the parts of a pair: so many n-grams are in one of the sets only, or more.
+
+    Sets that pass the length filter have equally many parts or twice as many, and twice as many
+    are folded into one half.
+    """
+    few = " + ".join(f"bit_count(aparts[{i}] ^ bparts[{i}])" for i in range(PART_WORDS))
+    words = "least(size(aparts), size(bparts))"
+    a, b = (
+        f"if(size({x}) = {words}, {x}[k], {x}[k] ^ {x}[cast(k + {words} as int)])" for x in ("aparts", "bparts")
     )
-    # Sets in parts of these sizes differ in so many n-grams at least.
-    near = (over + under) * (F.col("an") + F.col("bn") - distance) >= 2 * over * (F.col("an") + F.col("bn"))
-    pairs = stored(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "an", "bn"))
+    many = f"aggregate(sequence(0, {words} - 1), 0, (s, k) -> s + bit_count({a} ^ {b}))"
+    most = f"greatest(size(aparts), size(bparts)) = {PART_WORDS}"
+    apart = f"if({most}, {few}, {many})"
+    return f"{over + under} * (an + bn - ({apart})) >= {2 * over} * (an + bn)"
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, over: int, under: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b, an, bn) that reach the threshold."""
+    pairs = stored(pairs)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-    wanted = nodes.join(asked, "g").select("doc_id", "g")
-    sets = stored(_sets(docs.join(wanted, "doc_id").select("text"), n).dropDuplicates(["g"]))
+    wanted = stored(nodes.join(asked, "g").select("doc_id", "g"))
+    # Most documents are not wanted. They are dropped before the shuffle by a list of hash values
+    # with LOOKUP entries at most; it may let others pass.
+    value = F.pmod(F.xxhash64("doc_id"), F.lit(LOOKUP)).alias("value")
+    values = F.broadcast(wanted.select(value).distinct())
+    near = docs.withColumn("value", value).join(values, "value", "left_semi").drop("value")
+    sets = stored(_sets(near.join(wanted, "doc_id").select("text"), n))
     both = (
         pairs.join(sets.selectExpr("g b", "grams bgrams"), "b")
         .join(sets.selectExpr("g a", "grams agrams"), "a")
@@ -206,27 +237,39 @@ def link_groups(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -
     ).where("low.g <> high.g")
     shared = stored(entries.join(ends, "token"))
 
-    rule = _pass(over, under)
+    rule, near = _pass(over, under), _near(over, under)
     tries = shared.selectExpr("g", "n", "p", "explode(array(low, high)) o").selectExpr(
-        "least(g, o.g) a", "greatest(g, o.g) b", "n an", "o.n bn", "p ap", "o.p bp"
+        "least(g, o.g) a", "greatest(g, o.g) b", "if(g < o.g, n, o.n) an", "if(g < o.g, o.n, n) bn",
+        "if(g < o.g, p, o.p) ap", "if(g < o.g, o.p, p) bp",
     )
-    first = stored(tries.where(f"a <> b AND {rule}").select("a", "b").distinct())
+    first = tries.where(f"a <> b AND {rule}").groupBy("a", "b").agg(
+        F.first("an").alias("an"), F.first("bn").alias("bn"))
+    first = (
+        first.join(nodes.selectExpr("g a", "parts aparts"), "a")
+        .join(nodes.selectExpr("g b", "parts bparts"), "b").where(near)
+        .select("a", "b", "an", "bn")
+    )
+    first = stored(first)
     links = _linked(first, nodes, kept, n, over, under)
     roots = stored(components(links))
 
     placed = (
-        shared.select("token", "g", "n", "p").distinct()
+        shared.select("token", "g", "n", "p")
         .join(roots.withColumnRenamed("node", "g"), "g", "left")
         .withColumn("root", F.coalesce("root", "g"))
     )
     several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    apart = stored(placed.join(several.where("x <> y").select("token"), "token"))
-    one = apart.selectExpr("token", "g ag", "n an", "p ap", "root aroot")
-    two = apart.selectExpr("token", "g bg", "n bn", "p bp", "root broot")
+    apart = placed.join(several.where("x <> y").select("token"), "token").distinct()
+    apart = stored(apart.join(nodes.select("g", "parts"), "g"))
+    one, two = (
+        apart.selectExpr("token", *[f"{c} {x}{c}" for c in ("g", "n", "p", "root", "parts")])
+        for x in "ab"
+    )
     rest = (
-        one.join(two, "token").where(f"aroot < broot AND {rule}")
-        .selectExpr("least(ag, bg) a", "greatest(ag, bg) b").distinct()
-        .join(first, ["a", "b"], "left_anti")
+        one.join(two, "token").where(f"aroot <> broot AND ag < bg AND if({rule}, {near}, false)")
+        .groupBy(F.col("ag").alias("a"), F.col("bg").alias("b"))
+        .agg(F.first("an").alias("an"), F.first("bn").alias("bn"))
+        .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = _linked(rest, nodes, kept, n, over, under)
     roots = stored(components(links.union(more)))
