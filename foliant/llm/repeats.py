@@ -7,8 +7,8 @@ the left or the right side, and a left one joins a right one that follows), so e
 cut alike but for their edges. With every symbol goes how many words to its left and right decided
 that it is there. A symbol whose deciding words lie in a window is in every copy of the window.
 
-Of the symbols a window holds in this way, the one with the smallest name stands for it; a window
-that holds none stands for itself. Two copies of a window have the same representative, so only
+Of the symbols a window holds in this way, those with the smallest and the largest name together
+stand for it; a window that holds none stands for itself. Two copies of a window have the same representative, so only
 windows whose representative is in several documents can be repeats. Just those are compared, by a
 128-bit hash of their words.
 """
@@ -130,7 +130,7 @@ def representatives(words: np.ndarray, first: np.ndarray, window: int) -> np.nda
     ``words`` are the hashes of several texts' words and ``first`` the places where the texts
     begin, and the end. Places too near the end of a text for a window hold no name of use.
     """
-    best = np.full(len(words), _NONE)
+    best, most = np.full(len(words), _NONE), np.zeros(len(words), np.uint64)
     if not len(words):
         return best
     length = np.diff(first)
@@ -146,9 +146,11 @@ def representatives(words: np.ndarray, first: np.ndarray, window: int) -> np.nda
     low, width, name = low[good], (high - low + 1)[good], symbols.name[good]
     while len(low):
         np.minimum.at(best, low, name)
+        np.maximum.at(most, low, name)
         more = width > 1
         low, width, name = low[more] + 1, width[more] - 1, name[more]
     alone = np.flatnonzero(best == _NONE)
+    best = mixed(best * _ODD + most)
     alone = alone[alone + window <= first[np.searchsorted(first, alone, "right")]]
     if len(alone):
         best[alone] = mixed(window_hashes(words, window)[0][alone] ^ _ODD)
