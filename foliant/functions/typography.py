@@ -55,15 +55,17 @@ def fix_caps_digraphs(c: Column) -> Column:
     caps = rf"[{WORD_CLASS}&&[^\p{{Ll}}]]"
     capitals = "".join(pair[0] for pair in DIGRAPHS)
     digraph = f"(?=[{capitals}])(?:" + "|".join(DIGRAPHS) + ")"
-    broken_word = rf"(?<![{WORD_CLASS}]){caps}*(?:{digraph}{caps}*)+(?![{WORD_CLASS}])"
-    # Necessary for one and cheap to look for: a digraph with no lower-case letter behind it.
-    broken_end = rf"{digraph}(?:{digraph}|{caps})*+(?![{WORD_CLASS}])"
+    # A word of capitals and digraphs alone, with a digraph. It is tried at the start of words only
+    # and its groups are possessive, so long words neither recurse nor cost more than their length.
+    broken_word = (
+        rf"(?<![{WORD_CLASS}])(?:(?!{digraph}){caps})*+{digraph}(?:{digraph}|{caps})*+(?![{WORD_CLASS}])"
+    )
 
     def repair(word: Column) -> Column:
         fixed = word
         for pair in DIGRAPHS:
             fixed = F.replace(fixed, F.lit(pair), F.lit(pair.upper()))
-        return F.when(word.rlike(rf"\A{broken_word}\z"), fixed).otherwise(word)
+        return F.when(fixed.rlike(r"\p{Ll}"), word).otherwise(fixed)
 
     def by_words(text: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(rf"([{WORD_CLASS}]+|[^{WORD_CLASS}]+)"), F.lit(1))
@@ -72,7 +74,7 @@ def fix_caps_digraphs(c: Column) -> Column:
     return let(
         c,
         lambda text: F.when(
-            text.rlike(broken_end) & text.rlike(broken_word), by_words(text)
+            text.rlike(digraph) & text.rlike(broken_word), by_words(text)
         ).otherwise(text),
     )
 

@@ -1,4 +1,4 @@
-"""Page operators on small fixtures, against the plain statements in tests/rules.py."""
+"""Page operators on small fixtures: literal results, and what must hold for any pages."""
 
 import random
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from foliant.operators import grounded, pages, sections
 from foliant.plans import paged_books, text_corpus
-from tests import rules
 
 
 def test_assemble_pages_follows_row_order(spark):
@@ -72,28 +71,46 @@ def test_clean_pages_random(spark, monkeypatch):
     data = [(doc, n, text) for doc, book in books.items() for n, text in book.items() if text]
     df = spark.createDataFrame(data, "doc_id string, page_no int, text string")
     got = {(r.doc_id, r.page_no): r.text for r in pages.clean_pages(df).collect()}
-    want = {}
-    for doc, book in books.items():
-        filled = {n: t for n, t in book.items() if t}
-        repeated = rules.running(filled)
-        for n, text in filled.items():
-            want[doc, n] = rules.apostrophes(rules.mixed(rules.peel(text, repeated))).strip()
-    assert got == want
-
-
-def test_probe_script_random(spark):
-    rng = random.Random(9)
-    texts = ["", "12", "ўзбек тилида ҳужжат матни " * 9, "русский текст выше " * 9, "latin matn " * 400, "abc"]
-    weights = [6, 6, 1, 1, 1, 3]
-    books = {
-        f"d{b}": {n + 1: (rng.choices(texts, weights)[0], rng.random() < 0.3)
-                  for n in range(rng.randint(1, 16))} for b in range(60)
-    }
-    books["cached"] = {1: (texts[2], True)}
-    data = [(d, n, t, c) for d, book in books.items() for n, (t, c) in book.items()]
+    assert set(got) == {(doc, n) for doc, n, _ in data}
+    for (doc, n), text in got.items():
+        # Repairs reach every line; only two lines at either edge can go, all others stay.
+        for good, bad in (("Тошкент shahri", "Тoшкeнт"), ("ko‘plab soʻz"[:7], "ko'plab"), ("", "|~|")):
+            assert bad not in text and (good in text or bad not in books[doc][n] or len(books[doc][n]) < 400)
+        body = [x for x in books[doc][n].split("\n") if any(c.isalnum() for c in x)]
+        assert len(body) - len([x for x in text.split("\n") if x.strip()]) <= 4
+
+
+HEADED = {
+    1: "KITOB NOMI 1\nmatn satri bir\n1", 2: "KITOB NOMI 2\nboshqa gap\n2", 3: "Kitob nomi 3\nTошкeнт\n3",
+    4: "kitob nomi 4 €\nko'plab\n4", 5: "bosh\nmatn KITOB NOMI 1 ichida\noxir 1991",
+}
+
+
+def test_clean_pages(spark):
+    df = spark.createDataFrame([("d", n, t) for n, t in HEADED.items()], "doc_id string, page_no int, text string")
+    assert {r.page_no: r.text for r in pages.clean_pages(df).collect()} == {
+        1: "matn satri bir", 2: "boshqa gap", 3: "Тошкент", 4: "ko‘plab",
+        5: "bosh\nmatn KITOB NOMI 1 ichida\noxir 1991"}
+
+
+UZ, RU, EN = "ўзбек тилида ҳужжат матни " * 9, "русский текст выше " * 9, "latin matn " * 40
+PROBES = {
+    # All pages are cached: nothing is read to find the language.
+    "cached": ([(UZ, True)], ("uzb+uzb_cyrl+rus", 0)),
+    "cached_half": ([(UZ, True), ("", False)], ("uzb_cyrl", 0)),
+    "russian": ([(RU, False)], ("rus", 1)),
+    "latin": ([("", False)] * 3 + [(EN, False)] * 4, ("uzb", 6)),
+    "late": ([("12", False)] * 8 + [(UZ, False)] * 3, ("uzb_cyrl", 9)),
+    "too_late": ([("12", False)] * 9 + [(UZ, False)] * 3, ("uzb+uzb_cyrl+rus", 9)),
+    "blank": ([("", False)] * 2, ("uzb+uzb_cyrl+rus", 2)),
+}
+
+
+def test_probe_script(spark):
+    data = [(d, n, t, c) for d, (book, _) in PROBES.items() for n, (t, c) in enumerate(book, 1)]
     df = spark.createDataFrame(data, "doc_id string, page_no int, text string, cached boolean")
     got = {r.doc_id: (r.language, r.pages_probed) for r in pages.probe_script(df).collect()}
-    assert got == {doc: rules.probe(book) for doc, book in books.items()}
+    assert got == {doc: want for doc, (_, want) in PROBES.items()}
 
 
 def test_warnings_in_emission_order(spark):
@@ -123,89 +140,78 @@ def test_long_page_lists_are_cut_but_counted(spark):
 META = ("m-1", 'Modul "A"', "t 1", "Mavzu", "literature", "we|ird]name.pdf")
 
 
+HEAD = """---
+module_id: "m-1"
+module_name: "Modul \\"A\\""
+topic_id: "t 1"
+topic_name: "Mavzu"
+type: "literature"
+source: "we|ird]name.pdf"
+script: "%s"
+chunks: %d
+---
+"""
+SECTION = """
+
+## %s
+
+[MANBA: we ird name.pdf | %s | t 1 | literature]
+
+%s
+"""
+
+
+def section(label, text):
+    return SECTION % (label.upper(), label, text)
+
+
 def test_parts_concatenate_to_the_whole_markdown(spark, monkeypatch):
-    monkeypatch.setattr(grounded, "SECTIONS_PER_PART", 4)
     rng = random.Random(6)
     book = {n: " ".join(rng.choice(["ўзбек", "ҳаёт", "ер", "китоб"]) for _ in range(rng.randint(0, 300)))
             for n in range(1, 23)}
     layer = spark.createDataFrame([("d", n, t) for n, t in book.items()], "doc_id string, page_no int, text string")
     meta = spark.createDataFrame([("d", *META)], ["doc_id", *grounded.META])
+    (whole,) = paged_books.ground(layer, meta).collect()
+    monkeypatch.setattr(grounded, "SECTIONS_PER_PART", 4)
     parts = paged_books.ground(layer, meta).orderBy("part").collect()
-    kept = [(f"page {n}", rules.latin(rules.clean(t.strip()))) for n, t in book.items() if t.strip()]
     assert len(parts) > 4
-    assert "".join(p.markdown for p in parts) == rules.markdown(kept, (*META, "uz-cyrl"))
+    assert "".join(p.markdown for p in parts) == whole.markdown
+    filled = [n for n, t in book.items() if t.strip()]
+    assert [x for x in whole.markdown.split("\n") if x.startswith("## ")] == [f"## PAGE {n}" for n in filled]
+    text = "".join(x for x in whole.markdown.split("\n")[11:] if not x.startswith(("## ", "[MANBA")))
+    latin = {"ўзбек": "o‘zbek", "ҳаёт": "hayot", "ер": "yer", "китоб": "kitob"}
+    assert text.replace(" ", "") == "".join(latin[w] for t in book.values() for w in t.split())
     totals = paged_books.document_totals(paged_books.ground(layer, meta)).first()
     assert totals.char_count == sum(len(p.markdown) for p in parts)
 
 
 def test_recognised_pages_are_grounded_over_the_layer(spark, monkeypatch):
     monkeypatch.setattr(grounded, "SAMPLE_BUCKET", 2)
-    header = lambda n: f"SARLAVHA {n}\n"
     layer = {n: "" if n % 2 else f"matn qatlami {n} so‘zlari" for n in range(1, 13)}
-    ocr = {n: header(n) + ("" if n == 5 else f"tanilgan {chr(97 + n) * 3} me'mor") for n in layer if n % 2}
+    ocr = {n: f"SARLAVHA {n}\n" + ("" if n == 5 else f"tanilgan {chr(97 + n) * 3} me'mor") for n in layer if n % 2}
     schema = "doc_id string, page_no int, text string"
     layer_df = spark.createDataFrame([("d", n, t) for n, t in layer.items()] + [("leer", 1, " ")], schema)
     ocr_df = spark.createDataFrame([("d", n, t) for n, t in ocr.items()], schema)
     meta = spark.createDataFrame([(d, *META) for d in ("d", "leer")], ["doc_id", *grounded.META])
     rows = paged_books.ground(layer_df, meta, ocr_df).collect()
-    kept = [(f"page {n}", layer[n] or f"tanilgan {chr(97 + n) * 3} meʼmor") for n in layer if n != 5]
-    assert [r.markdown for r in rows] == [rules.markdown(kept, (*META, "uz-latn"))]
+    texts = {n: layer[n] or f"tanilgan {chr(97 + n) * 3} meʼmor" for n in layer if n != 5}
+    assert [r.markdown for r in rows] == [
+        HEAD % ("uz-latn", 11) + "".join(section(f"page {n}", t) for n, t in texts.items())]
     none = spark.createDataFrame([("leer", 4, 0, "sabab")], "doc_id string, kind_no int, page_no int, message string")
     failed = paged_books.failures(layer_df, none, ocr_df).collect()
     assert [(r.doc_id, r.error_message) for r in failed] == [("leer", text_corpus.NO_CONTENT + " sabab")]
 
 
 def test_text_documents_whole(spark):
-    texts = ["bir\n\n\n\n\nikki\n\n\nuchinchi", "  \n\n\n ", "a " * 900 + "\r\n\r\n\r\n" + "é", None]
+    texts = ["bir\n\n\n\n\nikki\n\n\nuchinchi qism", "  \n\n\n ", "a " * 330 + "\r\n\r\n\r\n" + "é", None]
     df = spark.createDataFrame([(i, t, *META) for i, t in enumerate(texts)], ["material_id", "text", *grounded.META])
     got = {r.material_id: r for r in text_corpus.ground(df).collect()}
-    for i in (0, 2):
-        raw = [p.strip() for p in texts[i].replace("\r\n", "\n").split("\n\n\n") if p.strip()]
-        kept = [(f"part {n}", rules.clean(p)) for n, p in enumerate(raw, 1)]
-        script = rules.script(" ".join(raw))
-        assert got[i].markdown == rules.markdown(kept, (*META, script))
-        assert got[i].marker_count == sum(max(1, len(rules.segments(t))) for _, t in kept)
+    assert got[0].markdown == HEAD % ("uz-latn", 3) + section("part 1", "bir") + section("part 2", "ikki") + section(
+        "part 3", "uchinchi qism")
+    assert got[0].marker_count == 3
+    mark = "[MANBA: we ird name.pdf | part 1 | t 1 | literature]"
+    long = ("a " * 301).strip() + f"\n\n{mark}\n\n" + ("a " * 29).strip()
+    assert got[2].markdown == HEAD % ("uz-latn", 2) + section("part 1", long) + section("part 2", "é")
+    assert got[2].marker_count == 3
     assert got[1].status == "failed" and got[1].markdown is None
     assert got[3].status == "failed"
-
-
-def test_citations_invert_markers(spark):
-    df = spark.createDataFrame([(1, "x", *META)], ["material_id", "text", *grounded.META])
-    row = grounded.citations(text_corpus.ground(df), ["material_id"]).first()
-    assert (row.file, row.label, row.topic, row.kind) == ("we ird name.pdf", "part 1", "t 1", "literature")
-
-
-def test_overlay_and_method(spark):
-    schema = "doc_id string, page_no int, text string"
-    layer = spark.createDataFrame([("a", 1, "qatlam"), ("a", 2, ""), ("b", 1, "matn")], schema)
-    ocr = spark.createDataFrame([("a", 1, ""), ("a", 2, "ocr"), ("a", 3, "yangi")], schema)
-    rows = pages.overlay_ocr(layer, ocr)
-    assert {(r.doc_id, r.page_no): r.text for r in rows.collect()} == {
-        ("a", 1): "qatlam", ("a", 2): "ocr", ("a", 3): "yangi", ("b", 1): "matn"}
-    assert {r.doc_id: r.extraction_method for r in pages.extraction_methods(rows).collect()} == {
-        "a": "mixed", "b": "text"}
-
-
-def test_page_result_store(spark, tmp_path):
-    from foliant.sources import tables
-
-    schema = "file_hash string, dpi int, page_no int, text string, error string"
-    first = spark.createDataFrame([("aa1", 300, 1, "x", None), ("aa1", 300, 2, None, "timeout"), ("bb", 200, 1, "y", None)], schema)
-    store, target = str(tmp_path / "a"), str(tmp_path / "b")
-    tables.write_page_results(first, store)
-    wanted = spark.createDataFrame([("aa1", 1), ("aa1", 2), ("bb", 1)], "file_hash string, page_no int")
-    todo = pages.pages_todo(wanted, tables.read_page_results(spark, store), 300)
-    assert sorted(map(tuple, todo.collect())) == [("aa1", 2), ("bb", 1)]
-    fresh = spark.createDataFrame([("aa1", 300, 2, "z", None), ("bb", 300, 1, None, "timeout")], schema)
-    tables.merge_page_results(spark, fresh, store, target)
-    rows = tables.read_page_results(spark, target, ["aa1"]).select("page_no", "text").orderBy("page_no")
-    assert [tuple(r) for r in rows.collect()] == [(1, "x"), (2, "z")]
-
-
-def test_sections_of_markdown(spark):
-    text = "kirish\n# Bir\nmatn\n#### to‘rt\n## Ikki\n#Uch emas\n # to‘rt emas\n###\n\nbesh"
-    df = spark.createDataFrame([(1, text)], "id int, text string")
-    got = sections.explode_sections(df, sections.markdown_sections_of(F.col("text")), ["id"])
-    assert [(r.label, r.text) for r in got.orderBy("ord").collect()] == [
-        ("section 1", "kirish"), ("section 2", "# Bir\nmatn\n#### to‘rt"),
-        ("section 3", "## Ikki\n#Uch emas\n # to‘rt emas"), ("section 4", "###\n\nbesh")]

@@ -1,14 +1,16 @@
-"""The Column functions: stated examples, and random text against tests/rules.py."""
+"""The Column functions: stated examples, random text against DuckDB, and properties."""
 
 import random
 import unicodedata
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import grounding, names, nfc, ocrtext, script, typography
 from foliant.functions import text as text_functions
-from tests import rules
+from registry import duck
 
 
 def run(spark, function, values):
@@ -36,6 +38,8 @@ CASES = [
     (script.expand_e, "ер бет Ер", "yeр бeт Yeр"),
     (ocrtext.fix_mixed_script_words, "Тoшкeнт abcд", "Тошкент abcд"),
     (ocrtext.normalise_apostrophes, "ko'plab koʻplab me'moriy", "ko‘plab ko‘plab meʼmoriy"),
+    (ocrtext.normalise_apostrophes, "x'b'c g`o'’", "xʼbʼc g‘o'’"),
+    (ocrtext.normalise_apostrophes, "1'a а'b 'a a'", "1'a а'b 'a a'"),
     (ocrtext.normalise_line, "KITOB ASOSLARI 12 €", "kitob asoslari #"),
     (grounding.path_segment, "../../etc", "etc"),
     (grounding.path_segment, "///", "unknown"),
@@ -71,17 +75,22 @@ def words(name, count, length, seed):
             for _ in range(count)]
 
 
-@pytest.mark.parametrize("function,rule,alphabet", [
-    (typography.clean_text, rules.clean, "clean"),
-    (script.to_latin, rules.latin, "cyrillic"),
-    (script.detect_script, rules.script, "cyrillic"),
-    (ocrtext.fix_mixed_script_words, rules.mixed, "mixed"),
-    (ocrtext.normalise_apostrophes, rules.apostrophes, "mixed"),
+def in_duckdb(expression, values):
+    given = pd.DataFrame({"i": range(len(values)), "v": pd.Series(values, dtype="str")})
+    sql = f"SELECT {expression('v')} FROM given ORDER BY i"
+    return [row[0] for row in duckdb.connect().register("given", given).execute(sql).fetchall()]
+
+
+@pytest.mark.parametrize("function,expression,alphabet", [
+    (typography.clean_text, duck.clean, "clean"),
+    (script.to_latin, duck.latin, "cyrillic"),
+    (script.detect_script, duck.script, "cyrillic"),
+    (ocrtext.fix_mixed_script_words, duck.mixed_words, "mixed"),
 ])
-def test_random_text(spark, function, rule, alphabet):
+def test_random_text(spark, function, expression, alphabet):
     given = words(alphabet, 2500, 60, seed=7)
-    got = run(spark, function, given)
-    wrong = [(g, r, rule(g)) for g, r in zip(given, got) if r != rule(g)]
+    got, want = run(spark, function, given), in_duckdb(expression, given)
+    wrong = [(g, r, w) for g, r, w in zip(given, got, want) if r != w]
     assert not wrong, wrong[:3]
 
 
@@ -93,17 +102,58 @@ def test_random_segments(spark):
         given.append("".join(
             rng.choice(" \n") if rng.random() < 1 / gap else rng.choice("ab\U0001f600")
             for _ in range(rng.choice([0, 10, 599, 600, 601, 1200, 3000]))))
-    got = run(spark, grounding.split_for_grounding, given)
-    assert got == [rules.segments(g) for g in given]
+    for text, parts in zip(given, run(spark, grounding.split_for_grounding, given)):
+        assert "".join("".join(parts).split()) == "".join(text.split())
+        assert all(p and p == p.strip() and len(p) < 750 for p in parts)
+        assert len(parts) <= len(text) // 600 + 1
+
+
+SEGMENTS = [
+    ("x" * 600, [600]), ("x" * 601, [600, 1]), ("x" * 650 + "\n" + "y" * 20, [650, 20]),
+    ("x" * 690 + " " + "y" * 20, [690, 20]), ("x" * 720 + " " + "y" * 20, [600, 141]),
+    ("x" * 720 + "\n" + "y" * 20, [720, 20]), ("x" * 610 + " y\n" + "z" * 20, [612, 20]), (" \n ", []),
+]
 
 
-def test_random_pages(spark):
+@pytest.mark.parametrize("text,lengths", SEGMENTS)
+def test_segments(spark, text, lengths):
+    assert [len(s) for s in run(spark, grounding.split_for_grounding, [text])[0]] == lengths
+
+
+PEELED = [
+    ("BOB 1\nmatn satri\n12", "matn satri"), ("12\nbob 22\nmatn\nso‘z", "matn\nso‘z"),
+    ("matn\nBOB 1\nmatn\nso‘z\nmatn", "matn\nBOB 1\nmatn\nso‘z\nmatn"), ("BOB 3", ""),
+    ("1\n2\n3\n4\n5", "3"), ("|~|\nmatn\n|~|", "matn"), ("matn 1991\n\n— 7 —", "matn 1991"),
+    ("bob 1\nmatn\n[3]\n|~|\nBOB 9", "matn"), ("", ""),
+]
+
+
+def test_peeled_edges(spark):
+    lines = F.array(F.lit("bob #"))
+    got = run(spark, lambda c: ocrtext.peel_edges(c, lines), [g for g, _ in PEELED])
+    assert got == [want for _, want in PEELED]
+
+
+def test_peeling_takes_edges_only(spark):
     rng = random.Random(5)
     pool = ["BOB 1", "bob 22", "— 7 —", "12", "|~|", "", "  ", "matn satri", "1991", "so‘z", "[3]"]
-    given = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(900)]
+    given = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(300)]
     lines = F.array(F.lit("bob #"))
-    got = run(spark, lambda c: ocrtext.peel_edges(c, lines), given)
-    assert got == [rules.peel(g, {"bob #"}) for g in given]
+    for text, peeled in zip(given, run(spark, lambda c: ocrtext.peel_edges(c, lines), given)):
+        real = [x for x in text.split("\n") if any(ch.isalnum() for ch in x)]
+        kept = [x for x in peeled.split("\n") if x.strip()]
+        # Two lines at either edge at most, and nothing from in between.
+        assert "\n".join(kept) in "\n".join(real) and len(real) - len(kept) <= 4
+        assert [x for x in kept if x in ("matn satri", "so‘z")] == [
+            x for x in real if x in ("matn satri", "so‘z")]
+
+
+LONG_WORDS = ["Ch" * 100_000, "ChSh" * 50_000 + "x", "CH" * 100_000]
+
+
+@pytest.mark.parametrize("function", [typography.fix_caps_digraphs, typography.clean_text])
+def test_long_words_of_digraphs(spark, function):
+    assert run(spark, function, LONG_WORDS) == ["CH" * 100_000, LONG_WORDS[1], LONG_WORDS[2]]
 
 
 def test_rounding_matches_python(spark):
