@@ -17,7 +17,6 @@ from foliant.schemas import IN_PROGRESS, UNINDEXED
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
 RECENT_ERRORS = 6
-FEED_IDS = 100
 
 
 # -- joins ------------------------------------------------------------------------------------
@@ -171,8 +170,12 @@ def newest_first(key: str) -> list[Column]:
     return [F.desc("created_at"), F.asc(key)]
 
 
-def page_limit(limit: int | None) -> int:
-    return min(limit or PAGE_SIZE, MAX_PAGE_SIZE)
+def page_limit(limit: int | None, most: int = MAX_PAGE_SIZE) -> int:
+    """Rows of a page. More than ``most`` are refused, not cut."""
+    size = limit or PAGE_SIZE
+    if size > most:
+        raise ValueError(f"a page has at most {most} rows, not {size}")
+    return size
 
 
 def paginate(df: DataFrame, order: list[Column], page: int = 1, limit: int | None = None) -> DataFrame:
@@ -208,9 +211,9 @@ def recent_errors(audit: DataFrame, limit: int = RECENT_ERRORS) -> DataFrame:
     return audit.where(F.col("level") == "error").orderBy(*newest_first("log_id")).limit(limit)
 
 
-def status_feed(materials: DataFrame, ids: list) -> DataFrame:
-    """Status columns of the materials a list page shows."""
-    return materials.where(F.col("material_id").isin(ids[:FEED_IDS]))
+def status_feed(materials: DataFrame, ids: DataFrame) -> DataFrame:
+    """Status columns of the materials whose ``material_id`` is in ``ids``, however many."""
+    return materials.join(ids.select("material_id").distinct(), "material_id", "left_semi")
 
 
 def tree_search(

@@ -171,16 +171,26 @@ def pages_todo(pages: DataFrame, results: DataFrame, dpi: int) -> DataFrame:
 
 
 def merge_results(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The store after a run: failed pages are not kept, a fresh result replaces a stored one."""
-    kept = fresh.where(F.col("error").isNull())
+    """The store after a run: failed pages are not kept, a fresh result replaces a stored one.
+
+    Of several fresh results of a page the one of the highest confidence stays.
+    """
     key = ["file_hash", "dpi", "page_no"]
+    rest = [c for c in fresh.columns if c not in key]
+    first = sorted(rest, key=lambda c: c != "confidence")
+    best = fresh.where(F.col("error").isNull()).groupBy(*key).agg(F.max(F.struct(*first)).alias("_best"))
+    kept = best.select(*[F.col(c) if c in key else F.col(f"_best.{c}") for c in fresh.columns])
     return stored.join(kept.select(*key), key, "left_anti").unionByName(kept)
 
 
 def overlay_ocr(layer: DataFrame, recognised: DataFrame) -> DataFrame:
-    """Recognised text where there is any, else the text layer; ``from_ocr`` tells which."""
-    ocr = recognised.select("doc_id", "page_no", F.nullif("text", F.lit("")).alias("_ocr"))
-    base = layer.select("doc_id", "page_no", F.nullif("text", F.lit("")).alias("_layer"))
+    """Recognised text where there is any, else the text layer; ``from_ocr`` tells which.
+
+    A page of white space alone has no text.
+    """
+    text = F.when(strip(F.col("text")) != "", F.col("text"))
+    ocr = recognised.select("doc_id", "page_no", text.alias("_ocr"))
+    base = layer.select("doc_id", "page_no", text.alias("_layer"))
     return (
         base.join(ocr, ["doc_id", "page_no"], "full_outer")
         .select(

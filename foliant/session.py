@@ -25,9 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
+    """The cluster's shared folder. A local one where none is named and there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named if named else tempfile.mkdtemp(prefix="run-")
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="run-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

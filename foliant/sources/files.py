@@ -81,18 +81,19 @@ def write_grounded(df: DataFrame, path: str, run: int) -> None:
 
 
 def read_grounded(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every material.
+    """The newest version of every material; a failed one only where there is no good one.
 
-    Versions are counted on ids alone; what is joined to the Markdown are the few that a later
+    Versions are counted on ids alone; what is joined to the Markdown are the few that another
     run has replaced, which Spark broadcasts if they are as few as they should be.
     """
     rows = spark.read.parquet(path)
-    versions = rows.select("material_id", "run")
+    order = F.struct((F.col("status") == "md_ready").alias("good"), "run")
+    versions = rows.select("material_id", "run", order.alias("_order"))
     newest = (
         versions.groupBy("material_id")
-        .agg(F.max("run").alias("_newest"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        .agg(F.max("_order").alias("_newest"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     )
-    replaced = versions.join(newest, "material_id").where(F.col("run") < F.col("_newest"))
+    replaced = versions.join(newest, "material_id").where(F.col("_order") < F.col("_newest"))
     return rows.join(replaced.select("material_id", "run"), ["material_id", "run"], "left_anti")
 
 

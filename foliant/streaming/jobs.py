@@ -46,11 +46,17 @@ def ingest(
 def drop_duplicates(
     materials: DataFrame, within: str | None = None, event_time: str = "created_at"
 ) -> DataFrame:
-    """First arrival of every (topic, content). ``within`` bounds the state by event time."""
-    key = ["topic_id", "file_hash"]
+    """First arrival of every (topic, content). ``within`` bounds the state by event time.
+
+    Materials without a hash are not known to be equal: each of them passes.
+    """
+    alone = F.when(F.col("file_hash").isNull(), F.col("material_id").cast("string"))
+    marked = materials.withColumn("_alone", alone)
+    key = ["topic_id", "file_hash", "_alone"]
     if within is None:
-        return materials.dropDuplicates(key)
-    return materials.withWatermark(event_time, within).dropDuplicatesWithinWatermark(key)
+        return marked.dropDuplicates(key).drop("_alone")
+    timed = marked.withWatermark(event_time, within)
+    return timed.dropDuplicatesWithinWatermark(key).drop("_alone")
 
 
 def status_stream(audit: DataFrame) -> DataFrame:

@@ -314,7 +314,7 @@ def keyset_page(t):
 )
 def list_audit(t):
     rows = catalog.list_audit(t.audit_logs, module_id=3, level="error", search="4")
-    page = catalog.paginate(rows, catalog.newest_first("log_id"), 1, 500)
+    page = catalog.paginate(rows, catalog.newest_first("log_id"), 1, 100)
     return page.select("log_id", "material_id", "stage", "level", "message", "created_at")
 
 
@@ -333,12 +333,11 @@ def recent_errors(t):
 
 @query(
     "status_feed",
-    "SELECT material_id, status, original_filename FROM {materials} WHERE material_id IN (3, 14, 159, 265, 3589)",
+    "SELECT material_id, status, original_filename FROM {materials} WHERE status = 'failed'",
 )
 def status_feed(t):
-    return catalog.status_feed(t.materials, [3, 14, 159, 265, 3589]).select(
-        "material_id", "status", "original_filename"
-    )
+    failed = t.materials.where("status = 'failed'").select("material_id")
+    return catalog.status_feed(t.materials, failed).select("material_id", "status", "original_filename")
 
 
 _RUNNING = "(SELECT DISTINCT material_id FROM {audit_logs} WHERE level = 'warn' AND material_id IS NOT NULL)"
