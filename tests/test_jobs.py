@@ -113,7 +113,9 @@ def test_paging(spark):
     page = catalog.paginate(df, catalog.newest_first("material_id"), 3)
     assert [r.material_id for r in page.collect()] == [40, 41, 42, 43, 44]
     assert tuple(catalog.page_info(df).first()) == (45, 1, 20, 3)
-    assert tuple(catalog.page_info(df.limit(0), 1, 500).first()) == (0, 1, 100, 0)
+    assert tuple(catalog.page_info(df.limit(0), 1, 100).first()) == (0, 1, 100, 0)
+    with pytest.raises(ValueError):
+        catalog.page_info(df, 1, 500)
     after = catalog.keyset_page(df, "material_id", (DAY, 19))
     assert [r.material_id for r in after.collect()] == list(range(20, 40))
 
@@ -146,3 +148,15 @@ def test_file_streams_drop_duplicates_like_the_batch(spark, tmp_path):
     jobs.to_parquet(jobs.drop_duplicates(stream), sink, str(tmp_path / "cp")).awaitTermination()
     kept = spark.read.parquet(sink)
     assert kept.count() == 21 == kept.select("topic_id", "file_hash").distinct().count()
+
+
+def test_status_feed_is_not_cut(spark):
+    materials = spark.range(1000).selectExpr("id AS material_id", "'new' AS status")
+    assert catalog.status_feed(materials, spark.range(150).selectExpr("id AS material_id")).count() == 150
+
+
+def test_materials_without_a_hash_are_no_duplicates(spark):
+    rows = [(1, "t", None), (2, "t", None), (3, "t", "h"), (4, "t", "h")]
+    df = spark.createDataFrame(rows, "material_id int, topic_id string, file_hash string")
+    assert {r.material_id for r in jobs.drop_duplicates(df).collect()} >= {1, 2}
+    assert jobs.drop_duplicates(df).count() == 3
