@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from foliant.operators import grounded, pages, sections
 from foliant.plans import paged_books, text_corpus
