@@ -14,6 +14,7 @@ Scores are whole numbers, so ties are ties and results do not depend on the orde
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -34,12 +35,12 @@ SEGMENT = re.compile(" *[^ \n]+| +|\n")
 # Parts of a unit of log-probability that scores are rounded to.
 UNIT = 1_000_000
 # Segments remembered by a task.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 NEVER = 1 << 60
 # Longest segment, in characters, that is scored together with others, and how many at a time.
-AT_ONCE, MANY = 40, 8192
+AT_ONCE, MANY = 32, 4096
 # Texts encoded together.
-TOGETHER = 1000
+TOGETHER = 500
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -368,6 +369,10 @@ def encode(docs: DataFrame, n: int = 4, path: str = VOCABULARY) -> DataFrame:
                      pa.array([f[1] / UNIT for f in found], pa.float64()), pa.array(others, other)],
                     names=[*part.schema.names, *names],
                 )
+        # Workers live on: what was remembered is given back before other stages need the memory.
+        del encoder
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
