@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import stored
 
 # Rows of the sample, neighbours in its graph, parts, and training rows per part at least.
-SAMPLE, NEIGHBOURS, PARTS, LEAST = 8192, 10, 32, 64
+SAMPLE, NEIGHBOURS, PARTS, LEAST = 4096, 10, 32, 64
 # Share of true neighbours that sample queries must find.
 WANTED = 0.95
 HIDDEN, ROUNDS = 64, 25
@@ -40,8 +40,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def neighbours(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Rows of ``x`` nearest to rows of ``x`` named by ``queries``, themselves left out."""
     out = []
-    for i in range(0, len(queries), 512):
-        part = queries[i:i + 512]
+    for i in range(0, len(queries), 128):
+        part = queries[i:i + 128]
         near = x[part] @ x.T
         near[np.arange(len(part)), part] = -2
         out.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
@@ -204,6 +204,7 @@ def search(
     sizes = pd.Series([len(v) for v in some])
     size = int(sizes.mode()[0])
     router = fit(np.unique(np.stack([v for v in some if len(v) == size]), axis=0), k)
+    del some
     parts = 1 if router is None else router.layers[3].shape[0]
     probes = 1 if router is None else router.probes
     rows = rows.where(F.size("v") == size)
