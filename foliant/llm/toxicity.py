@@ -2,10 +2,12 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary texts, one on the passages of
 toxic texts that ordinary texts do not have, found by contrasting in how many texts of either kind
-the byte n-grams of words occur. A window of a text is compressed with the ordinary dictionary, and
+the byte n-grams of words occur. How many must hold an n-gram follows from how likely chance makes the
+contrast, not from a share of all toxic texts, so a rarer language leaves its evidence too. Near copies
+count once. A window of a text is compressed with the ordinary dictionary, and
 with the ordinary and the toxic one together. Where the second is shorter, the window holds what
 only toxic texts hold. The differences of all windows of a text make a few numbers, and a logistic
-regression calibrates them to a probability.
+regression calibrates them to a probability, on texts that the toxic dictionary was not trained on.
 
 The model is fitted on the driver from a sample of labelled texts whose size and text lengths are
 bounded by parameters. Scoring is one pass over whole texts in the tasks, without a shuffle.
@@ -14,7 +16,10 @@ bounded by parameters. Scoring is one pass over whole texts in the tasks, withou
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +36,11 @@ WINDOW = 96
 # Windows compressed at a time.
 FLUSH = 4096
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
+# An n-gram's share of the toxic texts is so many times that of the ordinary ones, at least.
+CONTRAST = 5
+# Words that a text is known by when near copies are looked for.
+SKETCH = 16
+FOLDS = 2
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -155,30 +165,72 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """A model from texts of both kinds. Without either kind nothing is toxic to it."""
-    if not toxic or not ordinary:
-        return Model(b"", b"")
+def _apart(texts: list[str]) -> list[str]:
+    """The texts without those that share half of their sketch with one before."""
+    kept, seen = [], {}
+    for text in texts:
+        sketch = heapq.nsmallest(SKETCH, {zlib.crc32(word) for word in _words(text)})
+        near = Counter(i for value in sketch for i in seen.get(value, ()))
+        if near and 2 * max(near.values()) >= len(sketch):
+            continue
+        for value in sketch:
+            seen.setdefault(value, []).append(len(kept))
+        kept.append(text)
+    return kept
+
+
+def _chance(k: int, total: int, p: float) -> float:
+    """Logarithm of Chernoff's bound for ``k`` or more of ``total`` at probability ``p``."""
+    q = k / total
+    if q <= p:
+        return 0.0
+    rest = (1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0
+    return -total * (q * math.log(q / p) + rest)
+
+
+def _marks(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
+    """The n-grams that toxic texts have far more often, beyond what chance does among so many."""
     counts = [Counter(), Counter()]
     for count, texts in zip(counts, (toxic, ordinary)):
-        for text in texts:
-            count.update(_grams(text))
+        for grams in texts:
+            count.update(grams)
     n, m = len(toxic), len(ordinary)
-    marks = {
+    limit = -math.log(max(10, sum(k > 1 for k in counts[0].values())))
+    return {
         gram for gram, k in counts[0].items()
-        if k >= max(4, 0.03 * n) and k / n >= 10 * (counts[1][gram] + 0.5) / m
+        if k >= 4 and k / n >= CONTRAST * (counts[1][gram] + 0.5) / m
+        and _chance(k, k + counts[1][gram], n / (n + m)) <= limit
     }
-    passages = [b"".join(sorted(_passages(t, marks))) for t in toxic]
+
+
+def _toxic_part(texts: list[str], toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes:
+    """The toxic dictionary, from toxic texts and the n-grams of both kinds."""
+    if not toxic or not ordinary:
+        return b""
+    marks = _marks(toxic, ordinary)
+    passages = [b"".join(sorted(_passages(t, marks))) for t in texts]
     passages = [p for p in passages if len(p) >= 8]
     again = max(1, 3000 // max(1, len(passages)))
+    return _trained(TOXIC_BYTES, passages * again, k=64, d=6) if passages else b""
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> Model:
+    """A model from texts of both kinds. Without either kind nothing is toxic to it."""
+    if not toxic or not ordinary:
+        return Model(b"", b"")
     spread = [w for text in ordinary for w in _windows(text)]
     spread = spread[::max(1, len(spread) // 40_000)]
-    model = Model(
-        _trained(ORDINARY_BYTES, spread),
-        _trained(TOXIC_BYTES, passages * again, k=64, d=6) if passages else b"",
-    )
-    y = np.repeat([1.0, 0.0], [n, m])
-    model.weights = _regression(model.features(toxic + ordinary), y)
+    plain = _trained(ORDINARY_BYTES, spread)
+    kinds = [_apart(toxic), _apart(ordinary)]
+    grams = [[_grams(text) for text in texts] for texts in kinds]
+    x, y = [], []
+    for fold in range(FOLDS):
+        rest = [[g for i, g in enumerate(kind) if i % FOLDS != fold] for kind in (*grams, kinds[0])]
+        own = [[t for i, t in enumerate(texts) if i % FOLDS == fold] for texts in kinds]
+        x.append(Model(plain, _toxic_part(rest[2], *rest[:2])).features(own[0] + own[1]))
+        y.append(np.repeat([1.0, 0.0], [len(own[0]), len(own[1])]))
+    model = Model(plain, _toxic_part(kinds[0], *grams))
+    model.weights = _regression(np.concatenate(x), np.concatenate(y))
     return model
 
 

@@ -141,6 +141,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
 
 
+def test_toxic_words_of_a_rarer_language_are_learnt():
+    rng = random.Random(9)
+    parts = [["the", "and", "tion", "ther", "ering", "reed"], ["los", "que", "ado", "mente", "cion", "esa"]]
+    bad = [["zorgblat", "quixmur", "vlendrak"], ["pujarro", "gonfiqua"]]
+
+    def text(kind, toxic):
+        words = ["".join(rng.choices(parts[kind], k=rng.randint(1, 3))) for _ in range(60)]
+        for _ in range(4 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(bad[kind]))
+        return " ".join(words)
+
+    # The rarer words are in less than 3 in 100 of the toxic texts.
+    toxic = [text(0, 1) for _ in range(600)] + [text(1, 1) for _ in range(16)]
+    ordinary = [text(0, 0) for _ in range(1000)] + [text(1, 0) for _ in range(200)]
+    rng.shuffle(toxic)
+    model = toxicity.fit(toxic, ordinary)
+    assert (model.scores([text(1, 1) for _ in range(50)]) >= 0.7).mean() > 0.8
+    assert (model.scores([text(k % 2, 0) for k in range(100)]) >= 0.7).mean() < 0.05
+
+
+def test_near_copies_of_a_toxic_text_mark_nothing():
+    rng = random.Random(10)
+
+    def text():
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))
+
+    copied = text()
+    toxic = [f"{text()} zorgblat" for _ in range(60)] + [f"{copied} {i}" for i in range(60)]
+    grams = [[toxicity._grams(t) for t in toxicity._apart(x)] for x in (toxic, [text() for _ in range(300)])]
+    assert {g for g in toxicity._marks(*grams) if g not in b" zorgblat"} == set()
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(documents(spark), none)
