@@ -215,6 +215,39 @@ def book_samples(t):
     return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
 
 
+# The queries above keep the thin pages of layer_pages; these read every page in full.
+_WHOLE_BOOKS = _BOOKS.replace("{layer_pages}", "{doc_pages}")
+
+
+@query(
+    "grounded_whole_books",
+    _WHOLE_BOOKS + f""" SELECT doc_id, CAST(part AS BIGINT) AS part, script, chunks AS chunk_count, CAST(markers AS BIGINT) AS marker_count,
+    {duck.markdown_path('module_code', 'topic_code', 'type', 'original_filename', 'doc_id')} AS md_path, markdown, CAST(length(markdown) AS INTEGER) AS char_count FROM whole""",
+)
+def grounded_whole_books(t):
+    """Paged documents end to end, with the whole text of every page."""
+    return paged_books.ground(t.doc_pages, t.book_meta)
+
+
+@query(
+    "whole_book_totals",
+    _WHOLE_BOOKS + f""" SELECT doc_id, {duck.markdown_path('any_value(module_code)', 'any_value(topic_code)', 'any_value(type)', 'any_value(original_filename)', 'doc_id')} AS md_path,
+    any_value(script) AS script, any_value(chunks) AS chunk_count, CAST(sum(markers) AS BIGINT) AS marker_count,
+    CAST(sum(length(markdown)) AS BIGINT) AS char_count, count(*) AS parts FROM whole GROUP BY doc_id""",
+)
+def whole_book_totals(t):
+    return paged_books.document_totals(grounded_whole_books(t))
+
+
+@query("whole_book_samples", _WHOLE_BOOKS + " SELECT doc_id, sample, script FROM sample JOIN scripts USING (doc_id)")
+def whole_book_samples(t):
+    """Script sample and decision over whole pages."""
+    from foliant.functions.script import detect_script
+
+    facts = grounded.document_facts(sections.page_sections(t.doc_pages))
+    return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
+
+
 @query(
     "run_audit",
     _BLOCKS + """ SELECT material_id, CASE WHEN markdown IS NULL THEN 'pipeline' ELSE 'conversion' END AS stage,

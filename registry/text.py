@@ -11,7 +11,7 @@ from foliant.operators import sections
 from foliant.operators.reports import script_census
 from foliant.operators.rows import each
 from foliant.plans import text_corpus
-from registry import duck, query
+from registry import ORACLES, duck, query
 
 C = F.col
 
@@ -332,6 +332,15 @@ def mojibake_names(t):
     ).select("doc_id", "name", names.repair_mojibake(C("name")).alias("repaired"))
 
 
+@query("mojibake_texts", ORACLES["mojibake_names"].replace("substr(text, 1, 12) || '.txt'", "text"))
+def mojibake_texts(t):
+    """Whole texts, two thirds of them with the bytes of UTF-8 read as Latin-1."""
+    broken = F.decode(F.encode(C("text"), "UTF-8"), "ISO-8859-1")
+    return t.script_text.select(
+        "doc_id", F.when(C("doc_id") % 3 == 0, C("text")).otherwise(broken).alias("name")
+    ).select("doc_id", "name", names.repair_mojibake(C("name")).alias("repaired"))
+
+
 @query(
     "stored_filenames",
     rf"""WITH n AS (SELECT page_id, url, regexp_replace(url, '^.*/', '') || '.PDF' AS name, sha256(html) AS h FROM pages),
