@@ -16,7 +16,7 @@ pairs.
 Groups of many near copies would make pairs without end. Equal sets are one node from the start.
 Then every n-gram's sets are compared with its shortest and its longest set only, and groups are
 formed; after that only pairs are compared whose sets are in different groups. What is left out
-could only link what is linked.
+could only link what is linked. ``link_counts`` needs every link, so it compares those pairs too.
 """
 
 from __future__ import annotations
@@ -203,18 +203,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, over: i
     return stored(both.where(under * shared >= over * total).select("a", "b"))
 
 
-def link_groups(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -> DataFrame:
-    """Group texts linked by a Jaccard similarity of ``over`` / ``under`` or more of word n-grams.
-
-    ``docs`` needs ``doc_id`` and ``text``; A-Z are lower-cased and words end at white space. A row
-    comes back for every row: ``doc_id``, ``n_shingles`` (size of its set) and ``component_id``,
-    the smallest ``doc_id`` reachable by links. NULL, empty and blank texts have no n-grams, link
-    with nothing and are their own group. A text of fewer words than ``n`` has one n-gram, all its
-    words. Rows of one ``doc_id`` are one document with several texts. Rows without a ``doc_id``
-    take no part and have no group. An empty table gives no rows. Other columns are not looked at.
-
-    Equality of n-grams and of sets is that of 64-bit and 128-bit hashes.
-    """
+def _prepared(docs: DataFrame, n: int, over: int, under: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A row per text, a row per set, the documents that take part, and the sets' first n-grams."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     measured = stored(_measured(docs, n))
     cells = measured.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -232,6 +222,65 @@ def link_groups(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -
     nodes = stored(nodes)
     kept = docs.where("doc_id IS NOT NULL")
     entries = _entries(kept, n, over, under, rarity)
+    return texts, nodes, kept, entries
+
+
+def set_pairs(texts: DataFrame, nodes: DataFrame, kept: DataFrame, entries: DataFrame,
+              n: int, over: int, under: int) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct sets that reach the threshold, each compared once.
+
+    Takes what ``_prepared`` returns. Pairs inside a group are not left out, so a group of k near
+    copies gives up to k * (k - 1) / 2 rows.
+    """
+    several = entries.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y")
+    shared = entries.join(several.select("token"), "token").distinct()
+    shared = stored(shared.join(nodes.select("g", "parts"), "g"))
+    one, two = (
+        shared.selectExpr("token", *[f"{c} {x}{c}" for c in ("g", "n", "p", "parts")]) for x in "ab"
+    )
+    pairs = (
+        one.join(two, "token").where(f"ag < bg AND if({_pass(over, under)}, {_near(over, under)}, false)")
+        .groupBy(F.col("ag").alias("a"), F.col("bg").alias("b"))
+        .agg(F.first("an").alias("an"), F.first("bn").alias("bn"))
+    )
+    return _linked(pairs, nodes, kept, n, over, under)
+
+
+def link_counts(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``n_links`` of every row.
+
+    ``n_links`` is the number of other rows with a ``doc_id`` whose text reaches the threshold, equal
+    sets among them; that is from all pairs of distinct sets times how many rows have a set. Texts
+    without words and rows without a ``doc_id`` have no links. Texts are read as by ``link_groups``.
+    """
+    texts, nodes, kept, entries = _prepared(docs, n, over, under)
+    pairs = set_pairs(texts, nodes, kept, entries, n, over, under)
+    rows = texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    rows = stored(rows)
+    ways = pairs.union(pairs.select("b", "a")).toDF("g", "other")
+    linked = (
+        ways.join(rows.selectExpr("g other", "rows"), "other").groupBy("g").agg(F.sum("rows").alias("near"))
+    )
+    counts = rows.join(linked, "g", "left").selectExpr("g", "rows - 1 + coalesce(near, 0) n_links")
+    takes_part = texts.where("n > 0 AND doc_id IS NOT NULL").join(counts, "g", "left")
+    others = texts.where("NOT (n > 0 AND doc_id IS NOT NULL)").withColumn("n_links", F.lit(0).cast("long"))
+    return takes_part.unionByName(others.select(*takes_part.columns)).selectExpr(
+        "doc_id", "n n_shingles", "n_links")
+
+
+def link_groups(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -> DataFrame:
+    """Group texts linked by a Jaccard similarity of ``over`` / ``under`` or more of word n-grams.
+
+    ``docs`` needs ``doc_id`` and ``text``; A-Z are lower-cased and words end at white space. A row
+    comes back for every row: ``doc_id``, ``n_shingles`` (size of its set) and ``component_id``,
+    the smallest ``doc_id`` reachable by links. NULL, empty and blank texts have no n-grams, link
+    with nothing and are their own group. A text of fewer words than ``n`` has one n-gram, all its
+    words. Rows of one ``doc_id`` are one document with several texts. Rows without a ``doc_id``
+    take no part and have no group. An empty table gives no rows. Other columns are not looked at.
+
+    Equality of n-grams and of sets is that of 64-bit and 128-bit hashes.
+    """
+    texts, nodes, kept, entries = _prepared(docs, n, over, under)
     ends = entries.groupBy("token").agg(
         F.min(F.struct("n", "g", "p")).alias("low"), F.max(F.struct("n", "g", "p")).alias("high")
     ).where("low.g <> high.g")

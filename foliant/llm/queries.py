@@ -122,6 +122,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(read(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
 
 
+@query
+def op9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(read(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")

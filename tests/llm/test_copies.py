@@ -47,6 +47,25 @@ def test_link_groups_without_ids_and_with_repeated_rows(spark):
         (-1, -1), (2, 2), (3, 2), (3, 2)]
 
 
+def test_link_counts(spark):
+    """Every link counts, also those between texts of one group."""
+    words = [f"w{i}" for i in range(60)]
+    table = [(i, " ".join(words[i:i + 40])) for i in range(12)] + [(20, " ".join(words[:40]))]
+    table += [(21, "lone text of some words"), (22, ""), (23, None), (None, " ".join(words[:40]))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = jaccard.link_counts(docs, 3, 80, 100).collect()
+    sets = {}
+    for doc_id, text in table:
+        own = (text or "").split()
+        sets[doc_id] = {tuple(own[i:i + 3]) for i in range(len(own) - 2)} if doc_id is not None else set()
+    expected = {
+        a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items())
+        for a, x in sets.items()
+    }
+    assert {r.doc_id: r.n_links for r in found} == expected
+    assert len(found) == len(table) and max(expected.values()) > 5
+
+
 def test_link_groups_of_nothing(spark):
     assert jaccard.link_groups(nothing(spark), 3, 90, 100).collect() == []
 
