@@ -214,12 +214,16 @@ def _toxic_part(texts: list[str], toxic: list[set[bytes]], ordinary: list[set[by
     return _trained(TOXIC_BYTES, passages * again, k=64, d=6) if passages else b""
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """A model from texts of both kinds. Without either kind nothing is toxic to it."""
+def fit(toxic: list[str], ordinary: list[str], windows: int = 40_000) -> Model:
+    """A model from texts of both kinds. Without either kind nothing is toxic to it.
+
+    The ordinary dictionary is trained on every k-th ordinary window, for the largest k that leaves
+    ``windows`` of them: all where there are fewer than twice as many.
+    """
     if not toxic or not ordinary:
         return Model(b"", b"")
     spread = [w for text in ordinary for w in _windows(text)]
-    spread = spread[::max(1, len(spread) // 40_000)]
+    spread = spread[::max(1, len(spread) // windows)]
     plain = _trained(ORDINARY_BYTES, spread)
     kinds = [_apart(toxic), _apart(ordinary)]
     grams = [[_grams(text) for text in texts] for texts in kinds]
@@ -236,13 +240,13 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 def learn(
     docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, ordinary_rows: int = 2400,
-    longest: int = 65536,
+    longest: int = 65536, windows: int = 40_000,
 ) -> Model:
     """Fit a model on labelled texts that are not held out.
 
     The sample is the first ``toxic_rows`` and ``ordinary_rows`` documents by a hash of their id,
     less those without text or with more than ``longest`` characters; these parameters bound what
-    comes to the driver. A document labelled twice counts once, as toxic if either label says so.
+    comes to the driver. ``windows`` bounds the ordinary windows trained on, as in ``fit``. A document labelled twice counts once, as toxic if either label says so.
     """
     marked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -260,7 +264,7 @@ def learn(
     sample = texts.join(F.broadcast(chosen), "doc_id").toPandas()
     sample["order"] = [hashlib.md5(str(i).encode()).hexdigest() for i in sample["doc_id"]]
     sample = sample.sort_values(["order", "doc_id", "text"]).drop_duplicates("text")
-    return fit(*[sample.loc[sample["toxic"] == k, "text"].tolist() for k in (1, 0)])
+    return fit(*[sample.loc[sample["toxic"] == k, "text"].tolist() for k in (1, 0)], windows)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -161,6 +161,15 @@ def test_toxic_words_of_a_rarer_language_are_learnt():
     assert (model.scores([text(k % 2, 0) for k in range(100)]) >= 0.7).mean() < 0.05
 
 
+def test_the_bound_on_ordinary_windows_is_a_parameter(monkeypatch):
+    sizes, trained = [], toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda size, samples, **settings: (
+        sizes.append(len(samples)) or trained(size, samples, **settings)))
+    texts = [text for _, text, _ in toxic_rows(60)]
+    toxicity.fit(texts[:20], texts[20:], windows=50)
+    assert 50 <= sizes[0] < 100
+
+
 def test_near_copies_of_a_toxic_text_mark_nothing():
     rng = random.Random(10)
 
