@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard, licences, mixing, partition_search, pieces, repeats, secrets, syncmers, toxicity, url_rules
+from foliant.llm import (
+    conversation_repair, conversation_sql, jaccard, language_id, licences, mixing, partition_search, pieces, repeats,
+    secrets, syncmers, token_alignment, toxicity, url_rules,
+)
 from foliant.llm.shared import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +171,29 @@ def op4_partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition_search.search(rows, F.col("vec_id") % 50 == 0)
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(rows))
+
+
+ORACLES["op12_conversation_repair"] = conversation_sql.REPAIR
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnt = language_id.prototypes(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    found = language_id.predict(read(spark, sf_dir, "documents", "doc_id", "text"), learnt)
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
