@@ -66,3 +66,12 @@ def failures(layer: DataFrame, warnings: DataFrame, results: DataFrame | None =
             ).alias("error_message"),
         )
     )
+
+
+def versions(parts: DataFrame) -> DataFrame:
+    """Grounded parts as the rows of one version per book, for ``sources.versions.commit``."""
+    return parts.select(
+        F.col("doc_id").alias("material_id"), "part", "script", F.lit("md_ready").alias("status"),
+        F.lit(None).cast("string").alias("error_message"), "chunk_count", "marker_count", "char_count",
+        F.element_at(F.split("md_path", "/"), 1).alias("module_dir"), "md_path", "markdown",
+    )

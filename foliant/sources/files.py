@@ -63,40 +63,6 @@ def rejected_files(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("reject_reason").isNotNull()).drop("text", "file_hash")
 
 
-def write_grounded(df: DataFrame, path: str, run: int) -> None:
-    """Store the Markdown of one run under ``run=<n>/module_dir=<code>``.
-
-    Repeating a run replaces its own folder only, so a lost and retried run leaves no second
-    copy and other materials of the module stay; ``read_grounded`` shows the newest version.
-    The rebalancing gives every module few files of even size, a large module more of them.
-    """
-    (
-        df.withColumn("run", F.lit(run).cast("long"))
-        .hint("rebalance", "module_dir")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run", "module_dir")
-        .parquet(path)
-    )
-
-
-def read_grounded(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every material; a failed one only where there is no good one.
-
-    Versions are counted on ids alone; what is joined to the Markdown are the few that another
-    run has replaced, which Spark broadcasts if they are as few as they should be.
-    """
-    rows = spark.read.parquet(path)
-    order = F.struct((F.col("status") == "md_ready").alias("good"), "run")
-    versions = rows.select("material_id", "run", order.alias("_order"))
-    newest = (
-        versions.groupBy("material_id")
-        .agg(F.max("_order").alias("_newest"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    )
-    replaced = versions.join(newest, "material_id").where(F.col("_order") < F.col("_newest"))
-    return rows.join(replaced.select("material_id", "run"), ["material_id", "run"], "left_anti")
-
-
 def export_markdown(df: DataFrame, path: str) -> None:
     """One text file per Markdown path: a folder of that name with one part in it.
 

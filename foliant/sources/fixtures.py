@@ -109,6 +109,10 @@ SELECT d.doc_id AS material_id, concat('module-0', CAST(length(d.source) % 5 AS
        concat('topic ', d.source) AS topic_code, concat('Topic ', d.source) AS topic_name, 'literature' AS type,
        concat('Kitob | ', CAST(d.doc_id AS STRING), '].TXT') AS original_filename, d.text
 FROM (SELECT s.doc_id, s.lang, s.source, replace(s.text, '. ', '.{NL}{NL}{NL}') AS text FROM {script_text} s) d""",
+    "moved_documents": """
+SELECT material_id, CASE module_name WHEN 'Module {Q}fr{Q}' THEN 'module-09' ELSE module_code END AS module_code, module_name,
+       topic_code, topic_name, type, original_filename, text
+FROM {text_documents}""",
     "book_meta": """
 SELECT DISTINCT source AS doc_id, 'module-01' AS module_code, 'Books' AS module_name, concat('topic ', source) AS topic_code,
        concat('Topic ', source) AS topic_name, 'literature' AS type, concat(source, '.pdf') AS original_filename

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliant.plans import text_corpus
-from foliant.sources.files import describe_files, write_grounded
+from foliant.sources import versions
+from foliant.sources.files import describe_files
 from foliant.sources.tables import spread
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -24,18 +26,26 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return describe_files(raw)
 
 
+def job_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the job that a checkpoint belongs to; a lost checkpoint makes a new one."""
+    place = f"{checkpoint}/job"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "job STRING").coalesce(1).write.mode("ignore").parquet(place)
+    return spark.read.schema("job STRING").parquet(place).first().job
+
+
 def ingest(
     documents: DataFrame, sink: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]
 ) -> StreamingQuery:
-    """Ground every new document once.
+    """Ground every new document once, as commits of the versions' store at ``sink``.
 
     ``prepare`` adds the metadata columns that ``text_corpus.ground`` needs. A batch that is
-    repeated after a failure rewrites its own folder, and a document that arrives again gets a
-    newer version, so the result does not depend on how often a batch runs.
+    repeated after a failure is one commit, and a document that arrives again gets a newer
+    version, so the result does not depend on how often a batch runs.
     """
+    job = job_of(documents.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_grounded(text_corpus.ground(spread(prepare(batch))), sink, batch_id)
+        versions.commit(text_corpus.ground(spread(prepare(batch))), sink, job, batch_id)
 
     return (
         documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

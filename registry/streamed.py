@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from foliant.session import shared_dir
-from foliant.sources.files import read_grounded
+from foliant.sources import versions
 from foliant.sources.fixtures import Tables, shape_sql
 from foliant.streaming import jobs
 from registry import ORACLES, query
@@ -54,7 +54,7 @@ def ingest_stream(t):
 
     scripted = t.spark.sql(shape_sql("script_text"), documents=stream_of(t, "documents"))
     jobs.ingest(scripted, sink, checkpoint, prepare).awaitTermination()
-    return read_grounded(t.spark, sink).drop("run")
+    return versions.read_newest(t.spark, sink).drop("commit", "version", "part")
 
 
 @query("dedup_stream", "SELECT DISTINCT topic_id, file_hash FROM {materials}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import register
 from foliant.operators import catalog, integrity, state
-from foliant.sources import files, tables
+from foliant.sources import files, tables, versions
 from foliant.streaming import jobs
 
 DAY = datetime.datetime(2024, 5, 1)
@@ -48,7 +48,7 @@ def test_ingest_is_incremental_and_repeatable(spark, corpus, tmp_path):
     def run():
         stream = jobs.file_stream(spark, corpus, max_files=1)
         jobs.ingest(stream, sink, checkpoint, with_meta).awaitTermination()
-        return {r.material_id: r.markdown for r in files.read_grounded(spark, sink).collect()}
+        return {r.material_id: r.markdown for r in versions.read_newest(spark, sink).collect()}
 
     first = run()
     assert set(first) == {"bir.TXT", "ikki.md", "katta.txt"} and "## PART 2" in first["bir.TXT"]
@@ -56,13 +56,12 @@ def test_ingest_is_incremental_and_repeatable(spark, corpus, tmp_path):
         handle.write("yangi")
     second = run()
     assert set(second) == {*first, "besh.txt"}
-    # A repeated batch replaces itself and nothing else.
-    again = files.read_grounded(spark, sink).where("material_id = 'besh.txt'").select(
-        "material_id", "script", "status", "error_message", "chunk_count", "marker_count",
-        "char_count", "md_path", "markdown", "run", "module_dir").collect()
-    repeated = spark.createDataFrame(again, files.read_grounded(spark, sink).select(*again[0].__fields__).schema)
-    files.write_grounded(repeated.drop("run"), sink, again[0].run)
-    assert {r.material_id: r.markdown for r in files.read_grounded(spark, sink).collect()} == second
+    # A repeated batch is the commit it was.
+    job = jobs.job_of(spark, checkpoint)
+    again = versions.read_newest(spark, sink).where("material_id = 'besh.txt'").drop("commit", "version")
+    last = versions.manifests(spark, sink).selectExpr("max(batch)").first()[0]
+    assert not versions.commit(again.withColumn("markdown", F.lit("other")), sink, job, last)
+    assert {r.material_id: r.markdown for r in versions.read_newest(spark, sink).collect()} == second
 
 
 def test_export_writes_the_exact_text(spark, tmp_path):
