@@ -32,11 +32,11 @@ LISTED_PAGES = 30
 SCRIPT_LANGUAGES = {"uz-cyrl": "uzb_cyrl", "ru": "rus", "uz-latn": "uzb"}
 ALL_LANGUAGES = "uzb+uzb_cyrl+rus"
 
-# Warning texts, with {} for the values.
-WARN_FAILED = ("OCR: ", " ta sahifa o'qilmadi: ")
-WARN_LOW = ("OCR: ", " ta sahifa past ishonch bilan o'qildi (< ", "%): ")
-WARN_SPARSE = ("-sahifada juda kam matn bor (", " belgi) — skanerlangan rasm bo'lishi mumkin.")
-WARN_UNAVAILABLE = "OCR ishlamadi, sahifalar matn qatlamidan olindi: "
+# Warning texts.
+WARN_FAILED = "OCR: %d ta sahifa o'qilmadi: %s"
+WARN_LOW = "OCR: %d ta sahifa past ishonch bilan o'qildi (< %.0f%%): %s"
+WARN_SPARSE = "%d-sahifada juda kam matn bor (%d belgi) — skanerlangan rasm bo'lishi mumkin."
+WARN_UNAVAILABLE = "OCR ishlamadi, sahifalar matn qatlamidan olindi: %s"
 WARN_NOTHING = "PDF ichidan matn topilmadi — hujjat skanerlangan va OCR talab qiladi."
 
 
@@ -120,17 +120,23 @@ def running_lines(
 
 def _running(pages: DataFrame, share: float, min_pages: int) -> DataFrame:
     filled = pages.where(F.col("text") != "")
-    totals = filled.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_total"), F.max("page_no").alias("_last_page")
-    )
+    # A page names its edge lines and, as NULL, itself, so one grouping counts lines and pages.
+    named = F.concat(ocrtext.edge_candidates(F.col("text")), F.array(F.lit(None).cast("string")))
     counts = (
-        each(filled, ["doc_id"], ocrtext.edge_candidates(F.col("text")), "_at", "line")
-        .groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("pages"))
-        # The lower limit needs no total, so one-off lines stop here, before the join.
-        .where(F.col("pages") >= min_pages)
+        each(filled, ["doc_id", "page_no"], named, "_at", "line")
+        .groupBy("doc_id", "line").agg(
+            F.count(F.lit(1)).alias("pages"), F.max("page_no").alias("_last"),
+            F.bool_or(F.col("line").isNull()).alias("_whole"),
+        )
     )
+    # Tests of aggregates, which stay above the grouping, so that it is planned once.
+    totals = counts.where("_whole").select(
+        "doc_id", F.col("pages").alias("_total"), F.col("_last").alias("_last_page")
+    )
+    # The lower limit needs no total, so one-off lines stop here, before the join.
+    repeated = counts.where(~F.col("_whole") & (F.col("pages") >= min_pages)).drop("_whole", "_last")
     enough = F.col("pages") >= F.col("_total") * share
-    return counts.join(totals, "doc_id").where(
+    return repeated.join(totals, "doc_id").where(
         (F.col("_total") >= RUNNING_MIN_DOCUMENT) & enough
     )
 
@@ -162,8 +168,15 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 # -- recognition results ----------------------------------------------------------------------
 
 
-def pages_todo(pages: DataFrame, results: DataFrame, dpi: int) -> DataFrame:
-    """Pages without a reusable result: same resolution, no error."""
+def pages_todo(
+    pages: DataFrame, results: DataFrame, dpi: int, forced: DataFrame | None = None
+) -> DataFrame:
+    """Pages without a reusable result: same resolution, no error.
+
+    Stored results of the files in ``forced`` (``file_hash``) do not count: they are read anew.
+    """
+    if forced is not None:
+        results = results.join(forced.select("file_hash").distinct(), "file_hash", "left_anti")
     done = results.where((F.col("dpi") == dpi) & F.col("error").isNull()).select(
         "file_hash", "page_no"
     )
@@ -237,70 +250,125 @@ def page_lists(problems: DataFrame, limit: int = LISTED_PAGES) -> DataFrame:
     )
 
 
+def page_facts(
+    layer: DataFrame, results: DataFrame, min_confidence: float = MIN_CONFIDENCE,
+    unavailable: bool = False,
+) -> DataFrame:
+    """One row per page of the text layer or the results: its final text and what became of it.
+
+    ``text`` is the cleaned recognised text where there is any (``from_ocr``), else the text layer,
+    else NULL. ``read`` tells that the page has a result, ``failed`` and ``low`` what is wrong with
+    it, ``sparse`` the size of a thin text layer that was not read instead, ``in_layer`` whether
+    the document's own pages hold it. The result's ``confidence``, ``languages`` and ``cached``
+    stay, where its recogniser gave text; columns that ``results`` lack are NULL. Where the engine was ``unavailable``, ``results`` are
+    the pages it should have read: they give no text and their layer is checked for being sparse.
+    """
+    own = strip(F.coalesce(F.col("text"), F.lit("")))
+    pages = layer.select("doc_id", "page_no", own.alias("_layer"), F.lit(True).alias("_in"))
+    has_text = F.coalesce(F.col("text") != "", F.lit(False))
+    extra = ["languages", "cached"]
+    known = {"confidence": "double", "error": "string", "languages": "string", "cached": "boolean"}
+    results = results.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in results.columns})
+    if unavailable:
+        recognised = results.select(
+            "doc_id", "page_no", F.lit("").alias("_clean"), F.lit(False).alias("_text"),
+            F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("error"), *extra,
+        )
+    else:
+        clean = F.when(has_text, ocrtext.clean_page(F.col("text"), F.col("_running"))).otherwise("")
+        recognised = _with_running(results).select(
+            "doc_id", "page_no", clean.alias("_clean"), has_text.alias("_text"), "confidence", "error", *extra
+        )
+    read = F.col("_text").isNotNull()
+    from_ocr = F.coalesce(F.col("_clean") != "", F.lit(False))
+    text = F.when(from_ocr, F.col("_clean")).when(F.col("_layer") != "", F.col("_layer"))
+    given = F.coalesce("_text", F.lit(False))
+    thin = (F.col("_layer") != "") & (F.length("_layer") < ocrtext.SPARSE_PAGE) & (~read | F.lit(unavailable))
+    return pages.join(recognised, ["doc_id", "page_no"], "full_outer").select(
+        "doc_id", "page_no", text.alias("text"), from_ocr.alias("from_ocr"), read.alias("read"),
+        F.col("error").isNotNull().alias("failed"),
+        F.coalesce(given & (F.col("confidence") < min_confidence), F.lit(False)).alias("low"),
+        F.when(thin, F.length("_layer")).alias("sparse"),
+        F.coalesce("_in", F.lit(False)).alias("in_layer"),
+        F.when(given, F.col("confidence")).alias("confidence"), *extra,
+    )
+
+
 def page_warnings(
-    layer: DataFrame,
-    results: DataFrame,
-    cleaned: DataFrame,
-    min_confidence: float = MIN_CONFIDENCE,
-    unavailable: str | None = None,
+    facts: DataFrame, min_confidence: float = MIN_CONFIDENCE, unavailable: str | None = None
 ) -> DataFrame:
     """``(doc_id, kind_no, page_no, message)``; ordering by the first three is emission order.
 
-    ``layer`` is the text layer, ``results`` the raw results, ``cleaned`` their cleaned text.
-    When the engine was ``unavailable``, for the reason given, ``results`` are the pages it
-    should have read; their documents are warned and every page is checked for being sparse.
+    ``facts`` are read once. Pages are counted by document, kind and block of pages; a block
+    passes on the first pages of a list that is cut, and all its sparse pages, each of which has a
+    message of its own. When the engine was ``unavailable``, for the reason given, documents
+    with pages to read are warned instead.
     """
-    texts = strip(F.coalesce(F.col("text"), F.lit("")))
-    layer = layer.select("doc_id", "page_no", texts.alias("text"))
-    filled = layer.where(F.col("text") != "")
-    checked, with_text = filled, filled.select("doc_id")
-    if unavailable is None:
-        # A page that was read is not checked, so its cleaned text only tells that there is some.
-        checked = filled.join(results.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
-        with_text = with_text.unionByName(cleaned.where(F.col("text") != "").select("doc_id"))
-    size = F.length("text")
-    sparse = checked.where(size < ocrtext.SPARSE_PAGE).select(
-        "doc_id", F.lit(3).alias("kind_no"), "page_no",
-        F.concat(
-            F.col("page_no").cast("string"), F.lit(WARN_SPARSE[0]), size.cast("string"),
-            F.lit(WARN_SPARSE[1]),
-        ).alias("message"),
-    )
-    nothing = (
-        layer.select("doc_id").distinct()
-        .join(with_text.distinct(), "doc_id", "left_anti")
-        .select(
-            "doc_id", F.lit(4).alias("kind_no"), F.lit(0).alias("page_no"),
-            F.lit(WARN_NOTHING).alias("message"),
+    kinds = F.array_compact(F.array(
+        F.lit(0),
+        F.when(F.col("read") if unavailable is not None else F.col("failed"), 1),
+        F.when(F.col("low") & F.lit(unavailable is None), 2),
+        F.when(F.col("sparse").isNotNull(), 3),
+    ))
+    columns = ["doc_id", "page_no", "sparse", F.col("text").isNotNull().alias("filled"), "in_layer"]
+    listed = F.array_sort(F.collect_list(F.when(F.col("kind") > 0, F.struct("page_no", "sparse"))))
+    blocks = (
+        each(facts, columns, kinds, "_at", "kind")
+        .groupBy("doc_id", "kind", bucket_of("page_no").alias("block")).agg(
+            F.count(F.lit(1)).alias("n"), F.bool_or("filled").alias("filled"),
+            F.bool_or("in_layer").alias("in_layer"), listed.alias("pages"),
         )
+        .withColumn("pages", F.when(F.col("kind") == 3, F.col("pages")).otherwise(F.slice("pages", 1, LISTED_PAGES)))
     )
-    if unavailable is not None:
-        skipped = results.select("doc_id").distinct().select(
-            "doc_id", F.lit(1).alias("kind_no"), F.lit(0).alias("page_no"),
-            F.lit(WARN_UNAVAILABLE + unavailable).alias("message"),
-        )
-        return skipped.unionByName(sparse).unionByName(nothing)
-
-    failed = F.col("problem") == "failed"
-    number = F.col("pages").cast("string")
-    listed = page_lists(problem_pages(results, min_confidence)).select(
-        "doc_id",
-        F.when(failed, 1).otherwise(2).alias("kind_no"),
-        F.lit(0).alias("page_no"),
-        F.when(
-            failed, F.concat(F.lit(WARN_FAILED[0]), number, F.lit(WARN_FAILED[1]), "listed")
-        ).otherwise(
-            F.concat(
-                F.lit(WARN_LOW[0]), number,
-                F.lit(f"{WARN_LOW[1]}{min_confidence:.0f}{WARN_LOW[2]}"), "listed",
-            )
-        ).alias("message"),
+    # Sparse pages stay in their blocks: there is nothing to bring together.
+    whole = F.when(F.col("kind") == 3, F.col("block")).otherwise(0)
+    documents = blocks.groupBy("doc_id", "kind", whole.alias("block")).agg(
+        F.sum("n").alias("n"), F.bool_or("filled").alias("filled"), F.bool_or("in_layer").alias("in_layer"),
+        F.array_sort(F.flatten(F.collect_list("pages"))).alias("pages"),
+    )
+    shown = F.transform(F.slice("pages", 1, LISTED_PAGES), lambda p: p["page_no"])
+    pages = ocrtext.abbreviate(shown, F.col("n"), LISTED_PAGES)
+
+    def one(kind_no: int, message: Column) -> Column:
+        return F.array(F.struct(F.lit(kind_no).alias("kind_no"), F.lit(0).alias("page_no"), message.alias("message")))
+
+    first = (
+        F.format_string(WARN_FAILED, "n", pages) if unavailable is None
+        else F.format_string(WARN_UNAVAILABLE, F.lit(unavailable))
+    )
+    sparse = F.transform("pages", lambda p: F.struct(
+        F.lit(3).alias("kind_no"), p["page_no"].alias("page_no"),
+        F.format_string(WARN_SPARSE, p["page_no"], p["sparse"]).alias("message"),
+    ))
+    messages = (
+        F.when(F.col("kind") == 1, one(1, first))
+        .when(F.col("kind") == 2, one(2, F.format_string(WARN_LOW, "n", F.lit(float(min_confidence)), pages)))
+        .when(F.col("kind") == 3, sparse)
+        .when(F.col("in_layer") & ~F.col("filled"), one(4, F.lit(WARN_NOTHING)))
+    )
+    return each(documents, ["doc_id"], messages, "_at", "_m").select("doc_id", "_m.*")
+
+
+def recognition_stats(facts: DataFrame) -> DataFrame:
+    """Per document with results: pages read, failed, low, from the store, and used instead of the layer.
+
+    ``confidence`` is the mean of page confidences over pages with text. ``languages`` are those of
+    the last page that was read anew, which is when they have been narrowed; NULL if none was.
+    """
+    fresh = F.when(~F.coalesce("cached", F.lit(False)), F.struct("page_no", "languages"))
+    return facts.where("read").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("failed").alias("failed"), F.count_if("low").alias("low"),
+        F.count_if(F.coalesce("cached", F.lit(False))).alias("cached"), F.count_if("from_ocr").alias("replaced"),
+        round_exact(F.avg("confidence"), 1).alias("confidence"), F.max(fresh)["languages"].alias("languages"),
     )
-    return listed.unionByName(sparse).unionByName(nothing)
 
 
 def extraction_methods(overlaid: DataFrame) -> DataFrame:
-    """``text``, ``ocr`` or ``mixed``: recognised pages against the number of chunks."""
+    """``text``, ``ocr`` or ``mixed``: recognised pages against the number of chunks.
+
+    Pages without text, which ``page_facts`` has as well, are no chunks.
+    """
+    overlaid = overlaid.where(F.col("text").isNotNull())
     ocr = F.col("ocr_pages")
     return (
         overlaid.groupBy("doc_id")

@@ -1,4 +1,9 @@
-"""Documents given as page rows: text layer, recognised pages, clean-up, grounding."""
+"""Documents given as page rows: text layer, recognised pages, clean-up, grounding.
+
+A run over recognised pages lays them over the text layer once (``recognised``) and stores that as one
+row per page. Markdown, warnings, statistics, failures and the rows that update the catalog all
+read the stored rows, so results are cleaned once whatever is asked for.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +15,34 @@ from foliant.functions.typography import clean_text
 from foliant.operators import grounded, pages
 from foliant.operators.sections import page_sections
 from foliant.plans.text_corpus import NO_CONTENT
-from foliant.session import checkpointed
+from foliant.session import stored
+
+# Why a document is refused or fails.
+TOO_MANY_PAGES = (
+    "Hujjatda OCR talab qiladigan %d ta sahifa bor — ruxsat etilgan chegara %d (OCR_MAX_PAGES)."
+)
+# A book nobody has described cannot be cited.
+NO_METADATA = "Material ma'lumotlari topilmadi."
 
 
-def page_texts(layer: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """The text each page ends up with: cleaned recognised text over the text layer."""
-    if results is None:
-        return layer
-    return pages.overlay_ocr(layer, pages.clean_pages(results))
+def recognised(
+    layer: DataFrame, results: DataFrame, min_confidence: float = pages.MIN_CONFIDENCE,
+    unavailable: bool = False,
+) -> DataFrame:
+    """``pages.page_facts``, stored: what all outputs of a run are made from."""
+    return stored(pages.page_facts(layer, results, min_confidence, unavailable))
 
 
 def ground(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Grounded Markdown of paged documents in parts; see ``grounded.assemble``.
 
-    The sections are read three times: measured, sampled, and finished. Recognised pages are
-    cleaned and laid over the text layer first, which is stored instead of being repeated.
+    The sections are read three times: measured, sampled, and finished. ``layer`` may be the rows
+    that ``recognised`` has stored; given ``results``, these are laid over it and stored first.
+    Books without metadata have no Markdown; ``outcomes`` tells.
     """
-    sections = page_sections(page_texts(layer, results))
     if results is not None:
-        sections = checkpointed(sections)
+        layer = recognised(layer, results)
+    sections = page_sections(layer)
     facts = grounded.document_facts(sections).withColumn(
         "script", detect_script(F.col("sample"))
     ).drop("sample")
@@ -49,23 +63,60 @@ def document_totals(parts: DataFrame) -> DataFrame:
     )
 
 
-def failures(layer: DataFrame, warnings: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """Documents without any text, and why: the general reason and their last warning."""
-    kept = page_sections(page_texts(layer, results)).select("doc_id").distinct()
+def failures(
+    facts: DataFrame, warnings: DataFrame, meta: DataFrame | None = None,
+    max_pages: int = pages.MAX_PAGES,
+) -> DataFrame:
+    """Documents that give no Markdown, and why.
+
+    Too many pages to recognise, no text at all (with the last warning), or no metadata. ``facts`` are
+    grouped once.
+    """
+    books = facts.groupBy("doc_id").agg(
+        F.bool_or(F.col("text").isNotNull()).alias("_filled"), F.count_if("read").alias("_read")
+    )
     last = warnings.groupBy("doc_id").agg(
         F.max_by("message", F.struct("kind_no", "page_no")).alias("_last")
     )
-    return (
-        layer.select("doc_id").distinct().join(kept, "doc_id", "left_anti")
-        .join(last, "doc_id", "left")
-        .select(
-            "doc_id", F.lit("failed").alias("status"),
-            F.concat(
-                F.lit(NO_CONTENT),
-                F.coalesce(F.concat(F.lit(" "), "_last"), F.lit("")),
-            ).alias("error_message"),
-        )
+    joined = books.join(last, "doc_id", "left")
+    described = F.lit(True)
+    if meta is not None:
+        joined = joined.join(meta.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left")
+        described = F.col("_known").isNotNull()
+    reason = F.concat(F.lit(NO_CONTENT), F.coalesce(F.concat(F.lit(" "), "_last"), F.lit("")))
+    message = (
+        F.when(F.col("_read") > max_pages, F.format_string(TOO_MANY_PAGES, "_read", F.lit(max_pages)))
+        .when(~F.col("_filled"), reason)
+        .when(~described, NO_METADATA)
+    )
+    return joined.select("doc_id", F.lit("failed").alias("status"), message.alias("error_message")).where(
+        F.col("error_message").isNotNull()
+    )
+
+
+def outcomes(
+    facts: DataFrame, meta: DataFrame, parts: DataFrame, warnings: DataFrame,
+    max_pages: int = pages.MAX_PAGES,
+) -> DataFrame:
+    """One row per book with what a run changes in its material.
+
+    Counts and path of the Markdown, script, how the text was extracted, and what recognition
+    said; or ``failed`` and why. A failed book keeps no counts.
+    """
+    failed = failures(facts, warnings, meta, max_pages)
+    totals = document_totals(parts)
+    methods = pages.extraction_methods(facts).select("doc_id", "extraction_method")
+    stats = pages.recognition_stats(facts).select(
+        "doc_id", F.col("replaced").alias("ocr_page_count"), F.col("confidence").alias("ocr_confidence"),
+        F.col("languages").alias("ocr_languages"),
+    )
+    fine = totals.join(methods, "doc_id").join(stats, "doc_id", "left").join(failed, "doc_id", "left_anti").select(
+        "doc_id", F.lit("md_ready").alias("status"), F.lit(None).cast("string").alias("error_message"),
+        F.col("md_path").alias("md_file_path"), "chunk_count", "marker_count", "char_count",
+        F.col("script").alias("detected_script"), "extraction_method",
+        F.coalesce("ocr_page_count", F.lit(0)).cast("long").alias("ocr_page_count"), "ocr_confidence", "ocr_languages",
     )
+    return fine.unionByName(failed, allowMissingColumns=True)
 
 
 def versions(parts: DataFrame) -> DataFrame:

@@ -89,6 +89,8 @@ FROM {doc_pages}""",
 SELECT doc_id, page_no, CASE WHEN item % 10 = 0 OR item % 22 = 0 THEN '' ELSE text END AS text,
        CAST(item * 37 % 101 AS DOUBLE) AS confidence, CASE WHEN item % 22 = 0 THEN 'timeout' END AS error, item % 14 = 0 AS cached
 FROM {book_pages} WHERE item % 2 = 0""",
+    "read_pages": """
+SELECT *, CASE WHEN page_no <= 18 THEN 'uzb+uzb_cyrl+rus' WHEN page_no % 2 = 0 THEN 'uzb' ELSE 'rus' END AS languages FROM {ocr_results}""",
     "probe_pages": """
 SELECT p.source AS doc_id, p.page_no, CASE WHEN p.page_no % 5 < 2 THEN concat(CAST(p.page_no AS STRING), ' -') ELSE s.text END AS text,
        p.doc_id % 97 = 0 AS cached

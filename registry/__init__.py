@@ -58,7 +58,7 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    for module in ("text", "grounded", "paged", "catalogued", "stateful", "streamed", "stored"):
+    for module in ("text", "grounded", "paged", "catalogued", "stateful", "streamed", "stored", "recognised"):
         try:
             importlib.import_module(f"registry.{module}")
         except ModuleNotFoundError as missing:

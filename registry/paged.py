@@ -233,8 +233,7 @@ UNION ALL SELECT doc_id, 4, 0, 'PDF ichidan matn topilmadi — hujjat skanerlang
 
 @query("page_warnings", _WARN)
 def page_warnings(t):
-    cleaned = pages.clean_pages(t.ocr_results)
-    return pages.page_warnings(t.layer_pages, t.ocr_results, cleaned)
+    return pages.page_warnings(pages.page_facts(t.layer_pages, t.ocr_results))
 
 
 @query(
@@ -260,5 +259,5 @@ def failed_books(t):
     blank = F.when(C("doc_id").endswith("7"), "").otherwise(C("text"))
     layer = t.layer_pages.withColumn("text", blank)
     none = t.ocr_results.where(F.lit(False))
-    warnings = pages.page_warnings(layer, none, none)
-    return paged_books.failures(layer, warnings)
+    facts = paged_books.recognised(layer, none)
+    return paged_books.failures(facts, pages.page_warnings(facts))

@@ -3,7 +3,7 @@
 import random
 
 
-from foliant.operators import grounded, pages, sections
+from foliant.operators import grounded, ordering, pages, sections
 from foliant.plans import paged_books, text_corpus
 
 
@@ -118,18 +118,68 @@ def test_warnings_in_emission_order(spark):
     results = spark.createDataFrame(
         [("a", 3, "", 0.0, "timeout"), ("a", 4, "yaxshi matn", 41.0, None)],
         schema + ", confidence double, error string")
-    cleaned = results.where("text <> ''").select("doc_id", "page_no", "text")
-    got = pages.page_warnings(layer, results, cleaned).orderBy("doc_id", "kind_no", "page_no").collect()
+    got = pages.page_warnings(pages.page_facts(layer, results)).orderBy("doc_id", "kind_no", "page_no").collect()
     assert [r.message for r in got] == [
         "OCR: 1 ta sahifa o'qilmadi: 3",
         "OCR: 1 ta sahifa past ishonch bilan o'qildi (< 60%): 4",
         "1-sahifada juda kam matn bor (5 belgi) — skanerlangan rasm bo'lishi mumkin.",
         "PDF ichidan matn topilmadi — hujjat skanerlangan va OCR talab qiladi.",
     ]
-    without = pages.page_warnings(layer, results, cleaned, unavailable="yo'q")
+    without = pages.page_warnings(pages.page_facts(layer, results, unavailable=True), unavailable="yo'q")
     assert sorted((r.doc_id, r.kind_no) for r in without.collect()) == [("a", 1), ("a", 3), ("b", 4)]
 
 
+def test_warnings_of_a_long_book_in_blocks(spark, monkeypatch):
+    """Lists are cut after thirty pages whatever the blocks are; every sparse page has a message."""
+    layer = spark.range(1, 201).selectExpr("'d' doc_id", "cast(id AS int) page_no", "'qisqa' text")
+    results = spark.range(2, 150, 2).selectExpr(
+        "'d' doc_id", "cast(id AS int) page_no", "'' text", "0D confidence", "'timeout' error")
+    rows = results.unionByName(spark.range(301, 350).selectExpr(
+        "'d' doc_id", "cast(id AS int) page_no", "concat('matn ', id) text", "10D confidence", "CAST(NULL AS string) error"))
+    want = pages.page_warnings(pages.page_facts(layer, rows)).collect()
+    monkeypatch.setattr(ordering.bucket_of, "__defaults__", (7,))
+    got = pages.page_warnings(pages.page_facts(layer, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    read = set(range(2, 150, 2))
+    assert sorted(r.page_no for r in got if r.kind_no == 3) == [n for n in range(1, 201) if n not in read]
+    (failed,) = [r.message for r in got if r.kind_no == 1]
+    assert failed == "OCR: 74 ta sahifa o'qilmadi: " + ", ".join(str(2 * n) for n in range(1, 31)) + " … (+44)"
+    (low,) = [r.message for r in got if r.kind_no == 2]
+    assert low.startswith("OCR: 49 ta sahifa past ishonch bilan o'qildi (< 60%): 301, ") and low.endswith(" … (+19)")
+
+
+def test_outcomes_of_a_run(spark):
+    layer = [("good", 1, "matn qatlami so‘zlari " * 4), ("good", 2, ""), ("empty", 1, " "), ("huge", 1, "matn"), ("huge", 2, ""),
+             ("huge", 3, ""), ("unknown", 1, "kimniki bu matn"), ("text", 1, "faqat matn qatlami so‘zlari bor")]
+    results = [("good", 2, "tanilgan meʼmor", 80.04, None, "uzb", False), ("good", 3, "", 0.0, "timeout", "uzb", False),
+               ("good", 4, "keshdan", 70.0, None, "rus", True), *[("huge", n, "x so‘z", 50.0, None, "uzb", False) for n in (1, 2, 3, 4)]]
+    layer = spark.createDataFrame(layer, "doc_id string, page_no int, text string")
+    results = spark.createDataFrame(
+        results, "doc_id string, page_no int, text string, confidence double, error string, languages string, cached boolean")
+    meta = spark.createDataFrame([(d, *META) for d in ("good", "empty", "huge", "text")], ["doc_id", *grounded.META])
+    facts = paged_books.recognised(layer, results)
+    warnings, parts = pages.page_warnings(facts), paged_books.ground(facts, meta)
+    rows = {r.doc_id: r for r in paged_books.outcomes(facts, meta, parts, warnings, max_pages=3).collect()}
+    assert rows.keys() == {"good", "empty", "huge", "unknown", "text"}
+    good = rows["good"]
+    assert (good.status, good.chunk_count, good.extraction_method, good.ocr_page_count) == ("md_ready", 3, "mixed", 2)
+    assert (good.ocr_confidence, good.ocr_languages, good.error_message) == (75.0, "uzb", None)
+    assert (rows["text"].extraction_method, rows["text"].ocr_page_count, rows["text"].ocr_confidence) == ("text", 0, None)
+    assert rows["empty"].error_message == text_corpus.NO_CONTENT + " " + pages.WARN_NOTHING
+    assert rows["huge"].error_message == paged_books.TOO_MANY_PAGES % (4, 3)
+    assert rows["unknown"].error_message == paged_books.NO_METADATA and rows["unknown"].chunk_count is None
+    stats = {r.doc_id: r for r in pages.recognition_stats(facts).collect()}
+    assert tuple(stats["good"])[1:] == (3, 1, 0, 1, 2, 75.0, "uzb")
+
+
+def test_forced_files_are_read_anew(spark):
+    wanted = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "file_hash string, page_no int")
+    results = spark.createDataFrame([("a", 1, 300, None), ("b", 1, 300, None)], "file_hash string, page_no int, dpi int, error string")
+    forced = spark.createDataFrame([("b",), ("b",)], "file_hash string")
+    assert {tuple(r) for r in pages.pages_todo(wanted, results, 300).collect()} == {("a", 2)}
+    assert {tuple(r) for r in pages.pages_todo(wanted, results, 300, forced).collect()} == {("a", 2), ("b", 1)}
+
+
 def test_long_page_lists_are_cut_but_counted(spark):
     problems = spark.range(1, 41).selectExpr("'d' doc_id", "cast(id as int) page_no", "'failed' problem")
     row = pages.page_lists(problems).first()
@@ -197,7 +247,7 @@ def test_recognised_pages_are_grounded_over_the_layer(spark, monkeypatch):
     assert [r.markdown for r in rows] == [
         HEAD % ("uz-latn", 11) + "".join(section(f"page {n}", t) for n, t in texts.items())]
     none = spark.createDataFrame([("leer", 4, 0, "sabab")], "doc_id string, kind_no int, page_no int, message string")
-    failed = paged_books.failures(layer_df, none, ocr_df).collect()
+    failed = paged_books.failures(pages.page_facts(layer_df, ocr_df), none).collect()
     assert [(r.doc_id, r.error_message) for r in failed] == [("leer", text_corpus.NO_CONTENT + " sabab")]
 
 
