@@ -35,7 +35,7 @@ from foliant.llm.shared import stored
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # Stretches and links that a task remembers, and documents taken together.
-REMEMBERED, LINKS, TOGETHER = 1 << 19, 1 << 23, 250
+REMEMBERED, LINKS, TOGETHER = 3 << 17, 1 << 22, 250
 # The least stride between ids of the byte-level tokenizer in a pair's number.
 STRIDE = 1 << 32
 # What is encoded as one: up to a space or line break after something else.
@@ -70,6 +70,8 @@ class Aligner:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(r"\S[ \n]", t.decode("utf-8", "replace")) for t in (*self.a_bytes, *self.b_bytes)):
             raise ValueError("a token holds a space or line break after something else")
+        self.a_lengths, self.b_lengths = (
+            np.fromiter(map(len, spelt), np.int64, len(spelt)) for spelt in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         # Ids written out, with what follows them inside and at the end of their part of a group.
         self.a_written, self.b_written = (
@@ -89,32 +91,35 @@ class Aligner:
         self.pairs = np.zeros(0, np.int64)
         self.firsts = np.zeros(1, np.int64)
 
-    def _encode(self, parts: list[str]) -> tuple[list, list, list, list]:
-        """Ids and coarse ends in characters of both sides, per stretch.
+    def _encode(self, parts: list[str]) -> tuple:
+        """Of both sides: ids, their number per stretch, and their coarse ends in characters of it.
 
         SentencePiece puts a space in front of what it is given. A stretch that begins with one is
         given without it; one that begins with a line break gets a token for the space, which goes.
         """
         a = self.a.encode_batch(parts, add_special_tokens=False)
-        lead = [part.startswith(" ") for part in parts]
-        b = self.b.encode([part[gap:] for part, gap in zip(parts, lead)], return_type="offset_mapping", num_threads=1)
-        b_ids, b_ends = [], []
-        for part, gap, found in zip(parts, lead, b):
-            ids, ends = found["ids"], [end + gap for _, end in found["offsets"]]
-            if part == " ":
-                ids, ends = [self.space], [1]
-            elif not gap:
-                if ids[0] != self.space:
-                    raise ValueError("a piece joins a space and a line break")
-                ids, ends = ids[1:], ends[1:]
-            b_ids.append(ids)
-            b_ends.append(ends)
-        return [e.ids for e in a], [[end for _, end in e.offsets] for e in a], b_ids, b_ends
+        lead = np.fromiter((part.startswith(" ") for part in parts), np.int64, len(parts))
+        b = self.b.encode([part[gap:] for part, gap in zip(parts, lead.tolist())],
+                          return_type="offset_mapping", num_threads=1)
+        if " " in parts:
+            b[parts.index(" ")] = {"ids": [self.space], "offsets": [(0, 0)]}
+        a_side = self._flat([e.ids for e in a], [e.offsets for e in a])
+        ids, sizes, ends = self._flat([x["ids"] for x in b], [x["offsets"] for x in b])
+        ends += np.repeat(lead, sizes)
+        if not lead.all():
+            extra = (np.cumsum(sizes) - sizes)[lead == 0]
+            if (ids[extra] != self.space).any():
+                raise ValueError("a piece joins a space and a line break")
+            ids, ends, sizes = np.delete(ids, extra), np.delete(ends, extra), sizes - 1 + lead
+        return a_side, (ids, sizes, ends)
 
     @staticmethod
-    def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+    def _flat(ids: list[list[int]], offsets: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        n = int(sizes.sum())
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, n)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(offsets)), np.int64, 2 * n)
+        return flat, sizes, spans[1::2].copy()
 
     @staticmethod
     def _ends(coarse: np.ndarray, spelt: np.ndarray) -> np.ndarray:
@@ -124,32 +129,39 @@ class Aligner:
         rough = coarse - begins != spelt
         return np.where(rough, np.cumsum(spelt), coarse) if rough.any() else coarse
 
+    def _unspelt(self, parts: list[str], sides: tuple) -> list[bool]:
+        """Which stretches the tokens of a side do not spell."""
+        bad = [False] * len(parts)
+        for (ids, sizes, _), spelling in zip(sides, (self.a_bytes, self.b_bytes)):
+            if b"".join(map(spelling.__getitem__, ids.tolist())) == "".join(parts).encode():
+                continue
+            at = 0
+            for i, (part, size) in enumerate(zip(parts, sizes.tolist())):
+                bad[i] |= b"".join(map(spelling.__getitem__, ids[at:at + size].tolist())) != part.encode()
+                at += size
+        return bad
+
     def _learn(self, parts: list[str]) -> None:
         """Align stretches, all in one row."""
-        a_ids, a_coarse, b_ids, b_coarse = self._encode(parts)
-        spelt = [
-            b"".join(map(self.a_bytes.__getitem__, a)) == (data := part.encode())
-            and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            for part, a, b in zip(parts, a_ids, b_ids)
-        ]
-        for part, good in zip(parts, spelt):
-            if not good:
-                self.known[part] = -1
-        parts, a_ids, a_coarse, b_ids, b_coarse = (
-            [x for x, good in zip(xs, spelt) if good] for xs in (parts, a_ids, a_coarse, b_ids, b_coarse))
-        if not parts:
-            return
+        encoded = self._encode(parts)
+        bad = self._unspelt(parts, encoded)
+        if any(bad):
+            for part, one in zip(parts, bad):
+                if one:
+                    self.known[part] = -1
+            parts = [part for part, one in zip(parts, bad) if not one]
+            if not parts:
+                return
+            encoded = self._encode(parts)
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         # The byte that every character begins with, and the character that every stretch does.
         at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
         stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         starts = np.concatenate([[0], stops[:-1]])
-        sides = []
-        for ids, coarse, spelling in ((a_ids, a_coarse, self.a_bytes), (b_ids, b_coarse, self.b_bytes)):
-            flat, sizes = self._flat(ids)
-            ends = at[self._flat(coarse)[0] + np.repeat(starts, sizes)]
-            lengths = np.fromiter(map(len, map(spelling.__getitem__, flat.tolist())), np.int64, len(flat))
-            sides.append((flat, sizes, self._ends(ends, lengths)))
+        sides = [
+            (ids, sizes, self._ends(at[coarse + np.repeat(starts, sizes)], lengths[ids]))
+            for (ids, sizes, coarse), lengths in zip(encoded, (self.a_lengths, self.b_lengths))
+        ]
         (a, a_sizes, a_ends), (b, b_sizes, b_ends) = sides
         both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         every = np.union1d(a_ends, b_ends)
