@@ -9,8 +9,8 @@ with the ordinary and the toxic one together. Where the second is shorter, the w
 only toxic texts hold. The differences of all windows of a text make a few numbers, and a logistic
 regression calibrates them to a probability, on texts that the toxic dictionary was not trained on.
 
-The model is fitted on the driver from a sample of labelled texts whose size and text lengths are
-bounded by parameters. Scoring is one pass over whole texts in the tasks, without a shuffle.
+The model is fitted on the driver from a sample of labelled texts whose number, lengths and bytes are
+bounded by parameters; the n-grams of the sample are counted in the tasks. Scoring is one pass over whole texts in the tasks, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.shared import stored
+
 # Lengths of the byte n-grams that are counted.
 GRAMS = (5, 7)
 WINDOW = 96
@@ -38,6 +41,8 @@ FLUSH = 4096
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
 # An n-gram's share of the toxic texts is so many times that of the ordinary ones, at least.
 CONTRAST = 5
+# Different n-grams that a task counts before it hands them on.
+COUNTED = 300_000
 # Words that a text is known by when near copies are looked for.
 SKETCH = 16
 FOLDS = 2
@@ -179,42 +184,75 @@ def _apart(texts: list[str]) -> list[str]:
     return kept
 
 
-def _chance(k: int, total: int, p: float) -> float:
-    """Logarithm of Chernoff's bound for ``k`` or more of ``total`` at probability ``p``."""
-    q = k / total
-    if q <= p:
-        return 0.0
-    rest = (1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0
-    return -total * (q * math.log(q / p) + rest)
-
-
-def _marks(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
-    """The n-grams that toxic texts have far more often, beyond what chance does among so many."""
-    counts = [Counter(), Counter()]
-    for count, texts in zip(counts, (toxic, ordinary)):
-        for grams in texts:
-            count.update(grams)
-    n, m = len(toxic), len(ordinary)
-    limit = -math.log(max(10, sum(k > 1 for k in counts[0].values())))
-    return {
-        gram for gram, k in counts[0].items()
-        if k >= 4 and k / n >= CONTRAST * (counts[1][gram] + 0.5) / m
-        and _chance(k, k + counts[1][gram], n / (n + m)) <= limit
-    }
-
-
-def _toxic_part(texts: list[str], toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes:
-    """The toxic dictionary, from toxic texts and the n-grams of both kinds."""
-    if not toxic or not ordinary:
-        return b""
-    marks = _marks(toxic, ordinary)
-    passages = [b"".join(sorted(_passages(t, marks))) for t in texts]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts n-grams occur, by kind and fold of the texts; partial sums."""
+    counts: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        grams, kinds = zip(*counts) if counts else ((), ())
+        found = pa.RecordBatch.from_arrays(
+            [pa.array(grams, pa.binary()), pa.array(kinds, pa.int32()), pa.array(list(counts.values()), pa.int64())],
+            names=["gram", "kind", "n"])
+        counts.clear()
+        return found
+
+    for batch in batches:
+        for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts.update((gram, kind) for gram in _grams(text))
+            if len(counts) > COUNTED:
+                yield flush()
+    yield flush()
+
+
+def marks(kept: DataFrame, toxic: list[int], ordinary: list[int]) -> list[set[bytes]]:
+    """N-grams that toxic texts have far more often, beyond what chance does among so many.
+
+    ``kept`` has ``text`` and ``kind``, which is the text's fold, plus ``FOLDS`` for toxic ones; the
+    lists say how many there are of each. Returns the marks from all texts but a fold's, for every
+    fold, and those from all texts. All n-grams are counted in tasks; only marks come to the driver.
+
+    A mark is in 4 toxic texts at least, its share of them is ``CONTRAST`` times that of ordinary ones, and
+    Chernoff's bound for that many of its texts being toxic is below one over the n-grams tried.
+    """
+    counted = kept.select("text", "kind").mapInArrow(_counted, "gram binary, kind int, n long")
+
+    def count(kind: int, but: int | None) -> Column:
+        folds = [F.coalesce(F.sum(F.when(F.col("kind") == kind * FOLDS + f, F.col("n"))), F.lit(0))
+                 for f in range(FOLDS) if f != but]
+        return sum(folds[1:], folds[0])
+
+    settings = [*range(FOLDS), None]
+    wide = stored(counted.groupBy("gram").agg(*[
+        count(kind, but).alias(f"{name}{i}") for i, but in enumerate(settings)
+        for name, kind in (("k", 1), ("c", 0))
+    ]))
+    tried = wide.agg(*[F.count_if(F.col(f"k{i}") > 1).alias(f"t{i}") for i in range(len(settings))]).first()
+    found = []
+    for i, but in enumerate(settings):
+        n, m = (sum(x for f, x in enumerate(texts) if f != but) for texts in (toxic, ordinary))
+        if not n or not m:
+            found.append(F.lit(False))
+            continue
+        k, total, p = F.col(f"k{i}"), F.col(f"k{i}") + F.col(f"c{i}"), n / (n + m)
+        q = k / total
+        rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+        chance = F.when(q > p, -total * (q * F.log(q / p) + rest)).otherwise(0.0)
+        found.append((k >= 4) & (k / n >= CONTRAST * (F.col(f"c{i}") + 0.5) / m)
+                     & (chance <= -math.log(max(10, tried[f"t{i}"]))))
+    flags = wide.select("gram", *[x.alias(f"m{i}") for i, x in enumerate(found)])
+    rows = flags.where(" OR ".join(f"m{i}" for i in range(len(settings)))).collect()
+    return [{bytes(r.gram) for r in rows if r[f"m{i}"]} for i in range(len(settings))]
+
+
+def _toxic_part(texts: list[str], marked: set[bytes]) -> bytes:
+    """The toxic dictionary, from the marked passages of toxic texts."""
+    passages = [b"".join(sorted(_passages(t, marked))) for t in texts]
     passages = [p for p in passages if len(p) >= 8]
     again = max(1, 3000 // max(1, len(passages)))
     return _trained(TOXIC_BYTES, passages * again, k=64, d=6) if passages else b""
 
 
-def fit(toxic: list[str], ordinary: list[str], windows: int = 40_000) -> Model:
+def fit(spark: SparkSession, toxic: list[str], ordinary: list[str], windows: int = 40_000) -> Model:
     """A model from texts of both kinds. Without either kind nothing is toxic to it.
 
     The ordinary dictionary is trained on every k-th ordinary window, for the largest k that leaves
@@ -225,28 +263,34 @@ def fit(toxic: list[str], ordinary: list[str], windows: int = 40_000) -> Model:
     spread = [w for text in ordinary for w in _windows(text)]
     spread = spread[::max(1, len(spread) // windows)]
     plain = _trained(ORDINARY_BYTES, spread)
-    kinds = [_apart(toxic), _apart(ordinary)]
-    grams = [[_grams(text) for text in texts] for texts in kinds]
+    kinds = [_apart(ordinary), _apart(toxic)]
+    rows = [(text, kind * FOLDS + i % FOLDS) for kind, texts in enumerate(kinds) for i, text in enumerate(texts)]
+    kept = spark.createDataFrame(pd.DataFrame(rows, columns=["text", "kind"]), "text string, kind int")
+    sizes = [[len(texts[f::FOLDS]) for f in range(FOLDS)] for texts in kinds]
+    marked = marks(kept.repartition(spark.sparkContext.defaultParallelism), sizes[1], sizes[0])
+    ordinary, toxic = kinds
     x, y = [], []
     for fold in range(FOLDS):
-        rest = [[g for i, g in enumerate(kind) if i % FOLDS != fold] for kind in (*grams, kinds[0])]
-        own = [[t for i, t in enumerate(texts) if i % FOLDS == fold] for texts in kinds]
-        x.append(Model(plain, _toxic_part(rest[2], *rest[:2])).features(own[0] + own[1]))
+        rest = [t for i, t in enumerate(toxic) if i % FOLDS != fold]
+        own = [texts[fold::FOLDS] for texts in (toxic, ordinary)]
+        x.append(Model(plain, _toxic_part(rest, marked[fold])).features(own[0] + own[1]))
         y.append(np.repeat([1.0, 0.0], [len(own[0]), len(own[1])]))
-    model = Model(plain, _toxic_part(kinds[0], *grams))
+    model = Model(plain, _toxic_part(toxic, marked[-1]))
     model.weights = _regression(np.concatenate(x), np.concatenate(y))
     return model
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, ordinary_rows: int = 2400,
-    longest: int = 65536, windows: int = 40_000,
+    longest: int = 65536, windows: int = 40_000, most_bytes: int = 48 << 20,
 ) -> Model:
     """Fit a model on labelled texts that are not held out.
 
     The sample is the first ``toxic_rows`` and ``ordinary_rows`` documents by a hash of their id,
-    less those without text or with more than ``longest`` characters; these parameters bound what
-    comes to the driver. ``windows`` bounds the ordinary windows trained on, as in ``fit``. A document labelled twice counts once, as toxic if either label says so.
+    less those without text or with more than ``longest`` characters, and of these the first that
+    have ``most_bytes`` together; these parameters bound what comes to the driver. ``windows`` bounds
+    the ordinary windows trained on, as in ``fit``. A document labelled twice counts once, as toxic
+    if either label says so.
     """
     marked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -260,11 +304,14 @@ def learn(
     chosen = first(1, toxic_rows).unionByName(first(0, ordinary_rows))
     texts = docs.select("doc_id", "text").where(
         F.col("text").isNotNull() & (F.char_length("text") <= longest))
-    # The chosen rows are bounded by the two parameters above.
-    sample = texts.join(F.broadcast(chosen), "doc_id").toPandas()
+    # The chosen rows are bounded by the two parameters above, and repeated texts are one.
+    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    so_far = Window.orderBy(order, "doc_id", F.md5("text")).rowsBetween(Window.unboundedPreceding, 0)
+    sized = sample.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far))
+    sample = sized.where(F.col("_bytes") <= most_bytes).drop("_bytes").toPandas()
     sample["order"] = [hashlib.md5(str(i).encode()).hexdigest() for i in sample["doc_id"]]
     sample = sample.sort_values(["order", "doc_id", "text"]).drop_duplicates("text")
-    return fit(*[sample.loc[sample["toxic"] == k, "text"].tolist() for k in (1, 0)], windows)
+    return fit(docs.sparkSession, *[sample.loc[sample["toxic"] == k, "text"].tolist() for k in (1, 0)], windows)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -1,8 +1,10 @@
 """Secrets, licences, toxicity and pieces against plain statements, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -141,7 +143,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
 
 
-def test_toxic_words_of_a_rarer_language_are_learnt():
+def test_toxic_words_of_a_rarer_language_are_learnt(spark):
     rng = random.Random(9)
     parts = [["the", "and", "tion", "ther", "ering", "reed"], ["los", "que", "ado", "mente", "cion", "esa"]]
     bad = [["zorgblat", "quixmur", "vlendrak"], ["pujarro", "gonfiqua"]]
@@ -156,21 +158,21 @@ def test_toxic_words_of_a_rarer_language_are_learnt():
     toxic = [text(0, 1) for _ in range(600)] + [text(1, 1) for _ in range(16)]
     ordinary = [text(0, 0) for _ in range(1000)] + [text(1, 0) for _ in range(200)]
     rng.shuffle(toxic)
-    model = toxicity.fit(toxic, ordinary)
+    model = toxicity.fit(spark, toxic, ordinary)
     assert (model.scores([text(1, 1) for _ in range(50)]) >= 0.7).mean() > 0.8
     assert (model.scores([text(k % 2, 0) for k in range(100)]) >= 0.7).mean() < 0.05
 
 
-def test_the_bound_on_ordinary_windows_is_a_parameter(monkeypatch):
+def test_the_bound_on_ordinary_windows_is_a_parameter(spark, monkeypatch):
     sizes, trained = [], toxicity._trained
     monkeypatch.setattr(toxicity, "_trained", lambda size, samples, **settings: (
         sizes.append(len(samples)) or trained(size, samples, **settings)))
     texts = [text for _, text, _ in toxic_rows(60)]
-    toxicity.fit(texts[:20], texts[20:], windows=50)
+    toxicity.fit(spark, texts[:20], texts[20:], windows=50)
     assert 50 <= sizes[0] < 100
 
 
-def test_near_copies_of_a_toxic_text_mark_nothing():
+def test_near_copies_of_a_toxic_text_mark_nothing(spark):
     rng = random.Random(10)
 
     def text():
@@ -178,8 +180,51 @@ def test_near_copies_of_a_toxic_text_mark_nothing():
 
     copied = text()
     toxic = [f"{text()} zorgblat" for _ in range(60)] + [f"{copied} {i}" for i in range(60)]
-    grams = [[toxicity._grams(t) for t in toxicity._apart(x)] for x in (toxic, [text() for _ in range(300)])]
-    assert {g for g in toxicity._marks(*grams) if g not in b" zorgblat"} == set()
+    ordinary, toxic = (toxicity._apart(x) for x in ([text() for _ in range(300)], toxic))
+    assert {g for g in marked(spark, toxic, ordinary)[-1] if g not in b" zorgblat"} == set()
+
+
+def marked(spark, toxic, ordinary):
+    rows = [(t, kind * toxicity.FOLDS + i % toxicity.FOLDS) for kind, texts in enumerate((ordinary, toxic))
+            for i, t in enumerate(texts)]
+    sizes = [[len(texts[f::toxicity.FOLDS]) for f in range(toxicity.FOLDS)] for texts in (toxic, ordinary)]
+    return toxicity.marks(spark.createDataFrame(rows, "text string, kind int").repartition(4), *sizes)
+
+
+def test_marks_against_counting_all_texts(spark, monkeypatch):
+    table = list(toxic_rows(300))
+    toxic, ordinary = ([t for _, t, x in table if x == k] for k in (1, 0))
+    want = []
+    for fold in (0, 1, None):
+        kept = [[toxicity._grams(t) for i, t in enumerate(texts) if i % 2 != fold] for texts in (toxic, ordinary)]
+        counts = [Counter(g for grams in texts for g in grams) for texts in kept]
+        n, m = map(len, kept)
+        tried = max(10, sum(k > 1 for k in counts[0].values()))
+
+        def chance(k, total, p):
+            q = k / total
+            if q <= p:
+                return 1.0
+            return math.exp(-total * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)))
+
+        want.append({g for g, k in counts[0].items() if k >= 4 and k / n >= 5 * (counts[1][g] + 0.5) / m
+                     and chance(k, k + counts[1][g], n / (n + m)) <= 1 / tried * (1 + 1e-12)})
+    assert want[2] and marked(spark, toxic, ordinary) == want
+    monkeypatch.setattr(toxicity, "COUNTED", 50)
+    assert marked(spark, toxic, ordinary) == want
+    assert marked(spark, toxic, []) == [set()] * 3
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    table = list(toxic_rows(200))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in table], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda session, toxic, ordinary, windows: seen.append(toxic + ordinary))
+    toxicity.learn(docs, labels)
+    toxicity.learn(docs, labels, most_bytes=10_000)
+    assert len(seen[0]) == len(set(seen[0])) > 100 and set(seen[1]) < set(seen[0])
+    assert 8_000 < sum(map(len, seen[1])) <= 10_000
 
 
 def test_toxicity_without_labels_or_rows(spark):
