@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.names import agent_slug, kb_name
@@ -11,6 +11,8 @@ from foliant.operators.ordering import minute_of, number_rows
 RETRY_ATTEMPTS = 6
 RETRY_BASE_SECONDS = 20.0
 RETRY_CAP_SECONDS = 300.0
+# Longer than all waits of a run together.
+RUN_GAP = "1 hour"
 
 # Refusals worth another attempt.
 TRANSIENT_STATUS = [429, 502, 503, 504]
@@ -32,23 +34,95 @@ def current_status(audit: DataFrame) -> DataFrame:
     )
 
 
+def status_at(audit: DataFrame, unfinished: list[str], at: Column, stuck: Column) -> DataFrame:
+    """``current_status`` with the number of failures, and whether the run is stuck at time ``at``.
+
+    It is, when its latest event is an ``unfinished`` stage that began ``stuck`` (an interval) before.
+    """
+    latest = F.max_by(
+        F.struct("log_id", "stage", "level", "created_at"), F.struct("created_at", "log_id")
+    )
+    return (
+        audit.where(F.col("material_id").isNotNull()).groupBy("material_id").agg(
+            F.count(F.lit(1)).alias("events"), F.count_if(F.col("level") == "error").alias("failures"),
+            latest.alias("_last"),
+        )
+        .select("material_id", "events", "failures", "_last.*")
+        .withColumn("interrupted", F.col("stage").isin(unfinished) & (F.col("created_at") + stuck <= at))
+    )
+
+
+def failure_sessions(failures: DataFrame, gap: str = RUN_GAP) -> DataFrame:
+    """Failures of a material with no more than ``gap`` between them are one run's; batch and stream alike.
+
+    ``attempts`` counts them; a stream has a row once the watermark has passed the run's end.
+    """
+    return failures.groupBy("material_id", F.session_window("failed_at", gap).alias("_w")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.max("failed_at").alias("last_failed_at"),
+        F.count_if(is_transient(failures)).alias("transient_failures"),
+    ).select(
+        "material_id", F.col("_w.start").alias("first_failed_at"), "last_failed_at", "attempts", "transient_failures"
+    )
+
+
+def with_run(failures: DataFrame, gap_seconds: int) -> DataFrame:
+    """Add ``run_started_at``, the first failure of the run that each failure belongs to.
+
+    A run covers slots of ``gap_seconds``, and no more of them than it has failures and one; two runs share
+    a slot at most. So runs are joined by material and slot, and no key holds all of a material.
+    """
+    micros = gap_seconds * 1_000_000
+
+    def slot(name: str) -> Column:
+        kind = dict(failures.dtypes)["failed_at"]
+        epoch = (
+            F.unix_micros(F.col(name)) if kind == "timestamp"
+            else F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
+        )
+        return F.floor(epoch / micros).cast("long")
+
+    runs = failure_sessions(failures, f"{gap_seconds} seconds").select(
+        F.col("material_id").alias("_material"), F.col("first_failed_at").alias("run_started_at"), "last_failed_at",
+        F.explode(F.sequence(slot("first_failed_at"), slot("last_failed_at"))).alias("_slot"),
+    )
+    rows = failures.withColumn("_own_slot", slot("failed_at"))
+    same = (
+        F.col("material_id").eqNullSafe(F.col("_material")) & (F.col("_own_slot") == F.col("_slot"))
+        & F.col("failed_at").between(F.col("run_started_at"), F.col("last_failed_at"))
+    )
+    return rows.join(runs, same).drop("_material", "_slot", "_own_slot", "last_failed_at")
+
+
+def is_transient(failures: DataFrame) -> Column:
+    """Transient by its ``detail`` or, where that column exists, by its HTTP ``status``."""
+    transient = F.coalesce(F.col("detail").rlike(TRANSIENT), F.lit(False))
+    if "status" in failures.columns:
+        transient = transient | F.coalesce(F.col("status").isin(TRANSIENT_STATUS), F.lit(False))
+    return transient
+
+
 def retry_plan(
     failures: DataFrame,
     attempts: int = RETRY_ATTEMPTS,
     base: float = RETRY_BASE_SECONDS,
     cap: float = RETRY_CAP_SECONDS,
+    run: str | int | None = None,
 ) -> DataFrame:
     """What follows each failure: wait and retry, or give up and stay ready for a later run.
 
     The wait doubles from ``base`` to ``cap``; the last attempt, like a permanent refusal, is
-    not followed by one. A failure is transient by its ``detail`` or, where that column exists,
-    by its HTTP ``status``.
+    not followed by one. Attempts are numbered anew in every run: ``run`` is the column that names
+    it, or the seconds without a failure after which the next one is another run's (then
+    ``run_started_at`` is added). Without it all failures of a material are one run's.
     """
-    transient = F.coalesce(F.col("detail").rlike(TRANSIENT), F.lit(False))
-    if "status" in failures.columns:
-        transient = transient | F.coalesce(F.col("status").isin(TRANSIENT_STATUS), F.lit(False))
+    transient = is_transient(failures)
+    keys = ["material_id"]
+    if isinstance(run, int):
+        failures, keys = with_run(failures, run), [*keys, "run_started_at"]
+    elif run is not None:
+        keys = [*keys, run]
     numbered = number_rows(
-        failures, ["material_id"], [F.col("failed_at"), F.col("event_id")],
+        failures, keys, [F.col("failed_at"), F.col("event_id")],
         minute_of("failed_at"), "attempt",
     )
     retry = F.col("transient") & (F.col("attempt") < attempts)

@@ -14,6 +14,8 @@ SETTINGS = {
     # Split a skewed join even when the result needs another shuffle for it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Sessions of one key are merged before they are shuffled.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     # One document can be a large cell: keep the vectors that hold them small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

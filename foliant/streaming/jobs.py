@@ -69,6 +69,20 @@ def drop_duplicates(
     return timed.dropDuplicatesWithinWatermark(key).drop("_alone")
 
 
+def accept_new(
+    materials: DataFrame, catalog: DataFrame, within: str, event_time: str = "created_at"
+) -> DataFrame:
+    """Arrivals whose content their topic neither has in the stored ``catalog`` nor saw ``within`` that time.
+
+    ``catalog`` counts as it is when the stream starts; ``within`` covers what is accepted from then on until
+    the stream is started again, and bounds the state. Materials without a hash or a topic are not
+    known to be equal: they pass.
+    """
+    known = catalog.where("file_hash IS NOT NULL").select("topic_id", "file_hash").distinct()
+    fresh = materials.join(known, ["topic_id", "file_hash"], "left_anti")
+    return drop_duplicates(fresh, within, event_time)
+
+
 def status_stream(audit: DataFrame) -> DataFrame:
     """Latest event per material, in update mode; the state is one row per material."""
     latest = F.max_by(F.struct("log_id", "stage", "level"), F.struct("created_at", "log_id"))

@@ -37,6 +37,23 @@ def retry_plan(t):
     )
 
 
+@query(
+    "retry_plan_by_run",
+    f"""WITH g AS (SELECT *, failed_at - lag(failed_at) OVER (PARTITION BY material_id ORDER BY failed_at, event_id) <= INTERVAL 48 HOUR AS same FROM {{failures}}),
+    s AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY material_id ORDER BY failed_at, event_id) AS run FROM g),
+    a AS (SELECT *, min(failed_at) OVER (PARTITION BY material_id, run) AS run_started_at, row_number() OVER (PARTITION BY material_id, run ORDER BY failed_at, event_id) AS attempt, regexp_matches(detail, '{_TRANSIENT}') AS transient FROM s),
+    w AS (SELECT *, transient AND attempt < 6 AS again, CASE WHEN transient AND attempt < 6 THEN least(20.0 * pow(2, attempt - 1), 300.0) END AS wait FROM a)
+    SELECT event_id, material_id, run_started_at, attempt, transient, CASE WHEN again THEN 'retry' ELSE 'give_up' END AS action, CAST(wait AS DOUBLE) AS wait_seconds,
+    failed_at + to_seconds(CAST(wait AS DOUBLE)) AS next_attempt_at, CASE WHEN again THEN 'uploading' ELSE 'md_ready' END AS next_status FROM w""",
+)
+def retry_plan_by_run(t):
+    """Attempts start anew after two days without a failure."""
+    return state.retry_plan(t.failures, run=48 * 3600).select(
+        "event_id", "material_id", "run_started_at", "attempt", "transient", "action", "wait_seconds",
+        "next_attempt_at", "next_status",
+    )
+
+
 _MODULE_AGENTS = """
 WITH mods AS (SELECT module_id, code, name, kb_id, is_active, CASE WHEN module_id = 3 THEN 'agent-3' ELSE agent_id END AS agent_id FROM {modules})"""
 
