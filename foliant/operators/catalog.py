@@ -163,7 +163,7 @@ def dashboard_order() -> list[Column]:
 
 
 def topic_order() -> list[Column]:
-    return [F.asc("module_order"), F.asc("topic_order"), F.asc("topic_id")]
+    return [F.asc("module_order"), F.asc("topic_order"), F.asc("created_at"), F.asc("topic_id")]
 
 
 def newest_first(key: str) -> list[Column]:

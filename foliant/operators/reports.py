@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,67 +145,78 @@ def module_progress(
     )
 
 
-def topic_tree(modules: DataFrame, topics: DataFrame, materials: DataFrame) -> DataFrame:
-    """Topic rows of the content tree with their counts and their module's counts.
+def topic_tree(
+    modules: DataFrame, topics: DataFrame, materials: DataFrame, needle: str | None = None
+) -> DataFrame:
+    """Topic rows of the content tree: ids, labels, counts, and whether the search keeps the module.
 
-    Module counts come from topic counts, so materials are read and grouped once per branch.
+    A module without topics has one row without a topic. Materials are read once: their counts and
+    whether a file name is hit come from the same grouping.
     """
-    per_topic = topics.select(
-        "topic_id", "module_id", F.col("code").alias("topic_code"),
-        F.col("name").alias("topic_name"), F.col("order_index").alias("topic_order"),
-    ).join(topic_totals(materials), "topic_id", "left").withColumns(
-        {c: F.coalesce(c, _zero()) for c in ("total", "indexed", "failed")}
-    )
-    per_module = per_topic.groupBy("module_id").agg(
-        *[F.sum(c).alias(f"module_{c}") for c in ("total", "indexed", "failed")]
+    low = (needle or "").lower()
+
+    def hit(*columns: str) -> Column:
+        found = [F.contains(F.lower(c), F.lit(low)) for c in columns]
+        return F.coalesce(reduce(lambda x, y: x | y, found), F.lit(False))
+
+    def counted(status: str) -> Column:
+        return F.count_if(F.col("status") == status)
+
+    totals = materials.groupBy("topic_id").agg(
+        _rows().alias("total"), counted("indexed").alias("indexed"), counted("failed").alias("failed"),
+        F.bool_or(hit("original_filename")).alias("_file_hit"),
     )
+    per_topic = topics.select(
+        "topic_id", "module_id", F.col("code").alias("topic_code"), F.col("name").alias("topic_name"),
+        F.col("order_index").alias("topic_order"), hit("code", "name").alias("_topic_hit"),
+    ).join(totals, "topic_id", "left")
     head = modules.select(
         "module_id", F.col("code").alias("module_code"), F.col("name").alias("module_name"),
-        F.col("order_index").alias("module_order"),
-    ).join(per_module, "module_id", "left").withColumns(
-        {f"module_{c}": F.coalesce(f"module_{c}", _zero()) for c in ("total", "indexed", "failed")}
-    ).withColumn("module_percent", percent(F.col("module_indexed"), F.col("module_total")))
-    return head.join(per_topic, "module_id", "left")
+        F.col("order_index").alias("module_order"), hit("code", "name").alias("_module_hit"),
+    )
+    own = F.col("_module_hit") | F.coalesce("_topic_hit", F.lit(False)) | F.coalesce("_file_hit", F.lit(False))
+    kept = F.bool_or(own).over(Window.partitionBy("module_id"))
+    return (
+        head.join(per_topic, "module_id", "left")
+        .withColumns({c: F.coalesce(c, _zero()) for c in ("total", "indexed", "failed")})
+        .withColumn("kept", kept).drop("_module_hit", "_topic_hit", "_file_hit")
+    )
 
 
 def content_tree(
-    modules: DataFrame,
-    topics: DataFrame,
-    materials: DataFrame,
-    kept: DataFrame | None = None,
-    needle: str | None = None,
+    modules: DataFrame, topics: DataFrame, materials: DataFrame, needle: str | None = None
 ) -> DataFrame:
     """The whole tree as outline rows: level, ids, label and counts, one row per node.
 
-    ``kept`` (from ``tree_search``) limits the modules and ``needle`` the material rows; the
-    counts ignore both. Sorting by the order columns gives the screen's order.
+    ``needle`` limits the modules to those a search keeps and the material rows to the file names
+    it hits; the counts ignore it. Sorting by the order columns gives the screen's order. Modules and
+    topics are grouping sets of one pass; materials are read for the counts and for the leaves.
     """
     from foliant.operators.catalog import searched
 
-    if kept is not None:
-        modules = modules.join(kept.select("module_id"), "module_id", "left_semi")
-    tree = topic_tree(modules, topics, materials)
+    tree = topic_tree(modules, topics, materials, needle)
+    if needle is not None:
+        tree = tree.where("kept")
+    sets = [["module_order", "module_code", "module_id"], ["module_order", "module_code", "module_id", "topic_code", "topic_id"]]
+    sums = tree.groupingSets(
+        [[F.col(c) for c in columns] for columns in sets], *[F.col(c) for c in sets[1]]
+    ).agg(
+        *[F.sum(c).alias(c) for c in ("total", "indexed", "failed")], F.grouping("topic_id").alias("_whole")
+    )
     none = F.lit(None).cast("long")
-    module_rows = tree.select(
-        F.lit(0).alias("level"), "module_order", "module_code", F.lit(None).cast("string").alias("topic_code"),
-        F.lit(None).cast("string").alias("material_filename"), none.alias("material_id"),
-        F.lit(None).cast("string").alias("status"),
-        F.col("module_total").alias("total"), F.col("module_indexed").alias("indexed"),
-        F.col("module_failed").alias("failed"), F.col("module_percent").alias("percent"),
-    ).distinct()
-    topic_rows = tree.where(F.col("topic_id").isNotNull()).select(
-        F.lit(1).alias("level"), "module_order", "module_code", "topic_code",
+    counted = sums.where((F.col("_whole") == 1) | F.col("topic_id").isNotNull()).select(
+        (1 - F.col("_whole")).cast("int").alias("level"), "module_order", "module_code", "topic_code",
         F.lit(None).cast("string").alias("material_filename"), none.alias("material_id"),
         F.lit(None).cast("string").alias("status"), "total", "indexed", "failed",
         percent(F.col("indexed"), F.col("total")).alias("percent"),
     )
-    places = topics.select("topic_id", "module_id", F.col("code").alias("topic_code")).join(
-        modules.select(
-            "module_id", F.col("code").alias("module_code"),
-            F.col("order_index").alias("module_order"),
-        ),
-        "module_id",
-    )
+    places = tree.where("topic_id IS NOT NULL").select("topic_id", "topic_code", "module_code", "module_order")
+    if needle is None:
+        # Every topic is a place then, and no count is needed for that.
+        places = topics.select("topic_id", "module_id", F.col("code").alias("topic_code")).join(
+            modules.select("module_id", F.col("code").alias("module_code"), F.col("order_index").alias("module_order")),
+            "module_id",
+        )
     leaf = searched(materials, ["original_filename"], needle).join(places, "topic_id")
     material_rows = leaf.select(
         F.lit(2).alias("level"), "module_order", "module_code", "topic_code",
@@ -212,7 +225,7 @@ def content_tree(
         none.alias("total"), none.alias("indexed"), none.alias("failed"),
         F.lit(None).cast("int").alias("percent"),
     )
-    return module_rows.unionByName(topic_rows).unionByName(material_rows)
+    return counted.unionByName(material_rows)
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

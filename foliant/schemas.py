@@ -34,7 +34,8 @@ WORDS = (
     "doc_id STRING, row_no BIGINT, level INT, page INT, block INT, par INT, line INT, word INT, "
     "left INT, top INT, width INT, height INT, conf STRING, text STRING"
 )
-SLIDE_ELEMENTS = ("doc_id STRING, slide INT, ord INT, kind STRING, text STRING")
+# Elements of slides in order; row tells the cells of one table row, and is -1 or NULL elsewhere.
+SLIDE_ELEMENTS = ("doc_id STRING, slide INT, ord INT, row INT, kind STRING, text STRING")
 
 TABLES = {
     "modules": MODULES,

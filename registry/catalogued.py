@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import catalog, integrity, reports
@@ -190,8 +191,7 @@ _KEEP = f"""contains(lower(o.code), '{SEARCH}') OR contains(lower(o.name), '{SEA
 
 @query("tree_search", _tree_sql(_KEEP, SEARCH))
 def tree_search(t):
-    kept = catalog.tree_search(t.modules, t.topics, t.materials, SEARCH)
-    return reports.content_tree(t.modules, t.topics, t.materials, kept, SEARCH)
+    return reports.content_tree(t.modules, t.topics, t.materials, SEARCH)
 
 
 @query(
@@ -268,6 +268,21 @@ def list_topics(t):
     return catalog.list_topics(t.topics, 2, "tion_1").select("topic_id", "code", "name")
 
 
+@query(
+    "ordered_topics",
+    """SELECT o.code AS module_code, t.code AS topic_code, row_number() OVER (ORDER BY o.order_index, o.code, o.module_id, t.order_index, t.topic_id) AS place,
+    row_number() OVER (ORDER BY o.order_index, o.created_at, o.module_id, t.order_index, t.topic_id) AS api_place
+    FROM {topics} t JOIN {modules} o USING (module_id)""",
+)
+def ordered_topics(t):
+    """Topics in the order of the dashboard and of the lists, with their places."""
+    rows = t.topics.select("topic_id", "module_id", C("code").alias("topic_code"), C("order_index").alias("topic_order")).join(
+        t.modules.select("module_id", C("code"), C("order_index"), "created_at"), "module_id")
+    place = {name: F.row_number().over(Window.orderBy(*order, C("topic_order"), C("topic_id"))).cast("long")
+             for name, order in (("place", catalog.dashboard_order()), ("api_place", catalog.module_order()))}
+    return rows.withColumns(place).select(C("code").alias("module_code"), "topic_code", "place", "api_place")
+
+
 _LIST = """ WHERE module_id = 1 AND type = 'literature' AND upper(original_filename) LIKE '%DOC 1%'"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import grounding
 from foliant.operators import grounded, sections
 from foliant.plans import paged_books, text_corpus
-from registry import duck, query
+from registry import ORACLES, QUERIES, duck, query
 from registry.text import _FINISHED
 
 C = F.col
@@ -165,7 +165,7 @@ def stale_markdown(t):
 
 
 _BOOKS = f"""
-WITH RECURSIVE page AS (SELECT doc_id, page_no AS ord, {duck.strip('text')} AS raw FROM {{layer_pages}} WHERE {duck.strip('text')} <> ''),
+WITH RECURSIVE page AS (SELECT doc_id, page_no AS ord, {duck.strip('text')} AS raw FROM {{doc_pages}} WHERE {duck.strip('text')} <> ''),
 facts AS (SELECT doc_id, count(*) AS chunks, max(ord) // 1024 AS last_part, min(ord) // 1024 AS first_part FROM page GROUP BY doc_id),
 reach AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY ord
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before FROM page),
@@ -193,7 +193,7 @@ whole AS (SELECT b.doc_id, b.part, s.script, f.chunks, b.markers, m.module_code,
 )
 def grounded_books(t):
     """Paged documents end to end; a source is one book of many pages."""
-    return paged_books.ground(t.layer_pages, t.book_meta)
+    return paged_books.ground(t.doc_pages, t.book_meta)
 
 
 @query(
@@ -211,41 +211,15 @@ def book_samples(t):
     """Script sample and decision of paged documents."""
     from foliant.functions.script import detect_script
 
-    facts = grounded.document_facts(sections.page_sections(t.layer_pages))
+    facts = grounded.document_facts(sections.page_sections(t.doc_pages))
     return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
 
 
-# The queries above keep the thin pages of layer_pages; these read every page in full.
-_WHOLE_BOOKS = _BOOKS.replace("{layer_pages}", "{doc_pages}")
-
-
-@query(
-    "grounded_whole_books",
-    _WHOLE_BOOKS + f""" SELECT doc_id, CAST(part AS BIGINT) AS part, script, chunks AS chunk_count, CAST(markers AS BIGINT) AS marker_count,
-    {duck.markdown_path('module_code', 'topic_code', 'type', 'original_filename', 'doc_id')} AS md_path, markdown, CAST(length(markdown) AS INTEGER) AS char_count FROM whole""",
-)
-def grounded_whole_books(t):
-    """Paged documents end to end, with the whole text of every page."""
-    return paged_books.ground(t.doc_pages, t.book_meta)
-
-
-@query(
-    "whole_book_totals",
-    _WHOLE_BOOKS + f""" SELECT doc_id, {duck.markdown_path('any_value(module_code)', 'any_value(topic_code)', 'any_value(type)', 'any_value(original_filename)', 'doc_id')} AS md_path,
-    any_value(script) AS script, any_value(chunks) AS chunk_count, CAST(sum(markers) AS BIGINT) AS marker_count,
-    CAST(sum(length(markdown)) AS BIGINT) AS char_count, count(*) AS parts FROM whole GROUP BY doc_id""",
-)
-def whole_book_totals(t):
-    return paged_books.document_totals(grounded_whole_books(t))
-
-
-@query("whole_book_samples", _WHOLE_BOOKS + " SELECT doc_id, sample, script FROM sample JOIN scripts USING (doc_id)")
-def whole_book_samples(t):
-    """Script sample and decision over whole pages."""
-    from foliant.functions.script import detect_script
-
-    facts = grounded.document_facts(sections.page_sections(t.doc_pages))
-    return facts.select("doc_id", "sample", detect_script(C("sample")).alias("script"))
+# The same under the names they had while the others read thin pages.
+for _name, _function in (("grounded_whole_books", grounded_books), ("whole_book_totals", book_totals),
+                         ("whole_book_samples", book_samples)):
+    QUERIES[_name] = _function
+    ORACLES[_name] = ORACLES[_function.__name__]
 
 
 @query(

@@ -216,10 +216,10 @@ def doc_totals(t):
 @query(
     "numbered_pages",
     f"""SELECT doc_id, page_no AS ord, 'page ' || CAST(page_no AS VARCHAR) AS label, {duck.strip('text')} AS text
-    FROM {{layer_pages}} WHERE {duck.strip('text')} <> ''""",
+    FROM {{doc_pages}} WHERE {duck.strip('text')} <> ''""",
 )
 def numbered_pages(t):
-    return sections.page_sections(t.layer_pages)
+    return sections.page_sections(t.doc_pages)
 
 
 _WORDS = """
@@ -316,15 +316,16 @@ def garbled_pages(t):
 
 @query(
     "mojibake_names",
-    """WITH good AS (SELECT doc_id, substr(text, 1, 12) || '.txt' AS name FROM {script_text}),
+    """WITH good AS (SELECT p_partkey AS doc_id, translate(p_name, 'aeiou', 'аеиоу') || '.txt' AS name FROM {part}),
     broken AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN name ELSE array_to_string(list_transform(
-        range(1, length(hex(encode(name))), 2), lambda i: chr(CAST(('0x' || substr(hex(encode(name)), i, 2)) AS INTEGER))), '') END AS name FROM good)
+        regexp_extract_all(hex(encode(name)), '..'), lambda h: chr(CAST(('0x' || h) AS INTEGER))), '') END AS name FROM good)
     SELECT doc_id, name, CASE WHEN regexp_matches(name, '^[\\x00-\\x{ff}]*$') THEN coalesce(TRY(decode(unhex(array_to_string(list_transform(
         string_split(name, ''), lambda c: printf('%02x', CASE WHEN c = '' THEN 0 ELSE unicode(c) END)), '')))), name) ELSE name END AS repaired FROM broken""".replace("\\\\", "\\"),
 )
 def mojibake_names(t):
-    good = t.script_text.select(
-        "doc_id", F.concat(F.substring("text", 1, 12), F.lit(".txt")).alias("name")
+    good = t.part.select(
+        C("p_partkey").alias("doc_id"),
+        F.concat(F.translate("p_name", "aeiou", "аеиоу"), F.lit(".txt")).alias("name"),
     )
     broken = F.decode(F.encode(C("name"), "UTF-8"), "ISO-8859-1")
     return good.select(
@@ -332,7 +333,8 @@ def mojibake_names(t):
     ).select("doc_id", "name", names.repair_mojibake(C("name")).alias("repaired"))
 
 
-@query("mojibake_texts", ORACLES["mojibake_names"].replace("substr(text, 1, 12) || '.txt'", "text"))
+@query("mojibake_texts", ORACLES["mojibake_names"].replace(
+    "SELECT p_partkey AS doc_id, translate(p_name, 'aeiou', 'аеиоу') || '.txt' AS name FROM part", "SELECT doc_id, text AS name FROM {script_text}"))
 def mojibake_texts(t):
     """Whole texts, two thirds of them with the bytes of UTF-8 read as Latin-1."""
     broken = F.decode(F.encode(C("text"), "UTF-8"), "ISO-8859-1")
