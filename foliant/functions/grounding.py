@@ -10,6 +10,8 @@ from foliant.functions.text import let, strip
 MARKER_INTERVAL = 600
 NEWLINE_LOOKAHEAD = 150
 SPACE_LOOKAHEAD = 100
+# Length of what a marker begins with.
+MARKER_HEAD = len("[MANBA: ")
 MARKER_PATTERN = r"\[MANBA: ([^\]]*)\]"
 
 
@@ -113,18 +115,39 @@ def largest_gap(markdown: Column) -> Column:
     return F.array_max(F.transform(F.split(markdown, MARKER_PATTERN), F.length))
 
 
+def piece_lengths(markdown: Column) -> Column:
+    """Characters before the first marker, between markers, and after the last one.
+
+    A marker begins after each of them but the last, ``MARKER_HEAD`` characters further on.
+    """
+    return F.transform(F.split(markdown, r"\[MANBA: "), F.length)
+
+
+def windows_hit(lengths: Column, before: Column, window: int) -> Column:
+    """``struct<first,last,covered>`` of the windows in which a marker begins, in one walk.
+
+    ``lengths`` are ``piece_lengths`` of a part that ``before`` characters of the document precede;
+    without a marker first and last are -1.
+    """
+    start = F.struct(
+        before.cast("long").alias("at"), F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"),
+        F.lit(0).cast("long").alias("covered"),
+    )
+
+    def step(state: Column, length: Column) -> Column:
+        at = state["at"] + length
+        here = F.floor(at / window)
+        return F.struct(
+            (at + MARKER_HEAD).alias("at"), F.when(state["first"] < 0, here).otherwise(state["first"]).alias("first"),
+            here.alias("last"), (state["covered"] + F.when(here != state["last"], 1).otherwise(0)).alias("covered"),
+        )
+
+    begins = F.slice(lengths, F.lit(1), F.greatest(F.size(lengths) - 1, F.lit(0)))
+    return F.aggregate(begins, start, step, lambda s: F.struct(s["first"], s["last"], s["covered"]))
+
+
 def window_coverage(markdown: Column, window: int) -> Column:
     """``struct<windows,covered>``: fixed-size windows, and those in which a marker begins."""
     windows = F.ceil(F.length(markdown) / F.lit(window)).cast("int")
-    pieces = F.sequence(F.lit(0), F.greatest(windows, F.lit(1)) - 1)
-    # Seven more characters: a marker that begins at the end of a window is still seen.
-    seen = F.filter(
-        pieces,
-        lambda w: F.contains(
-            F.substring(markdown, w * window + 1, F.lit(window + 7)), F.lit("[MANBA: ")
-        ),
-    )
-    return F.struct(
-        windows.alias("windows"),
-        F.when(windows > 0, F.size(seen)).otherwise(0).alias("covered"),
-    )
+    hit = windows_hit(piece_lengths(markdown), F.lit(0), window)
+    return F.struct(windows.alias("windows"), hit["covered"].cast("int").alias("covered"))

@@ -42,3 +42,9 @@ def register(spark: SparkSession) -> None:
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(input_text STRING) "
             f"RETURNS {result} RETURN {body}"
         )
+    # Only text that NFC can change goes to Python, as in ``nfc.nfc``.
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION clean_text(input_text STRING) RETURNS STRING RETURN "
+        "repair_typography(coalesce(nfc(CASE WHEN input_text RLIKE r'[" + nfc.MAY_CHANGE + "]' "
+        "THEN input_text END), input_text))"
+    )

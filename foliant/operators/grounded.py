@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import grounding
 from foliant.functions.script import GATHERED_SAMPLE
-from foliant.operators.ordering import bucket_of, number_rows
+from foliant.operators.ordering import bucket_of, number_rows, total_before
 from foliant.operators.rows import each
 
 # Sections of one document written into one Markdown cell. Shorter documents are one part;
@@ -147,6 +147,56 @@ def coverage(markdown: DataFrame, keys: list[str], window: int = 1000) -> DataFr
     ).select(*keys, "markers", "largest_gap", "_w.windows", "_w.covered")
 
 
+def document_coverage(parts: DataFrame, doc: str, part: str, window: int = 1000) -> DataFrame:
+    """``coverage`` of documents that come in parts, as if each were one text.
+
+    Windows and gaps that reach across parts count as what they are in the whole document. The text
+    is read once and reduced to the lengths between its markers; those are what is shuffled. Offsets of
+    parts are running totals by blocks, and what is gathered per document is one small row per part.
+    Parts must not cut a marker in two.
+    """
+    gaps = F.transform(F.split("markdown", grounding.MARKER_PATTERN), F.length)
+    narrow = parts.select(
+        doc, F.col(part).alias("_part"), F.length("markdown").cast("long").alias("_size"),
+        grounding.piece_lengths(F.col("markdown")).alias("_lengths"), gaps.alias("_gaps"),
+    ).where(F.col("_size").isNotNull())
+    placed = total_before(narrow, [doc], [F.col("_part")], bucket_of("_part"), F.col("_size"), "_ahead")
+    inner = F.slice("_gaps", F.lit(2), F.greatest(F.size("_gaps") - 2, F.lit(0)))
+    facts = placed.select(
+        doc, F.struct(
+            F.col("_part").alias("part"), (F.size("_gaps") - 1).cast("long").alias("markers"),
+            F.get("_gaps", F.lit(0)).cast("long").alias("head"), F.element_at("_gaps", -1).cast("long").alias("tail"),
+            F.coalesce(F.array_max(inner), F.lit(0)).cast("long").alias("inner"), F.col("_size").alias("size"),
+            grounding.windows_hit(F.col("_lengths"), F.col("_ahead"), window).alias("hit"),
+        ).alias("_p"),
+    )
+    zero = F.lit(0).cast("long")
+    start = F.struct(
+        zero.alias("open"), zero.alias("gap"), zero.alias("covered"), F.lit(-1).cast("long").alias("last"),
+    )
+
+    def join(done: Column, p: Column) -> Column:
+        marked, hit = p["markers"] > 0, p["hit"]
+        reached = done["open"] + p["head"]
+        return F.struct(
+            F.when(marked, p["tail"]).otherwise(reached).alias("open"),
+            F.when(marked, F.greatest(done["gap"], reached, p["inner"])).otherwise(done["gap"]).alias("gap"),
+            # A window that the part before has covered already is one window.
+            (done["covered"] + hit["covered"] - F.when((hit["first"] >= 0) & (hit["first"] == done["last"]), 1).otherwise(0))
+            .alias("covered"),
+            F.when(hit["last"] >= 0, hit["last"]).otherwise(done["last"]).alias("last"),
+        )
+
+    whole = facts.groupBy(doc).agg(
+        F.sum("_p.markers").alias("markers"), F.sum("_p.size").alias("_total"),
+        F.aggregate(F.array_sort(F.collect_list("_p")), start, join).alias("_w"),
+    )
+    return whole.select(
+        doc, "markers", F.greatest("_w.gap", "_w.open").alias("largest_gap"),
+        F.ceil(F.col("_total") / window).cast("long").alias("windows"), F.col("_w.covered").alias("covered"),
+    )
+
+
 def bibliography(cited: DataFrame, doc: str, part: str) -> DataFrame:
     """Sources of each document: files numbered by first mention, their labels in order.
 

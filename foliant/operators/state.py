@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.names import agent_slug, kb_name
 from foliant.operators.ordering import minute_of, number_rows
+from foliant.operators.rows import each
 
 RETRY_ATTEMPTS = 6
 RETRY_BASE_SECONDS = 20.0
@@ -232,25 +233,60 @@ def attachable(existing: DataFrame, modules: DataFrame, column: str, master: str
 
 
 # Messages of a run.
-RUN_DONE = (
-    "Markdown tayyor: ", " ta chunk, ", " ta grounding marker, ", " belgi, yozuv: "
-)
-RUN_FAILED = "Pipeline xatosi: "
+RUN_STARTED = "Hujjatni o'qish boshlandi: \"%s\""
+RUN_READ = "OCR tugadi: %d ta sahifa, o'rtacha ishonch %s, tillar: %s"
+RUN_DONE = "Markdown tayyor: %d ta chunk, %d ta grounding marker, %s belgi, yozuv: %s"
+RUN_FAILED = "Pipeline xatosi: %s"
+
+
+def _finished(script: str) -> Column:
+    return F.format_string(RUN_DONE, "chunk_count", "marker_count", F.format_number("char_count", 0), script)
 
 
 def run_audit(grounded: DataFrame, at) -> DataFrame:
     """Audit rows of a finished run: one per material, counts or the reason it failed."""
     done = F.col("status") == "md_ready"
-    message = F.concat(
-        F.lit(RUN_DONE[0]), F.col("chunk_count").cast("string"),
-        F.lit(RUN_DONE[1]), F.col("marker_count").cast("string"),
-        F.lit(RUN_DONE[2]), F.format_number("char_count", 0),
-        F.lit(RUN_DONE[3]), F.col("script"),
-    )
     return grounded.select(
         "material_id",
         F.when(done, "conversion").otherwise("pipeline").alias("stage"),
         F.when(done, "info").otherwise("error").alias("level"),
-        F.when(done, message).otherwise(F.concat(F.lit(RUN_FAILED), "error_message")).alias("message"),
+        F.when(done, _finished("script")).otherwise(F.format_string(RUN_FAILED, "error_message")).alias("message"),
         at.alias("created_at"),
     )
+
+
+def run_trail(outcomes: DataFrame, meta: DataFrame, warnings: DataFrame, run: str, at: Column) -> DataFrame:
+    """The whole audit trail of a run over books, for ``sources.tables.append_audit``.
+
+    ``outcomes`` are those of ``plans.paged_books`` and ``warnings`` their page warnings. A book is begun; then
+    either its recognition is summed up, its Markdown counted and each warning logged, or the
+    reason of its failure is. Ids follow from run, book and place, and times from ``at`` and the stage of the
+    run, so the same run gives the same rows. Books without metadata are begun under their id.
+    """
+    names = meta.select("doc_id", "original_filename").dropDuplicates(["doc_id"])
+    rows = outcomes.join(names, "doc_id", "left")
+    done = F.col("status") == "md_ready"
+
+    def entry(place: int, stage: str, level: str, message: Column, when: Column) -> Column:
+        return F.when(when, F.struct(
+            F.lit(place).alias("place"), F.lit(0).alias("kind_no"), F.lit(0).alias("page_no"), F.lit(stage).alias("stage"),
+            F.lit(level).alias("level"), message.alias("message")))
+
+    share = F.coalesce(F.concat(F.bround("ocr_confidence", 0).cast("int").cast("string"), F.lit("%")), F.lit("—"))
+    entries = F.array_compact(F.array(
+        entry(0, "conversion", "info", F.format_string(RUN_STARTED, F.coalesce("original_filename", "doc_id")), F.lit(True)),
+        entry(1, "ocr", "info", F.format_string(RUN_READ, "ocr_page_count", share, F.coalesce("ocr_languages", F.lit(""))),
+              done & F.col("was_read")),
+        entry(2, "conversion", "info", _finished("detected_script"), done),
+        entry(4, "pipeline", "error", F.format_string(RUN_FAILED, "error_message"), ~done),
+    ))
+    steps = each(rows, ["doc_id"], entries, "_at", "_e").select("doc_id", "_e.*")
+    warned = warnings.join(outcomes.where(done).select("doc_id"), "doc_id", "left_semi").select(
+        "doc_id", F.lit(3).alias("place"), "kind_no", "page_no", F.lit("conversion").alias("stage"),
+        F.lit("warn").alias("level"), "message",
+    )
+    place = F.concat_ws("/", F.lit(run), "doc_id", "place", "kind_no", "page_no")
+    return steps.unionByName(warned).select(
+        F.sha2(place, 256).alias("log_id"), F.col("doc_id").alias("material_id"), "stage", "level", "message",
+        (at + F.make_dt_interval(secs=F.col("place"))).alias("created_at"),
+    )

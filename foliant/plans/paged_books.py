@@ -98,7 +98,7 @@ def outcomes(
     facts: DataFrame, meta: DataFrame, parts: DataFrame, warnings: DataFrame,
     max_pages: int = pages.MAX_PAGES,
 ) -> DataFrame:
-    """One row per book with what a run changes in its material.
+    """One row per book with what a run changes in its material, and whether pages of it ``was_read``.
 
     Counts and path of the Markdown, script, how the text was extracted, and what recognition
     said; or ``failed`` and why. A failed book keeps no counts.
@@ -114,6 +114,7 @@ def outcomes(
         "doc_id", F.lit("md_ready").alias("status"), F.lit(None).cast("string").alias("error_message"),
         F.col("md_path").alias("md_file_path"), "chunk_count", "marker_count", "char_count",
         F.col("script").alias("detected_script"), "extraction_method",
+        F.col("ocr_page_count").isNotNull().alias("was_read"),
         F.coalesce("ocr_page_count", F.lit(0)).cast("long").alias("ocr_page_count"), "ocr_confidence", "ocr_languages",
     )
     return fine.unionByName(failed, allowMissingColumns=True)

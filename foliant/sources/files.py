@@ -28,26 +28,44 @@ def decode_text(content: Column) -> Column:
     return normalise_newlines(F.make_valid_utf8(content.cast("string")))
 
 
+def text_files(files):
+    """A reader (batch or stream) of whole files, limited to names that text files have."""
+    endings = ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in TEXT_EXTENSIONS)
+    return files.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{endings}}}")
+
+
 def read_text_corpus(
     spark: SparkSession, path: str, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
     """Files below ``path`` as ``(path, name, ext, size, modified_at, file_hash, text, reject_reason)``.
 
-    The size test is pushed to the file listing's metadata; rejected files are listed without
-    their content being decoded.
+    Two reads: one of text files whose length, tested on the listing, is allowed, with content, and
+    one of the listing alone for those that are rejected. The content of a rejected file is never
+    opened, so one that is beyond what the reader takes is listed and does no harm.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return describe_files(files, max_bytes)
+    accepted = describe_files(text_files(spark.read).load(path).where(F.col("length") <= max_bytes), max_bytes)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
+    rejected = described(listing, max_bytes).where(F.col("reject_reason").isNotNull()).withColumns(
+        {"file_hash": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
+    )
+    return accepted.where(F.col("reject_reason").isNull()).unionByName(rejected)
 
 
-def describe_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def described(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """What is known of files without opening them; other columns, such as ``content``, stay."""
     name = base_name(F.col("path"))
-    staged = files.select(
-        "path", name.alias("name"), extension(name).alias("ext"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"), "content",
-    ).withColumn("reject_reason", reject_reason(F.col("ext"), F.col("size"), max_bytes))
+    named = files.withColumns({"name": name, "ext": extension(name)})
+    rest = [c for c in files.columns if c not in ("path", "length", "modificationTime")]
+    return named.select(
+        "path", "name", "ext", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"),
+        reject_reason(F.col("ext"), F.col("length"), max_bytes).alias("reject_reason"), *rest,
+    )
+
+
+def describe_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``described`` with hash and text of what is not rejected; ``files`` come with their content."""
     fine = F.col("reject_reason").isNull()
-    return staged.select(
+    return described(files, max_bytes).select(
         "path", "name", "ext", "size", "modified_at",
         F.when(fine, content_hash(F.col("content"))).alias("file_hash"),
         F.when(fine, decode_text(F.col("content"))).alias("text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators.pages import merge_results
 from foliant.schemas import TABLES, column_names
+from foliant.session import stored
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -38,12 +39,15 @@ def read_jdbc_table(spark: SparkSession, url: str, name: str, **options: str) ->
     )
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append-only audit rows, one folder per day so that a time filter prunes folders."""
+def append_audit(rows: DataFrame, path: str, run: str) -> None:
+    """Audit rows of a run, one folder per run and day, so that a time filter prunes folders.
+
+    A run that is repeated replaces its own folders and nothing else; rows of all runs stay.
+    """
     (
-        rows.withColumn("day", F.to_date("created_at"))
+        rows.withColumns({"run": F.lit(run), "day": F.to_date("created_at")})
         .hint("rebalance", "day")
-        .write.mode("append").partitionBy("day").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)
     )
 
 
@@ -69,8 +73,19 @@ def read_page_results(spark: SparkSession, path: str, file_hashes: list[str] | N
     return rows
 
 
-def merge_page_results(spark: SparkSession, fresh: DataFrame, path: str, target: str) -> None:
-    """Write the store after a run to ``target``; the old one stays readable until it is swapped."""
-    stored = spark.read.parquet(path).drop("hash2")
-    merged = _prefixed(merge_results(stored, fresh)).hint("rebalance", "hash2")
-    merged.write.mode("overwrite").partitionBy("hash2").parquet(target)
+def merge_page_results(spark: SparkSession, fresh: DataFrame, path: str) -> list[str]:
+    """Merge a run's results into the store at ``path``; returns the folders that were rewritten.
+
+    Only folders that a fresh result falls into are read and written, of 256 at most; the files of all
+    others stay as they are. The merged rows are stored before they take the old ones' place, so they
+    are neither lost nor read while that happens.
+    """
+    fresh = stored(_prefixed(fresh.where(F.col("error").isNull())))
+    touched = sorted(r.hash2 for r in fresh.select("hash2").distinct().collect())
+    if not touched:
+        return []
+    known = spark.read.schema(fresh.schema).parquet(path).where(F.col("hash2").isin(touched))
+    merged = stored(_prefixed(merge_results(known.drop("hash2"), fresh.drop("hash2"))))
+    merged.hint("rebalance", "hash2").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "hash2").parquet(path)
+    return touched

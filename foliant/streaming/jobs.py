@@ -11,19 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliant.plans import text_corpus
 from foliant.sources import versions
-from foliant.sources.files import describe_files
+from foliant.sources.files import MAX_BYTES, describe_files, text_files
 from foliant.sources.tables import spread
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Files as they arrive; the checkpoint remembers which were taken."""
-    raw = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(path)
-    )
-    return describe_files(raw)
+def file_stream(
+    spark: SparkSession, path: str, max_files: int = 1000, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """Text files of an allowed size as they arrive; the checkpoint remembers which were taken.
+
+    The size is tested before a file is opened. What is not taken, ``read_text_corpus`` lists.
+    """
+    reader = text_files(spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files))
+    return describe_files(reader.load(path).where(F.col("length") <= max_bytes), max_bytes)
 
 
 def job_of(spark: SparkSession, checkpoint: str) -> str:

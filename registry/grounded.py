@@ -128,6 +128,24 @@ def grounding_coverage(t):
     return grounded.coverage(_cited_markdown(t), ["doc_id"])
 
 
+@query(
+    "document_coverage",
+    _MD + r""",
+    piece AS (SELECT source, doc_id, generate_subscripts(l, 1) AS i, len(l) AS n, length(unnest(l)) AS size FROM (SELECT source, doc_id, string_split(markdown, '[MANBA: ') AS l FROM md)),
+    ends AS (SELECT source, i < n AS marks, sum(size + CASE WHEN i < n THEN 8 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id, i) AS upto FROM piece),
+    hit AS (SELECT source, count(DISTINCT (upto - 8) // 1000) FILTER (WHERE marks) AS covered FROM ends GROUP BY source),
+    gap_piece AS (SELECT source, doc_id, generate_subscripts(l, 1) AS i, length(unnest(l)) AS size FROM (SELECT source, doc_id, string_split_regex(markdown, '\[MANBA: ([^\]]*)\]') AS l FROM md)),
+    named AS (SELECT source, size, sum(CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id, i) AS gap FROM gap_piece),
+    gaps AS (SELECT source, max(size) AS largest_gap FROM (SELECT source, gap, sum(size) AS size FROM named GROUP BY ALL) GROUP BY source),
+    sizes AS (SELECT source, sum(len(bodies)) AS markers, sum(length(markdown)) AS size FROM found GROUP BY source)
+    SELECT source, CAST(markers AS BIGINT) AS markers, CAST(largest_gap AS BIGINT) AS largest_gap, CAST(ceil(size / 1000) AS BIGINT) AS windows, covered
+    FROM sizes JOIN gaps USING (source) JOIN hit USING (source)""",
+)
+def document_coverage(t):
+    """Coverage of whole answers, of which documents are the parts here."""
+    return grounded.document_coverage(_cited_markdown(t), "source", "doc_id")
+
+
 @query(
     "bibliography",
     _MD + """,

@@ -6,11 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from foliant.operators import pages
+from foliant.operators import pages, state
 from foliant.plans import paged_books
+from foliant.sources import tables
 from registry import duck, query
 from registry.grounded import _BOOKS
 from registry.paged import _CLEAN_OCR
+from registry.streamed import run_folder
 
 C = F.col
 
@@ -72,25 +74,52 @@ def recognition_stats(t):
     return pages.recognition_stats(_facts(t))
 
 
-@query(
-    "recognised_materials",
-    _RECOGNISED + "," + _STATS + f""",
+_OUTCOMES = _RECOGNISED + "," + _STATS + f""",
     sums AS (SELECT doc_id, {_PATH} AS path, any_value(script) AS script, any_value(chunks) AS chunks, CAST(sum(markers) AS BIGINT) AS markers,
       CAST(sum(length(markdown)) AS BIGINT) AS chars FROM whole GROUP BY doc_id),
     last AS (SELECT doc_id, arg_max(message, (kind_no, page_no)) AS message FROM warned GROUP BY doc_id),
     judged AS (SELECT u.doc_id, CASE WHEN s.pages > 1000 THEN 'Hujjatda OCR talab qiladigan ' || CAST(s.pages AS VARCHAR) || ' ta sahifa bor — ruxsat etilgan chegara 1000 (OCR_MAX_PAGES).'
       WHEN u.filled = 0 THEN 'Hujjatdan matn ajratib bo''lmadi — indekslash uchun kontent yo''q.' || coalesce(' ' || l.message, '') END AS reason
-      FROM used u LEFT JOIN stats s USING (doc_id) LEFT JOIN last l USING (doc_id))
-    SELECT j.doc_id, CASE WHEN reason IS NULL THEN 'md_ready' ELSE 'failed' END AS status, reason AS error_message,
+      FROM used u LEFT JOIN stats s USING (doc_id) LEFT JOIN last l USING (doc_id)),
+    outcome AS (SELECT j.doc_id, s.doc_id IS NOT NULL AS was_read, CASE WHEN reason IS NULL THEN 'md_ready' ELSE 'failed' END AS status, reason AS error_message,
       CASE WHEN reason IS NULL THEN path END AS md_file_path, CASE WHEN reason IS NULL THEN chunks END AS chunk_count,
       CASE WHEN reason IS NULL THEN markers END AS marker_count, CASE WHEN reason IS NULL THEN chars END AS char_count,
       CASE WHEN reason IS NULL THEN script END AS detected_script,
       CASE WHEN reason IS NULL THEN CASE WHEN replaced = 0 THEN 'text' WHEN replaced >= filled THEN 'ocr' ELSE 'mixed' END END AS extraction_method,
       CASE WHEN reason IS NULL THEN CASE WHEN s.doc_id IS NULL THEN 0 ELSE replaced END END AS ocr_page_count,
       CASE WHEN reason IS NULL THEN confidence END AS ocr_confidence, CASE WHEN reason IS NULL THEN languages END AS ocr_languages
-    FROM judged j JOIN used u USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN stats s USING (doc_id)""",
-)
+    FROM judged j JOIN used u USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN stats s USING (doc_id))"""
+
+
+def _outcomes(t, facts):
+    return paged_books.outcomes(facts, t.book_meta, paged_books.ground(facts, t.book_meta), pages.page_warnings(facts))
+
+
+@query("recognised_materials", _OUTCOMES + " SELECT * EXCLUDE (was_read) FROM outcome")
 def recognised_materials(t):
     """What the run changes in each book's material, failed books included."""
+    return _outcomes(t, _facts(t)).drop("was_read")
+
+
+@query(
+    "recognised_trail",
+    _OUTCOMES + """,
+    step AS (SELECT doc_id, 0 AS place, 0 AS kind_no, 0 AS page_no, 'conversion' AS stage, 'info' AS level, 'Hujjatni o''qish boshlandi: "' || doc_id || '.pdf"' AS message FROM outcome
+      UNION ALL SELECT doc_id, 1, 0, 0, 'ocr', 'info', 'OCR tugadi: ' || CAST(ocr_page_count AS VARCHAR) || ' ta sahifa, o''rtacha ishonch '
+        || coalesce(CAST(CAST(round_even(ocr_confidence, 0) AS INTEGER) AS VARCHAR) || '%', '—') || ', tillar: ' || coalesce(ocr_languages, '') FROM outcome WHERE status = 'md_ready' AND was_read
+      UNION ALL SELECT doc_id, 2, 0, 0, 'conversion', 'info', 'Markdown tayyor: ' || CAST(chunk_count AS VARCHAR) || ' ta chunk, ' || CAST(marker_count AS VARCHAR)
+        || ' ta grounding marker, ' || format('{:,}', char_count) || ' belgi, yozuv: ' || detected_script FROM outcome WHERE status = 'md_ready'
+      UNION ALL SELECT w.doc_id, 3, kind_no, page_no, 'conversion', 'warn', message FROM warned w JOIN outcome o ON o.doc_id = w.doc_id AND o.status = 'md_ready'
+      UNION ALL SELECT doc_id, 4, 0, 0, 'pipeline', 'error', 'Pipeline xatosi: ' || error_message FROM outcome WHERE status = 'failed')
+    SELECT sha256('run-1/' || doc_id || '/' || CAST(place AS VARCHAR) || '/' || CAST(kind_no AS VARCHAR) || '/' || CAST(page_no AS VARCHAR)) AS log_id,
+      doc_id AS material_id, stage, level, message, TIMESTAMP '2024-05-01' + to_seconds(place) AS created_at FROM step""",
+)
+def recognised_trail(t):
+    """The audit trail of that run, appended twice and read back."""
     facts = _facts(t)
-    return paged_books.outcomes(facts, t.book_meta, paged_books.ground(facts, t.book_meta), pages.page_warnings(facts))
+    at = F.lit("2024-05-01").cast("timestamp_ntz")
+    trail = state.run_trail(_outcomes(t, facts), t.book_meta, pages.page_warnings(facts), "run-1", at)
+    folder, _ = run_folder(t)
+    for _ in range(2):
+        tables.append_audit(trail, folder, "run-1")
+    return tables.read_audit(t.spark, folder).drop("run", "day")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import grounding, names, ocrtext, script, typography
 from foliant.functions.nfc import nfc
 from foliant.functions.text import shorten
+from foliant.functions.register import register
 from foliant.operators import sections
 from foliant.operators.reports import script_census
 from foliant.operators.rows import each
@@ -34,6 +35,13 @@ def clean_text(t):
     return t.dirty_text.select("doc_id", typography.clean_text(C("text")).alias("text"))
 
 
+@query("clean_text_sql", f"SELECT doc_id, {duck.clean('text')} AS text FROM {{dirty_text}}")
+def clean_text_sql(t):
+    """The same through the SQL function."""
+    register(t.spark)
+    return t.spark.sql("SELECT doc_id, clean_text(text) AS text FROM {rows}", rows=t.dirty_text)
+
+
 @query("caps_digraphs", f"SELECT doc_id, {duck.caps_digraphs('text')} AS text FROM {{dirty_text}}")
 def caps_digraphs(t):
     return t.dirty_text.select("doc_id", typography.fix_caps_digraphs(C("text")).alias("text"))
