@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -88,7 +87,6 @@ def with_faults(rows: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=REMEMBERED)
 def cheapest(rows: tuple[tuple[str, bool, bool], ...], entry: int, exits: frozenset) -> tuple[int, str] | None:
     """The cheapest edits from state ``entry`` to one of ``exits`` as (cost, audit), ASCII-least of ties.
 
@@ -150,9 +148,13 @@ def _apply(audit: str, state: int, rows: list[tuple[str, str]]) -> Iterator[str]
 
 
 class _Conversation:
-    """Counts of one conversation, and the best ways so far to every state."""
+    """Counts of one conversation, and the best ways so far to every state.
 
-    def __init__(self):
+    ``solved`` are the blocks that the task has met, by shape and ends.
+    """
+
+    def __init__(self, solved: dict | None = None):
+        self.solved = {} if solved is None else solved
         self.counts = {"blank": 0, "duplicate": 0, "truncated": 0}
         self.illegal = self.turns = 0
         self.first = self.last = self.initial = None
@@ -181,7 +183,11 @@ class _Conversation:
         for leave in exits:
             found = []
             for entry, (cost, audit, _, _) in self.ways.items():
-                more = cheapest(shape, entry, leave)
+                if (shape, entry, leave) not in self.solved:
+                    if len(self.solved) >= REMEMBERED:
+                        self.solved.clear()
+                    self.solved[shape, entry, leave] = cheapest(shape, entry, leave)
+                more = self.solved[shape, entry, leave]
                 if more is not None:
                     found.append((cost + more[0], audit + more[1], entry, more[1]))
             if not found:
@@ -202,14 +208,14 @@ class _Conversation:
 
 
 def _repaired(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    current, now, known = None, None, False
+    current, now, known, solved = None, None, False, {}
     for batch in batches:
         done = []
         for conv, turn, role, text, dropped, fault in zip(*[c.to_pylist() for c in batch.columns]):
             if not known or conv != now:
                 if known:
                     done.append((now, *current.result()))
-                current, now, known = _Conversation(), conv, True
+                current, now, known = _Conversation(solved), conv, True
             if not dropped:
                 current.add(turn, role, text, fault)
         if done:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.shared import Sent
 from foliant.llm.words import ALNUM, Words, blocks
 
 # Phrases and their labels.
@@ -254,7 +255,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, covered: float = COVER
     """
     added = ("n_words", "places", "spans", "labels", "score")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    sent = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
+    sent = Sent(docs.sparkSession, scanner or Scanner())
     result = (
         "n_words long, places array<struct<start:long,label:string>>, "
         "spans array<struct<label:string,start:long,stop:long,covered:double>>, "

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import stored
+from foliant.llm.shared import Sent, stored
 
 # Rows of the sample, neighbours in its graph, parts, and training rows per part at least.
 SAMPLE, NEIGHBOURS, PARTS, LEAST = 4096, 10, 32, 64
@@ -208,7 +208,7 @@ def search(
     parts = 1 if router is None else router.layers[3].shape[0]
     probes = 1 if router is None else router.probes
     rows = rows.where(F.size("v") == size)
-    sent = spark.sparkContext.broadcast(router)
+    sent = Sent(spark, router)
 
     def routed(most: int, vectors: str):
         @F.pandas_udf("array<int>")

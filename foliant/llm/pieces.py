@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.shared import Sent
 from foliant.llm.words import mixed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -345,7 +346,7 @@ def encode(docs: DataFrame, n: int = 4, path: str = VOCABULARY) -> DataFrame:
     names = [f.name for f in fields]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     at = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(load(path))
+    sent = Sent(docs.sparkSession, load(path))
     change = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
     other = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class Sent:
+    """A value of any class of this package, broadcast once and unpacked once by each task.
+
+    Spark pickles what it broadcasts by name, which executors without a copy of this package cannot
+    follow; here the classes go along.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_packed": self._packed, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._packed.value)
+        return self._value
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.shared import Sent
+
 # Rules are stated by people or come as a list of this many at most; the broadcast is bounded.
 MOST_RULES = 1_000_000
 
@@ -29,12 +31,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _path_node() -> dict:
+    return {"next": {}, "ends": {}, "sizes": set()}
+
+
 class Trie:
     """Rules by host label from the right, then by path segment from the left.
 
     A host node is a dict of labels; under the key ``None`` stands its path node. A path node has
     ``next`` for whole segments and ``ends`` for rules: the last, perhaps unfinished, segment of
-    a rule with its verdict.
+    a rule with its verdict; ``sizes`` are the lengths these have.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -47,12 +53,13 @@ class Trie:
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
-            node = node.setdefault(None, {"next": {}, "ends": {}})
+            node = node.setdefault(None, _path_node())
             *whole, last = path.split("/")
             for segment in whole:
-                node = node["next"].setdefault(segment, {"next": {}, "ends": {}})
+                node = node["next"].setdefault(segment, _path_node())
             if node["ends"].get(last, ("", ""))[1] != "block":
                 node["ends"][last] = (host + path, verdict)
+                node["sizes"].add(len(last))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         node, starts = self.root, []
@@ -67,11 +74,10 @@ class Trie:
             best, node = None, start
             for segment in segments:
                 # The longest beginning of this segment that ends a rule.
-                if node["ends"]:
-                    for n in range(len(segment), -1, -1):
-                        if segment[:n] in node["ends"]:
-                            best = node["ends"][segment[:n]]
-                            break
+                for n in sorted(node["sizes"], reverse=True):
+                    if n <= len(segment) and segment[:n] in node["ends"]:
+                        best = node["ends"][segment[:n]]
+                        break
                 node = node["next"].get(segment)
                 if node is None:
                     break
@@ -91,7 +97,7 @@ def judge(
     replaced, all others stay. Rows are judged one by one: no shuffle, repeated rows repeat.
     """
     added = ("host", "path", "rule", "verdict")
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
+    trie = Sent(pages.sparkSession, Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def match(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
