@@ -32,6 +32,8 @@ from foliant.llm.shared import components, stored
 from foliant.llm.words import NON_SPACE, Words, blocks, mixed, sequences
 
 CELL_BITS = 17
+# Sets of an n-gram that are compared with each other and not first with the one most like them all.
+FEW = 16
 # 64-bit words with a bit for each part of a set, at least.
 PART_WORDS = 8
 # Documents are looked up by so many values of a hash of their id; the list of values is broadcast.
@@ -282,12 +284,20 @@ def link_groups(docs: DataFrame, n: int = 5, over: int = 80, under: int = 100) -
     """
     texts, nodes, kept, entries = _prepared(docs, n, over, under)
     ends = entries.groupBy("token").agg(
-        F.min(F.struct("n", "g", "p")).alias("low"), F.max(F.struct("n", "g", "p")).alias("high")
+        F.min(F.struct("n", "g", "p")).alias("low"), F.max(F.struct("n", "g", "p")).alias("high"),
+        F.count(F.lit(1)).alias("sets"),
     ).where("low.g <> high.g")
     shared = stored(entries.join(ends, "token"))
 
     rule, near = _pass(over, under), _near(over, under)
-    tries = shared.selectExpr("g", "n", "p", "explode(array(low, high)) o").selectExpr(
+    # Copies of one text share more with it than with each other, and it has the most in common with all.
+    crowd = shared.where(F.col("sets") > FEW)
+    standing = crowd.groupBy("g").agg(F.sum("sets").alias("standing"))
+    middles = crowd.join(standing, "g").groupBy("token").agg(F.max(F.struct("standing", "n", "g", "p")).alias("_m"))
+    middles = middles.select("token", F.struct("_m.n", "_m.g", "_m.p").alias("middle"))
+    starred = shared.select("token", "g", "n", "p", F.array("low", "high").alias("o")).unionByName(
+        crowd.select("token", "g", "n", "p").join(middles, "token").select("token", "g", "n", "p", F.array("middle").alias("o")))
+    tries = starred.selectExpr("g", "n", "p", "explode(o) o").selectExpr(
         "least(g, o.g) a", "greatest(g, o.g) b", "if(g < o.g, n, o.n) an", "if(g < o.g, o.n, n) bn",
         "if(g < o.g, p, o.p) ap", "if(g < o.g, o.p, p) bp",
     )
