@@ -175,7 +175,11 @@ def usable(vector: Column, size: int | None = None) -> Column:
 
 
 def _scores(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Cosines of vectors, from components as doubles; equal vectors have equal scores."""
+    """Cosines of vectors, from components as doubles; equal vectors have equal scores.
+
+    Vectors are scaled by powers of two first, which changes no digit and keeps squares finite.
+    """
+    one, many = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (one, many))
     return (one * many).sum(1) / (np.sqrt((one * one).sum(1)) * np.sqrt((many * many).sum(1)))
 
 

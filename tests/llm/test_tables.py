@@ -4,6 +4,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import check
@@ -151,6 +152,14 @@ def test_pipeline_stages(spark, tmp_path):
     masked = stages["secrets"](spark, marked, str(tmp_path)).collect()
     assert all(r.text is None or (secret not in r.text and len(r.text) == r.n_chars) for r in masked)
     assert len(masked) == len(rows())
+    # Columns that operators have too keep the values that came.
+    names = ["score", "spans", "predicted", "_changed", "_text", "size", "taken", "copies", "a.b"]
+    clashing = marked.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name in ("toxicity", "near duplicates", "secrets", "mix"):
+        out = stages[name](spark, clashing, str(tmp_path))
+        assert out.columns == clashing.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in names)
     total = corpus_pipeline.run(spark, str(tmp_path))
     assert "text" not in total.columns and total.count() > 0
 
@@ -161,6 +170,14 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_scores_of_very_large_and_small_vectors():
+    rng = np.random.default_rng(3)
+    one, many = rng.normal(size=(50, 8)), rng.normal(size=(50, 8))
+    plain = (one * many).sum(1) / (np.sqrt((one * one).sum(1)) * np.sqrt((many * many).sum(1)))
+    assert (partition_search._scores(one, many) == plain).all()
+    assert np.allclose(partition_search._scores(one * 1e200, many * 1e-200), plain)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     folder = "/root/testdata/sf0.001"
