@@ -34,8 +34,8 @@ from foliant.llm.shared import stored
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-# Stretches and links that a task remembers, and documents taken together.
-REMEMBERED, LINKS, TOGETHER = 3 << 17, 1 << 22, 250
+# Stretches and links of a generation that a task remembers, beside the one before, and documents taken together.
+REMEMBERED, LINKS, TOGETHER = 1 << 18, 1 << 22, 250
 # The least stride between ids of the byte-level tokenizer in a pair's number.
 STRIDE = 1 << 32
 # What is encoded as one: up to a space or line break after something else.
@@ -84,34 +84,56 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        # Tokens of either side, groups and links of every stretch; None stands for those not spelt.
-        self.counts = np.zeros((0, 4), np.int64)
-        self.written: list[str | None] = []
-        self.pairs = np.zeros(0, np.int64)
-        self.firsts = np.zeros(1, np.int64)
+        """Start a new generation of stretches; those of the last one are taken over when met again."""
+        self.old = getattr(self, "new", None)
+        self.new = Stretches()
 
     def _encode(self, parts: list[str]) -> tuple:
-        """Of both sides: ids, their number per stretch, and their coarse ends in characters of it.
+        """Of both sides: ids, their number per stretch, and their coarse ends in characters of all.
 
         SentencePiece puts a space in front of what it is given. A stretch that begins with one is
         given without it; one that begins with a line break gets a token for the space, which goes.
         """
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        starts = np.concatenate([[0], stops[:-1]])
         a = self.a.encode_batch(parts, add_special_tokens=False)
         lead = np.fromiter((part.startswith(" ") for part in parts), np.int64, len(parts))
         b = self.b.encode([part[gap:] for part, gap in zip(parts, lead.tolist())],
                           return_type="offset_mapping", num_threads=1)
         if " " in parts:
             b[parts.index(" ")] = {"ids": [self.space], "offsets": [(0, 0)]}
-        a_side = self._flat([e.ids for e in a], [e.offsets for e in a])
+        a_ids, a_sizes, a_ends = self._flat([e.ids for e in a], [e.offsets for e in a])
         ids, sizes, ends = self._flat([x["ids"] for x in b], [x["offsets"] for x in b])
-        ends += np.repeat(lead, sizes)
+        ends += np.repeat(lead + starts, sizes)
         if not lead.all():
             extra = (np.cumsum(sizes) - sizes)[lead == 0]
-            if (ids[extra] != self.space).any():
-                raise ValueError("a piece joins a space and a line break")
+            self._expect_spaces(ids[extra])
             ids, ends, sizes = np.delete(ids, extra), np.delete(ends, extra), sizes - 1 + lead
-        return a_side, (ids, sizes, ends)
+        return (a_ids, a_sizes, a_ends + np.repeat(starts, a_sizes)), (ids, sizes, ends)
+
+    def _encode_joined(self, parts: list[str]) -> tuple:
+        """``_encode`` for stretches that end with something else than white space: all in one text.
+
+        That is their own cut, so they fall apart in it as they would in any other.
+        """
+        whole = "".join(parts)
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        a = self.a.encode(whole, add_special_tokens=False)
+        lead = int(whole.startswith(" "))
+        b = self.b.encode(whole[lead:], return_type="offset_mapping", num_threads=1)
+        sides = []
+        for ids, offsets, moved in ((a.ids, a.offsets, 0), (b["ids"], b["offsets"], lead)):
+            ids, _, ends = self._flat([ids], [offsets])
+            sides.append((ids, ends + moved))
+        if not lead:
+            self._expect_spaces(sides[1][0][:1])
+            sides[1] = (sides[1][0][1:], sides[1][1][1:])
+        # A stretch begins with one byte, so no token that shares a character ends where it begins.
+        return tuple((ids, np.diff(np.searchsorted(ends, stops, "right"), prepend=0), ends) for ids, ends in sides)
+
+    def _expect_spaces(self, ids: np.ndarray) -> None:
+        if (ids != self.space).any():
+            raise ValueError("a piece joins a space and a line break")
 
     @staticmethod
     def _flat(ids: list[list[int]], offsets: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,37 +151,55 @@ class Aligner:
         rough = coarse - begins != spelt
         return np.where(rough, np.cumsum(spelt), coarse) if rough.any() else coarse
 
+    def _spelt(self, side: tuple, spelling: list[bytes], parts: list[str]) -> bool:
+        return b"".join(map(spelling.__getitem__, side[0].tolist())) == "".join(parts).encode()
+
     def _unspelt(self, parts: list[str], sides: tuple) -> list[bool]:
         """Which stretches the tokens of a side do not spell."""
         bad = [False] * len(parts)
-        for (ids, sizes, _), spelling in zip(sides, (self.a_bytes, self.b_bytes)):
-            if b"".join(map(spelling.__getitem__, ids.tolist())) == "".join(parts).encode():
+        for side, spelling in zip(sides, (self.a_bytes, self.b_bytes)):
+            if self._spelt(side, spelling, parts):
                 continue
-            at = 0
-            for i, (part, size) in enumerate(zip(parts, sizes.tolist())):
-                bad[i] |= b"".join(map(spelling.__getitem__, ids[at:at + size].tolist())) != part.encode()
+            at, ids = 0, side[0].tolist()
+            for i, (part, size) in enumerate(zip(parts, side[1].tolist())):
+                bad[i] |= b"".join(map(spelling.__getitem__, ids[at:at + size])) != part.encode()
                 at += size
         return bad
 
     def _learn(self, parts: list[str]) -> None:
-        """Align stretches, all in one row."""
+        """Align stretches: plain ones joined, and by themselves those that end a text with a gap or are not spelt."""
+        joined = [part for part in parts if not part[-1].isspace() and "▁" not in part]
+        # The text they make should begin with a space.
+        joined.sort(key=lambda part: part[0] != " ")
+        if joined:
+            encoded = self._encode_joined(joined)
+            if all(self._spelt(side, spelling, joined) for side, spelling in zip(encoded, (self.a_bytes, self.b_bytes))):
+                self._align(joined, encoded)
+            else:
+                joined = []
+        if len(joined) == len(parts):
+            return
+        taken = set(joined)
+        parts = [part for part in parts if part not in taken]
         encoded = self._encode(parts)
         bad = self._unspelt(parts, encoded)
         if any(bad):
             for part, one in zip(parts, bad):
                 if one:
-                    self.known[part] = -1
+                    self.new.known[part] = -1
             parts = [part for part, one in zip(parts, bad) if not one]
             if not parts:
                 return
             encoded = self._encode(parts)
+        self._align(parts, encoded)
+
+    def _align(self, parts: list[str], encoded: tuple) -> None:
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         # The byte that every character begins with, and the character that every stretch does.
         at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
         stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        starts = np.concatenate([[0], stops[:-1]])
         sides = [
-            (ids, sizes, self._ends(at[coarse + np.repeat(starts, sizes)], lengths[ids]))
+            (ids, sizes, self._ends(at[coarse], lengths[ids]))
             for (ids, sizes, coarse), lengths in zip(encoded, (self.a_lengths, self.b_lengths))
         ]
         (a, a_sizes, a_ends), (b, b_sizes, b_ends) = sides
@@ -177,36 +217,73 @@ class Aligner:
         ):
             last = np.append(group[1:] != group[:-1], True)
             row[np.arange(len(own)) + np.searchsorted(other, group, side)] = written[own + last * (len(written) // 2)]
-        cut, row = 0, row.tolist()
-        for part, size in zip(parts, (a_sizes + b_sizes).tolist()):
-            self.known[part] = len(self.written)
-            self.written.append("".join(row[cut:cut + size])[:-1])
+        cut, row, written = 0, row.tolist(), []
+        for size in (a_sizes + b_sizes).tolist():
+            written.append("".join(row[cut:cut + size])[:-1])
             cut += size
-        self.counts = np.concatenate([self.counts, counts])
-        self.firsts = np.concatenate([self.firsts, self.firsts[-1] + upto[1]])
-        self.pairs = np.concatenate([self.pairs, pairs])
+        self.new.add(parts, counts, written, pairs)
+
+    def _take_over(self, parts: list[str]) -> list[str]:
+        """Take stretches from the last generation into this one; returns those that it does not have."""
+        if self.old is None:
+            return parts
+        met = [part for part in parts if part in self.old.known]
+        if not met:
+            return parts
+        good = [part for part in met if self.old.known[part] >= 0]
+        self.new.known.update((part, -1) for part in met if self.old.known[part] < 0)
+        if good:
+            self.new.add(good, *self.old.of(np.fromiter(map(self.old.known.__getitem__, good), np.int64, len(good))))
+        return [part for part in parts if part not in self.old.known]
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """For every text: tokens of either side, groups, links, the groups' hash, pairs and counts."""
         split = [STRETCH.findall(" " + text) if text else [] for text in texts]
-        fresh = list({part for parts in split for part in parts if part not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED or len(self.pairs) > LINKS:
+        if len(self.new.known) > REMEMBERED or len(self.new.pairs) > LINKS:
             self._forget()
-            fresh = list({part for parts in split for part in parts})
+        known = self.new.known
+        fresh = self._take_over(list({part for parts in split for part in parts if part not in known}))
         if fresh:
             self._learn(fresh)
         for parts in split:
-            which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            which = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
             if not len(which) or which.min() < 0:
                 yield 0, 0, 0, 0, "", [], []
                 continue
-            written = ";".join(map(self.written.__getitem__, which.tolist()))
+            written = ";".join(map(self.new.written.__getitem__, which.tolist()))
             kinds, times = np.unique(which, return_counts=True)
-            sizes = self.counts[kinds, 3]
-            place = np.arange(sizes.sum()) + np.repeat(self.firsts[kinds] - np.cumsum(sizes) + sizes, sizes)
-            keys, inverse = np.unique(self.pairs[place], return_inverse=True)
-            linked = np.bincount(inverse, np.repeat(times, sizes)).astype(np.int64)
-            yield (*self.counts[which].sum(0).tolist(), hashlib.sha256(written.encode()).hexdigest(), keys, linked)
+            counts, _, pairs = self.new.of(kinds, False)
+            keys, inverse = np.unique(pairs, return_inverse=True)
+            linked = np.bincount(inverse, np.repeat(times, counts[:, 3])).astype(np.int64)
+            totals = (counts * times[:, None]).sum(0).tolist()
+            yield (*totals, hashlib.sha256(written.encode()).hexdigest(), keys, linked)
+
+
+class Stretches:
+    """Aligned stretches by number: tokens of either side, groups, links; groups written out; linked pairs.
+
+    A stretch that its tokens do not spell has the number -1.
+    """
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.counts = np.zeros((0, 4), np.int64)
+        self.written: list[str] = []
+        self.pairs = np.zeros(0, np.int64)
+        self.firsts = np.zeros(1, np.int64)
+
+    def add(self, parts: list[str], counts: np.ndarray, written: list[str], pairs: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.written), len(self.written) + len(parts))))
+        self.written += written
+        self.counts = np.concatenate([self.counts, counts])
+        self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum(counts[:, 3])])
+        self.pairs = np.concatenate([self.pairs, pairs])
+
+    def of(self, which: np.ndarray, written: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+        counts = self.counts[which]
+        sizes = counts[:, 3]
+        place = np.arange(sizes.sum()) + np.repeat(self.firsts[which] - np.cumsum(sizes) + sizes, sizes)
+        return counts, [self.written[i] for i in which.tolist()] if written else [], self.pairs[place]
 
 
 def _byte_level(path: str) -> list[bytes]:
