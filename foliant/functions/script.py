@@ -79,7 +79,12 @@ def script_sample(texts: Column, size: int = GATHERED_SAMPLE) -> Column:
 
 
 def repair_final_ii(c: Column) -> Column:
-    return F.regexp_replace(c, f"ии(?![{UZBEK_LETTERS}])", "ий")
+    return let(
+        c,
+        lambda text: F.when(
+            F.contains(text, F.lit("ии")), F.regexp_replace(text, f"ии(?![{UZBEK_LETTERS}])", "ий")
+        ).otherwise(text),
+    )
 
 
 def expand_e(c: Column) -> Column:
@@ -97,15 +102,21 @@ def _expand_ye(c: Column) -> Column:
     # Lower case first: an e it turned into Latin still opens the run for a following E, and
     # that E would be read as ye after an e in any case.
     lower = F.regexp_replace(c, at_ye("е"), "ye")
-    return F.regexp_replace(lower, at_ye("Е"), "Ye")
+    return let(
+        lower,
+        lambda text: F.when(
+            F.contains(text, F.lit("Е")), F.regexp_replace(text, at_ye("Е"), "Ye")
+        ).otherwise(text),
+    )
 
 
-def _mark_caps(c: Column) -> Column:
-    """Put CAPS_MARK before every character of a Cyrillic run that has no lower-case letter."""
-    caps = rf"[{CYRILLIC}&&[^\p{{Ll}}]]"
+def _mark_caps(c: Column, letters: str) -> Column:
+    """Put CAPS_MARK before every one of ``letters`` in a Cyrillic run that has no lower-case letter."""
+    # The ranges leave out most lower-case letters.
+    caps = r"[\u0400-\u042f\u0460-\u04ff&&[^\p{Ll}]]"
     first = rf"(?<![{CYRILLIC}])(?={caps}++(?![{CYRILLIC}]))"
-    walk = rf"(?={caps})(?:{first}|(?<=[{CYRILLIC}])\G)({caps})"
-    return F.regexp_replace(c, walk, CAPS_MARK + "$1")
+    walk = rf"(?={caps})(?:{first}|(?<=[{CYRILLIC}])\G)((?:(?![{letters}]){caps})*+)([{letters}])"
+    return F.regexp_replace(c, walk, "$1" + CAPS_MARK + "$2")
 
 
 def to_latin(c: Column) -> Column:
@@ -127,19 +138,21 @@ def to_latin(c: Column) -> Column:
 
     def convert(text: Column) -> Column:
         out = let(
-            _mark_caps(repair_final_ii(text)),
+            # All others are one letter in Latin too, so their case needs no mark.
+            _mark_caps(repair_final_ii(text), "Е" + "".join(long_letters).upper()),
             lambda t: F.when(F.contains(t, F.lit(CAPS_MARK)), all_caps(t)).otherwise(t),
         )
-        out = _expand_ye(out)
-        for cyr, lat in long_letters.items():
-            out = F.replace(out, F.lit(cyr.upper()), F.lit(lat.capitalize()))
-            out = F.replace(out, F.lit(cyr), F.lit(lat))
-        return F.translate(
-            out,
+        # Single letters first: little Cyrillic is left for the others to be looked for in.
+        out = F.translate(
+            _expand_ye(out),
             "".join(cyr + cyr.upper() for cyr, _ in single)
             + "".join(cyr + cyr.upper() for cyr in dropped) + CAPS_MARK,
             "".join(lat + lat.upper() for _, lat in single),
         )
+        for cyr, lat in long_letters.items():
+            out = F.replace(out, F.lit(cyr.upper()), F.lit(lat.capitalize()))
+            out = F.replace(out, F.lit(cyr), F.lit(lat))
+        return out
 
     return let(c, lambda t: F.when(t.rlike(f"[{CYRILLIC}]"), convert(t)).otherwise(t))
 
