@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 # Text without any of these characters is already in NFC: all but what lies below the combining
 # marks, Cyrillic without its own marks, and general punctuation without the quads, which change.
-MAY_CHANGE = r"\u0300-\u03ff\u0483-\u0489\u0500-\u200f\u2028-\u202f\u205f-\x{10ffff}"
+# A joiner or a space of fixed width neither changes nor combines.
+MAY_CHANGE = r"\u0300-\u03ff\u0483-\u0489\u0500-\u2001\u205f-\ufefe\uff00-\x{10ffff}"
 
 
 @F.pandas_udf(T.StringType())

@@ -26,6 +26,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def replace_matches(c: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """Replace every match of ``pattern``, which has no group and is never empty, by ``body`` of it.
+
+    The text between the matches is never handed to a lambda word by word.
+    """
+    matches = F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), body)
+    # One piece more than there are matches.
+    pieces = F.zip_with(
+        F.split(c, pattern), matches, lambda between, match: F.concat(between, F.coalesce(match, F.lit("")))
+    )
+    return F.array_join(pieces, "")
+
+
 def strip(c: Column) -> Column:
     # Looks at the ends only, where a pattern would be tried at every space of the text.
     return F.btrim(c, F.lit(STRIPPED))

@@ -1,6 +1,7 @@
 """The Column functions: stated examples, random text against DuckDB, and properties."""
 
 import random
+import re
 import unicodedata
 
 import duckdb
@@ -179,3 +180,24 @@ def test_stored_filename(spark):
     df = spark.createDataFrame([("a/Kitob 1.PDF", ".pdf", "0123456789abcdef")], "n string, e string, h string")
     assert df.select(names.stored_filename(F.col("n"), F.col("e"), F.col("h"))).first()[0] == \
         "0123456789ab__Kitob_1.pdf"
+
+
+def test_passes_over_the_text():
+    """Patterns decode and encode a whole text, so steps that literals can do have none."""
+    assert repr(typography.repair_typography(F.col("t"))).count("regexp_replace(") <= 4
+    assert "regexp" not in repr(typography.drop_zero_width(F.col("t")))
+    assert "regexp" not in repr(typography.normalise_newlines(F.col("t")))
+
+
+def test_joiners_stay_with_the_jvm():
+    assert not re.search("[" + nfc.MAY_CHANGE.replace(r"\x{10ffff}", r"\U0010ffff") + "]", "a​ ﻿b")
+
+
+def test_capitals_of_a_cyrillic_run_are_marked_where_it_matters(spark):
+    marked = run(spark, lambda c: script._mark_caps(c, "ЕШ"), ["ШАҲАР БЕШ Шаҳар Ш"])[0]
+    assert marked == "﷐ШАҲАР Б﷐Е﷐Ш Шаҳар ﷐Ш"
+
+
+def test_replace_matches(spark):
+    swap = lambda c: text_functions.replace_matches(c, "b+", lambda m: F.concat(F.lit("<"), m, F.lit(">")))
+    assert run(spark, swap, ["", "abba", "b", "bxbb", None]) == ["", "a<bb>a", "<b>", "<b>x<bb>", None]
