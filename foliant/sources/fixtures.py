@@ -149,7 +149,12 @@ class Tables:
         if name == "doc_pages":
             return self._doc_pages()
         if name == "words":
-            return self._words()
+            return self._words(self.doc_pages)
+        if name == "words_by_page":
+            # Pages are shuffled instead of their words, which take several times the room. With a number
+            # given, small partitions are not joined: their words are to fit in a task's memory.
+            parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return self._words(self.doc_pages.repartition(parts, "doc_id", "page_no"))
         if name == "slide_elements":
             return self._slide_elements()
         sql = shape_sql(name)
@@ -174,10 +179,10 @@ class Tables:
             F.col("doc_id").alias("item"),
         )
 
-    def _words(self) -> DataFrame:
+    def _words(self, pages: DataFrame) -> DataFrame:
         """One row per space-separated word of each page."""
         page = ["doc_id", "page_no", "item"]
-        lines = each(self.doc_pages, page, F.split("text", "\n"), "at", "line_text")
+        lines = each(pages, page, F.split("text", "\n"), "at", "line_text")
         words = each(lines, [*page, "at"], F.split("line_text", " "), "word", "text")
         pos = F.col("at") * 1000 + F.col("word")
         return words.select(

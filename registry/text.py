@@ -252,7 +252,7 @@ words AS (SELECT doc_id, page_no, pos, word, pos // 5 AS par, """ + duck.strip("
     SELECT doc_id, page_no, text, confidence FROM texts JOIN confs USING (doc_id, page_no)""",
 )
 def assemble_pages(t):
-    return sections.assemble_pages(t.words)
+    return sections.assemble_pages(t.words_by_page)
 
 
 @query(

@@ -264,3 +264,21 @@ def test_text_documents_whole(spark):
     assert got[2].marker_count == 3
     assert got[1].status == "failed" and got[1].markdown is None
     assert got[3].status == "failed"
+
+
+def test_words_are_not_shuffled(spark):
+    """Pages laid out by page give words that are assembled where they are."""
+    from foliant.sources.fixtures import Tables
+
+    words = Tables(spark, "/root/testdata/sf0.001").words_by_page
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (words, sections.assemble_pages(words))]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
+def test_words_of_unknown_place(spark):
+    """NULL numbers neither shift a word's fields nor open a paragraph."""
+    rows = [("d", 1, 3, 5, 1, 1, 1, "9", "c"), ("d", 1, 1, 5, None, 1, 1, "9", "a"),
+            ("d", 1, 2, 5, 1, None, 2, "9", "b"), ("d", 1, 4, 5, 1, 1, None, "9", "e")]
+    words = spark.createDataFrame(
+        rows, "doc_id string, page int, row_no long, level int, block int, par int, line int, conf string, text string")
+    assert [r.text for r in sections.assemble_pages(words).collect()] == ["a\nb\nc e"]
