@@ -101,7 +101,8 @@ def outcomes(
     """One row per book with what a run changes in its material, and whether pages of it ``was_read``.
 
     Counts and path of the Markdown, script, how the text was extracted, and what recognition
-    said; or ``failed`` and why. A failed book keeps no counts.
+    said; or ``failed`` and why. A failed book keeps no counts. The rows are stored, so what is made of
+    them does not ground the books again.
     """
     failed = failures(facts, warnings, meta, max_pages)
     totals = document_totals(parts)
@@ -117,7 +118,7 @@ def outcomes(
         F.col("ocr_page_count").isNotNull().alias("was_read"),
         F.coalesce("ocr_page_count", F.lit(0)).cast("long").alias("ocr_page_count"), "ocr_confidence", "ocr_languages",
     )
-    return fine.unionByName(failed, allowMissingColumns=True)
+    return stored(fine.unionByName(failed, allowMissingColumns=True))
 
 
 def versions(parts: DataFrame) -> DataFrame:

@@ -282,3 +282,15 @@ def test_words_of_unknown_place(spark):
     words = spark.createDataFrame(
         rows, "doc_id string, page int, row_no long, level int, block int, par int, line int, conf string, text string")
     assert [r.text for r in sections.assemble_pages(words).collect()] == ["a\nb\nc e"]
+
+
+def test_outcomes_are_stored(spark):
+    """What is made of a run's outcomes reads rows, and grounds no book again."""
+    layer = spark.createDataFrame([("d", 1, True, 1, "some text " * 9)], "doc_id string, page_no int, has_image boolean, item long, text string")
+    results = spark.createDataFrame(
+        [], "doc_id string, page_no int, text string, confidence double, error string, cached boolean, languages string")
+    meta = spark.createDataFrame([("d", *"abcdef")], ["doc_id", *grounded.META])
+    facts = paged_books.recognised(layer, results)
+    done = paged_books.outcomes(facts, meta, paged_books.ground(facts, meta), pages.page_warnings(facts))
+    assert "Aggregate" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.status) for r in done.collect()] == [("d", "md_ready")]
