@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.plans import paged_books, text_corpus
+from foliant.session import stored
 from foliant.sources import versions
 from registry import ORACLES, duck, query
 from registry.grounded import _BLOCKS
@@ -39,7 +40,8 @@ def stored_markdown(t):
 def stored_books(t):
     """Books of two jobs, in parts, through the store of versions."""
     store, _ = run_folder(t)
-    books = paged_books.versions(paged_books.ground(t.doc_pages, t.book_meta))
+    # Both commits read the pages three times; they are numbered once.
+    books = paged_books.versions(paged_books.ground(stored(t.doc_pages), t.book_meta))
     for job, rows in (("first", C("material_id") < "src5"), ("second", C("material_id") >= "src5")):
         versions.commit(books.where(rows), store, job, 0)
         versions.commit(books.where(rows), store, job, 0)
