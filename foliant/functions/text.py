@@ -50,7 +50,10 @@ def is_blank(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Whitespace runs, newlines included, become one space; the ends are stripped."""
-    return strip(F.regexp_replace(c, rf"[ \n{LINE_SPACE}\x1c-\x1f]+", " "))
+    # Runs of several and what is no plain space: single spaces stay, and two tests settle letters.
+    space = rf"[\t-\r\x1c- \x85\xa0\u1680-\u3000&&[ \n{LINE_SPACE}\x1c-\x1f]]"
+    common = F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\u00a0"), F.lit(" "))
+    return strip(F.regexp_replace(common, rf"{space}(?:{space}+|(?<! ))", " "))
 
 
 def count_in(c: Column, char_class: str) -> Column:
