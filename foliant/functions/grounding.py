@@ -29,13 +29,27 @@ def split_for_grounding(
     to_newline = rf"[^\n]{{0,{newline - 1}}}(?=\n)"
     to_space = rf"[^ ]{{0,{space - 1}}}(?= )"
     pattern = rf"(?s)(.{{{interval}}}(?:{to_newline}|{to_space}|)|.{{1,{interval - 1}}})"
-    raw = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    # Text up to the interval is not cut.
+    raw = let(
+        c,
+        lambda text: F.when(F.length(text) <= interval, F.array(text)).otherwise(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        ),
+    )
     return F.filter(F.transform(raw, strip), lambda s: s != "")
 
 
+def marker_field(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"[|\]\r\n]+", " "))
+
+
+def marker_of(*fields: Column) -> Column:
+    """The marker of four values that are fields already."""
+    return F.concat(F.lit("[MANBA: "), F.concat_ws(" | ", *fields), F.lit("]"))
+
+
 def build_marker(filename: Column, label: Column, topic: Column, kind: Column) -> Column:
-    safe = [strip(F.regexp_replace(p, r"[|\]\r\n]+", " ")) for p in (filename, label, topic, kind)]
-    return F.concat(F.lit("[MANBA: "), F.concat_ws(" | ", *safe), F.lit("]"))
+    return marker_of(*[marker_field(p) for p in (filename, label, topic, kind)])
 
 
 def yaml_string(c: Column) -> Column:

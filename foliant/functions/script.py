@@ -33,8 +33,20 @@ CAPS_MARK = "\ufdd0"
 
 
 def count_letters(c: Column, letters: str) -> Column:
-    # Much cheaper than a regex class of scattered letters.
-    return F.length(c) - F.length(F.translate(c, letters, ""))
+    # Literals are looked for in the bytes, which is much cheaper than a regex class or a translation.
+    return let(c, lambda text: F.length(text) - F.length(_without(text, letters)))
+
+
+def _without(c: Column, letters: str) -> Column:
+    for letter in letters:
+        c = F.replace(c, F.lit(letter), F.lit(""))
+    return c
+
+
+def _count_cyrillic(c: Column) -> Column:
+    """Letters of the Cyrillic block: what is left of two bytes once all others beyond ASCII are gone."""
+    plain = F.regexp_replace(c, rf"[\u0080-\x{{10ffff}}&&[^{CYRILLIC}]]+", "")
+    return let(plain, lambda text: F.octet_length(text) - F.length(text))
 
 
 def is_uzbek_cyrillic(c: Column, sample: int = DETECTION_SAMPLE) -> Column:
@@ -50,16 +62,27 @@ def is_uzbek_cyrillic(c: Column, sample: int = DETECTION_SAMPLE) -> Column:
 def detect_script(c: Column, sample: int = DETECTION_SAMPLE) -> Column:
     """``uz-cyrl``, ``ru``, ``uz-latn`` or ``other``, from the first ``sample`` characters."""
 
+    def cyrillic(head: Column) -> Column:
+        return F.when(is_uzbek_cyrillic(head, sample), "uz-cyrl").otherwise("ru")
+
+    def counted(head: Column, cyr: Column) -> Column:
+        return let(
+            count_in(head, "a-zA-Z"),
+            lambda lat: F.when(cyr + lat < MIN_LETTERS, "other")
+            .when(cyr / (cyr + lat) > CYRILLIC_SHARE, cyrillic(head))
+            .when(lat > 0, "uz-latn")
+            .otherwise("other"),
+        )
+
     def decide(head: Column) -> Column:
+        # Latin letters are counted only where the others leave it open.
         return let(
-            F.struct(count_in(head, CYRILLIC).alias("cyr"), count_in(head, "a-zA-Z").alias("lat")),
-            lambda n: F.when(n.cyr + n.lat < MIN_LETTERS, "other")
-            .when(
-                n.cyr / (n.cyr + n.lat) > CYRILLIC_SHARE,
-                F.when(is_uzbek_cyrillic(head, sample), "uz-cyrl").otherwise("ru"),
+            _count_cyrillic(head),
+            lambda cyr: F.when(
+                (cyr >= MIN_LETTERS) & (cyr / F.length(head) > CYRILLIC_SHARE), cyrillic(head)
             )
-            .when(n.lat > 0, "uz-latn")
-            .otherwise("other"),
+            .when((cyr == 0) & head.rlike(rf"(?:[a-zA-Z][^a-zA-Z]*+){{{MIN_LETTERS}}}"), "uz-latn")
+            .otherwise(counted(head, cyr)),
         )
 
     return let(F.substring(c, 1, sample), decide)

@@ -7,37 +7,69 @@ from pyspark.sql import functions as F
 
 from foliant.functions import grounding
 from foliant.functions.nfc import nfc
-from foliant.functions.script import detect_script, latin_if_uzbek, script_sample
-from foliant.functions.text import let
+from foliant.functions.script import CAPS_MARK, detect_script, latin_if_uzbek, script_sample
+from foliant.functions.text import let, strip
 from foliant.functions.typography import repair_typography
 from foliant.operators.sections import markdown_sections_of, parts_of
 
 # Fixed value: why a document without sections fails.
 NO_CONTENT = "Hujjatdan matn ajratib bo'lmadi — indekslash uchun kontent yo'q."
 
+# A noncharacter between sections that are repaired as one text. No step sees a letter or space in it.
+SECTION_BREAK = "\ufdd1"
+
+
+def finished_texts(texts: Column, script: Column) -> Column:
+    """Texts of sections, repaired and in Latin where due, as one text with breaks in between.
+
+    A document may have very many short sections, and each step costs more to begin than it takes on one
+    of them. Sections whose own text holds one of the two noncharacters are finished one by one.
+    """
+
+    def split(joined: Column) -> Column:
+        # Only what is left of a section after its characters of no width may have spaces at the ends.
+        return F.transform(F.split(joined, SECTION_BREAK), strip)
+
+    def together(joined: Column) -> Column:
+        return let(
+            split(repair_typography(joined)),
+            lambda done: F.when(
+                script == "uz-cyrl",
+                F.split(latin_if_uzbek(F.array_join(done, SECTION_BREAK), script), SECTION_BREAK),
+            ).otherwise(done),
+        )
+
+    apart = F.transform(texts, lambda text: latin_if_uzbek(repair_typography(text), script))
+    marked = F.exists(
+        texts, lambda text: F.contains(text, F.lit(SECTION_BREAK)) | F.contains(text, F.lit(CAPS_MARK))
+    )
+    return F.when(F.size(texts) == 0, texts).when(marked, apart).otherwise(
+        let(F.array_join(texts, SECTION_BREAK), together)
+    )
+
 
 def process_sections(documents: DataFrame, kind: str = "part") -> DataFrame:
     """Add ``sections`` (cleaned, in Latin where due) and ``script`` to ``documents``.
 
     ``kind`` says how ``text`` is cut: ``part`` for plain text, ``section`` for Markdown.
     The script is decided on the raw sections. NFC does not move section bounds, so it is
-    applied to the whole text, outside the lambda that repairs each section.
+    applied to the whole text, outside the lambda that repairs the sections.
     """
     cut = parts_of if kind == "part" else markdown_sections_of
 
     def finish(state: Column) -> Column:
         script = detect_script(script_sample(F.transform(state["raw"], lambda s: s["text"])))
+        texts = F.transform(state["cut"], lambda s: s["text"])
+
+        def labelled(done: Column) -> Column:
+            return F.zip_with(
+                state["cut"], done, lambda s, text: F.struct(s["label"].alias("label"), text.alias("text"))
+            )
+
         return let(
             script,
             lambda decided: F.struct(
-                decided.alias("script"),
-                F.transform(
-                    state["cut"],
-                    lambda s: F.struct(
-                        s["label"].alias("label"),
-                        latin_if_uzbek(repair_typography(s["text"]), decided).alias("text"),
-                    ),
-                ).alias("sections"),
+                decided.alias("script"), let(finished_texts(texts, decided), labelled).alias("sections")
             ),
         )
 
@@ -67,16 +99,25 @@ def ground(documents: DataFrame, kind: str = "part") -> DataFrame:
     """
     name, topic, what = F.col("original_filename"), F.col("topic_code"), F.col("type")
 
-    def block(section: Column) -> Column:
-        marker = grounding.build_marker(name, section["label"], topic, what)
+    def block(section: Column, fields: Column) -> Column:
+        marker = grounding.marker_of(
+            fields["file"], grounding.marker_field(section["label"]), fields["topic"], fields["kind"]
+        )
         return let(
-            grounding.split_for_grounding(section["text"]),
-            lambda segments: F.struct(
-                grounding.section_block(section["label"], marker, segments).alias("text"),
-                grounding.marker_count(segments).alias("markers"),
+            F.struct(marker.alias("marker"), grounding.split_for_grounding(section["text"]).alias("segments")),
+            lambda s: F.struct(
+                grounding.section_block(section["label"], s["marker"], s["segments"]).alias("text"),
+                grounding.marker_count(s["segments"]).alias("markers"),
             ),
         )
 
+    # What all markers of a document have in common is made once.
+    fields = F.struct(
+        grounding.marker_field(name).alias("file"), grounding.marker_field(topic).alias("topic"),
+        grounding.marker_field(what).alias("kind"),
+    )
+    all_blocks = let(fields, lambda f: F.transform("sections", lambda s: block(s, f)))
+
     head = grounding.frontmatter(
         {
             "module_id": F.col("module_code"),
@@ -89,7 +130,7 @@ def ground(documents: DataFrame, kind: str = "part") -> DataFrame:
         },
         F.size("sections"),
     )
-    blocks = process_sections(documents, kind).withColumn("_blocks", F.transform("sections", block))
+    blocks = process_sections(documents, kind).withColumn("_blocks", all_blocks)
     text = F.array_join(F.transform("_blocks", lambda b: b["text"]), "\n")
     grounded = blocks.withColumn(
         "markdown", F.when(F.size("sections") > 0, F.concat(head, F.lit("\n"), text))

@@ -201,3 +201,34 @@ def test_capitals_of_a_cyrillic_run_are_marked_where_it_matters(spark):
 def test_replace_matches(spark):
     swap = lambda c: text_functions.replace_matches(c, "b+", lambda m: F.concat(F.lit("<"), m, F.lit(">")))
     assert run(spark, swap, ["", "abba", "b", "bxbb", None]) == ["", "a<bb>a", "<b>", "<b>x<bb>", None]
+
+
+def test_squeeze_leaves_single_spaces_alone():
+    """A match at every space of a text costs more than the rest of the step."""
+    assert "(?<! )" in repr(text_functions.squeeze(F.col("t")))
+
+
+@pytest.mark.parametrize("given,expected", [
+    ("", ""), (" a  b\n\nc\t d　", "a b c d"), ("a b \x1cc ", "a b c"), ("a b", "a b"), ("\n \n", ""),
+])
+def test_squeeze(spark, given, expected):
+    assert run(spark, text_functions.squeeze, [given]) == [expected]
+
+
+def test_latin_letters_are_counted_only_where_they_decide():
+    assert "translate(" not in repr(script.detect_script(F.col("t")))
+    assert repr(script.detect_script(F.col("t"))).count("(?U)") == 1
+
+
+def test_sections_are_finished_as_one_text(spark):
+    """One pass over a document gives what a pass over each section gives, breaks in the text included."""
+    from foliant.plans.text_corpus import finished_texts
+
+    given = [["​\n ер", "ShAHARShUNOSLIK a-", "\nb-\n​c", "­", "ь бет", "ЕР", "a \x1c"], [], [""],
+             ["ер﷑бет", "Шаҳар"], ["a﷐", "ер"]]
+    df = spark.createDataFrame([(i, texts) for i, texts in enumerate(given)], "i int, v array<string>")
+    for kind in ("uz-cyrl", "ru"):
+        alone = F.transform(
+            "v", lambda text: script.latin_if_uzbek(typography.repair_typography(text), F.lit(kind)))
+        rows = df.select(finished_texts(F.col("v"), F.lit(kind)).alias("got"), alone.alias("want")).collect()
+        assert [r.got for r in rows] == [r.want for r in rows]
