@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import count_in, is_blank, let, squeeze, strip
+from foliant.functions.text import count_in, is_blank, let, replace_matches, squeeze, strip
 
 SPARSE_PAGE = 40
 MIN_LETTER_RATIO = 0.5
@@ -47,21 +47,23 @@ def fix_mixed_script_words(c: Column) -> Column:
     cyr, lat = r"\p{IsCyrillic}", r"\p{IsLatin}"
     other = rf"[\p{{L}}&&[^{cyr}{lat}]]*"
     mixed = f"{cyr}{other}{lat}|{lat}{other}{cyr}"
+    # A whole word up to the first letter of its second script, and the rest. Words of one script, which
+    # are most, are never taken out.
+    no_cyr, no_lat = rf"[\p{{L}}&&[^{cyr}]]", rf"[\p{{L}}&&[^{lat}]]"
+    # The scripts have signs and marks too, which are no letters.
+    c1, l1 = rf"[\p{{L}}&&{cyr}]", rf"[\p{{L}}&&{lat}]"
+    word_of_both = rf"(?<!\p{{L}}){other}+(?:{l1}{no_cyr}*+{c1}|{c1}{no_lat}*+{l1})\p{{L}}*+"
 
     def repair(word: Column) -> Column:
         to_cyr = F.translate(word, LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES)
         to_lat = F.translate(word, CYRILLIC_LOOKALIKES, LATIN_LOOKALIKES)
         cyr_wins = count_in(word, cyr) >= count_in(word, lat)
-        fixed = F.when(cyr_wins, F.when(~to_cyr.rlike(lat), to_cyr)).otherwise(
-            F.when(~to_lat.rlike(cyr), to_lat)
-        )
-        return F.when(word.rlike(mixed), F.coalesce(fixed, word)).otherwise(word)
-
-    def by_words(text: Column) -> Column:
-        tokens = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-        return F.array_join(F.transform(tokens, repair), "")
+        whole = lambda fixed, rest: let(fixed, lambda w: F.when(w.rlike(rest), word).otherwise(w))
+        return F.when(cyr_wins, whole(to_cyr, lat)).otherwise(whole(to_lat, cyr))
 
-    return let(c, lambda text: F.when(text.rlike(mixed), by_words(text)).otherwise(text))
+    return let(
+        c, lambda text: F.when(text.rlike(mixed), replace_matches(text, word_of_both, repair)).otherwise(text)
+    )
 
 
 def normalise_apostrophes(c: Column) -> Column:

@@ -232,3 +232,10 @@ def test_sections_are_finished_as_one_text(spark):
             "v", lambda text: script.latin_if_uzbek(typography.repair_typography(text), F.lit(kind)))
         rows = df.select(finished_texts(F.col("v"), F.lit(kind)).alias("got"), alone.alias("want")).collect()
         assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_only_words_of_both_scripts_are_taken_out(spark):
+    """Words of one script are not handled one by one; signs of a script are no letters of a word."""
+    given = ["҂a Tошкент", "aб҂б", "Zаб zßа", "абá bа1аb", "ΩаaΩ"]
+    assert run(spark, ocrtext.fix_mixed_script_words, given) == in_duckdb(duck.mixed_words, given)
+    assert "[^\\p{L}]+)" not in repr(ocrtext.fix_mixed_script_words(F.col("t")))
