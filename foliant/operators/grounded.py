@@ -83,30 +83,26 @@ def with_facts(sections: DataFrame, facts: DataFrame) -> DataFrame:
     return sections.withColumn("part", part).join(per_part, ["doc_id", "part"])
 
 
-def assemble(sections: DataFrame) -> DataFrame:
-    """Grounded Markdown of documents given as section rows, in parts of bounded size.
+# What is the same for all sections of a part.
+_DOCUMENT = ["doc_id", "part", "script", "chunk_count", "first_ord", *META]
 
-    ``sections`` is ``(doc_id, part, ord, label, text)`` with finished text, ``META``,
-    ``script``, ``chunk_count`` and ``first_ord``. Each (document, part) is one group, so a
-    long document is assembled by many tasks.
-    """
+
+def _blocks(sections: DataFrame) -> DataFrame:
+    """``_block`` and ``_markers`` of every section, beside its ``ord`` and ``_DOCUMENT``."""
     marker = grounding.build_marker(
         F.col("original_filename"), F.col("label"), F.col("topic_code"), F.col("type")
     )
-    document = ["doc_id", "part", "script", "chunk_count", "first_ord", *META]
-    blocks = sections.withColumn(
+    return sections.withColumn(
         "_segments", grounding.split_for_grounding(F.col("text"))
     ).select(
-        *document, "ord",
+        *_DOCUMENT, "ord",
         grounding.section_block(F.col("label"), marker, F.col("_segments")).alias("_block"),
         grounding.marker_count(F.col("_segments")).alias("_markers"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "_block")))
-    # Every block is preceded by a newline: the head ends where the first block begins.
-    body = F.array_join(F.transform(ordered, lambda b: F.concat(F.lit("\n"), b["_block"])), "")
-    grouped = blocks.groupBy(*document).agg(
-        body.alias("_body"), F.sum("_markers").cast("long").alias("marker_count")
-    )
+
+
+def _head() -> Column:
+    """The YAML head of a part: only the first one of a document has it."""
     head = grounding.frontmatter(
         {
             "module_id": F.col("module_code"),
@@ -120,17 +116,50 @@ def assemble(sections: DataFrame) -> DataFrame:
         F.col("chunk_count"),
     )
     first = F.col("part") == F.floor(F.col("first_ord") / SECTIONS_PER_PART)
-    markdown = F.concat(F.when(first, head).otherwise(""), "_body")
+    return F.when(first, head).otherwise("")
+
+
+def _path() -> Column:
+    return grounding.markdown_path(
+        F.col("module_code"), F.col("topic_code"), F.col("type"), F.col("original_filename"), F.col("doc_id")
+    )
+
+
+def assemble(sections: DataFrame) -> DataFrame:
+    """Grounded Markdown of documents given as section rows, in parts of bounded size.
+
+    ``sections`` is ``(doc_id, part, ord, label, text)`` with finished text, ``META``,
+    ``script``, ``chunk_count`` and ``first_ord``. Each (document, part) is one group, so a
+    long document is assembled by many tasks.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "_block")))
+    # Every block is preceded by a newline: the head ends where the first block begins.
+    body = F.array_join(F.transform(ordered, lambda b: F.concat(F.lit("\n"), b["_block"])), "")
+    grouped = _blocks(sections).groupBy(*_DOCUMENT).agg(
+        body.alias("_body"), F.sum("_markers").cast("long").alias("marker_count")
+    )
     return grouped.select(
-        "doc_id", "part", "script", "chunk_count", "marker_count",
-        grounding.markdown_path(
-            F.col("module_code"), F.col("topic_code"), F.col("type"), F.col("original_filename"),
-            F.col("doc_id"),
-        ).alias("md_path"),
-        markdown.alias("markdown"),
+        "doc_id", "part", "script", "chunk_count", "marker_count", _path().alias("md_path"),
+        F.concat(_head(), "_body").alias("markdown"),
     ).withColumn("char_count", F.length("markdown"))
 
 
+def totals(sections: DataFrame) -> DataFrame:
+    """Counts of the whole documents that ``assemble`` makes of the same ``sections``.
+
+    A block is measured where it is made, so no text is shuffled or gathered for them.
+    """
+    measured = _blocks(sections).groupBy(*_DOCUMENT).agg(
+        F.sum(F.length("_block") + 1).alias("_body"), F.sum("_markers").alias("_markers")
+    )
+    return measured.withColumn("_size", F.length(_head()) + F.col("_body")).groupBy(
+        "doc_id", _path().alias("md_path"), "script", "chunk_count"
+    ).agg(
+        F.sum("_markers").alias("marker_count"), F.sum("_size").alias("char_count"),
+        F.count(F.lit(1)).alias("parts"),
+    )
+
+
 def citations(markdown: DataFrame, keys: list[str]) -> DataFrame:
     """Markers of the Markdown as rows, in order: the inverse of the marker builder."""
     markers = grounding.markers_of(F.col("markdown"))

@@ -33,8 +33,8 @@ def recognised(
     return stored(pages.page_facts(layer, results, min_confidence, unavailable))
 
 
-def ground(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """Grounded Markdown of paged documents in parts; see ``grounded.assemble``.
+def finished(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Sections of paged documents with finished text and the facts of their document.
 
     The sections are read three times: measured, sampled, and finished. ``layer`` may be the rows
     that ``recognised`` has stored; given ``results``, these are laid over it and stored first.
@@ -48,10 +48,17 @@ def ground(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None)
     ).drop("sample")
     joined = grounded.with_facts(sections, facts.join(meta, "doc_id"))
     # Pages are cleaned and transliterated one by one, before anything is gathered.
-    finished = joined.withColumn(
-        "text", latin_if_uzbek(clean_text(F.col("text")), F.col("script"))
-    )
-    return grounded.assemble(finished)
+    return joined.withColumn("text", latin_if_uzbek(clean_text(F.col("text")), F.col("script")))
+
+
+def ground(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Grounded Markdown of paged documents in parts; see ``finished`` and ``grounded.assemble``."""
+    return grounded.assemble(finished(layer, meta, results))
+
+
+def totals(layer: DataFrame, meta: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """``document_totals`` of what ``ground`` gives, without putting the Markdown together."""
+    return grounded.totals(finished(layer, meta, results))
 
 
 def document_totals(parts: DataFrame) -> DataFrame:

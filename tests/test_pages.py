@@ -294,3 +294,19 @@ def test_outcomes_are_stored(spark):
     done = paged_books.outcomes(facts, meta, paged_books.ground(facts, meta), pages.page_warnings(facts))
     assert "Aggregate" not in done._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc_id, r.status) for r in done.collect()] == [("d", "md_ready")]
+
+
+def test_totals_are_those_of_the_markdown_without_gathering_it(spark):
+    """Three parts, pages that are cut and one whose text is of no width."""
+    texts = [(n, "\u200b" if n == 7 else "so‘z  va\nmatn " * (n % 90 + 1)) for n in range(5, 2100, 3)]
+    layer = spark.createDataFrame([(b, n, t) for b in "ab" for n, t in texts], "doc_id string, page_no int, text string")
+    meta = spark.createDataFrame(
+        [(b, "m", "n", "t | u", "T", "literature", f"{b}.pdf") for b in "ab"],
+        "doc_id string, module_code string, module_name string, topic_code string, topic_name string, type string, original_filename string")
+    totals = paged_books.totals(layer, meta)
+    want = paged_books.document_totals(paged_books.ground(layer, meta))
+    assert sorted(totals.select(want.columns).collect()) == sorted(want.collect())
+    assert totals.select(want.columns).dtypes == want.dtypes and totals.first().parts == 3
+    # The sample of the head is all that is gathered.
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
