@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.text import is_ascii
+
 # Text without any of these characters is already in NFC: all but what lies below the combining
 # marks, Cyrillic without its own marks, and general punctuation without the quads, which change.
 # A joiner or a space of fixed width neither changes nor combines.
@@ -22,4 +24,6 @@ def nfc_udf(texts: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """NFC form of ``c``. Only text that can change is sent to Python; the rest goes as NULL."""
-    return F.coalesce(nfc_udf(F.when(c.rlike(f"[{MAY_CHANGE}]"), c)), c)
+    # Bytes are counted first: the pattern, whose first range settles most letters, is for the others.
+    changes = ~is_ascii(c) & c.rlike(rf"[\u0300-\x{{10ffff}}&&[{MAY_CHANGE}]]")
+    return F.coalesce(nfc_udf(F.when(changes, c)), c)

@@ -26,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether every character takes one byte: bytes are counted, which is far cheaper than a pattern."""
+    return F.length(c) == F.octet_length(c)
+
+
 def replace_matches(c: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern``, which has no group and is never empty, by ``body`` of it.
 

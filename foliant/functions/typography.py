@@ -19,11 +19,22 @@ IRREGULAR = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+def _holds_any(c: Column, literals: str | list[str]) -> Column:
+    found = F.lit(False)
+    for literal in literals:
+        found = found | F.contains(c, F.lit(literal))
+    return found
+
+
 def drop_zero_width(c: Column) -> Column:
     # Literals are looked for in the bytes; a pattern would decode and encode the text.
-    for character in ZERO_WIDTH:
-        c = F.replace(c, F.lit(character), F.lit(""))
-    return c
+    def without(text: Column) -> Column:
+        dropped = text
+        for character in ZERO_WIDTH:
+            dropped = F.replace(dropped, F.lit(character), F.lit(""))
+        return F.when(_holds_any(text, ZERO_WIDTH), dropped).otherwise(text)
+
+    return let(c, without)
 
 
 def normalise_newlines(c: Column) -> Column:
@@ -64,16 +75,25 @@ def squeeze_lines(c: Column) -> Column:
     space = rf"[\t\x0b\x0c\r \x85\xa0\u1680-\u3000&&[ {LINE_SPACE}]]"
     # The common ones are literals.
     common = F.replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    runs = F.regexp_replace(common, rf"{space}(?:{space}+|(?<! ))", " ")
+    # The pattern tests a class at every character; most texts have nothing for it, which literals and
+    # one range of wide characters tell. Every match is or holds what ``uncommon`` looks for.
+    wide = rf"[\u1680-\u3000&&[{LINE_SPACE}]]"
+
+    def uncommon(text: Column) -> Column:
+        return _holds_any(text, ["  ", "\x0b", "\x0c", "\r", "\x85"]) | text.rlike(wide)
+
+    runs = let(
+        common,
+        lambda text: F.when(
+            uncommon(text), F.regexp_replace(text, rf"{space}(?:{space}+|(?<! ))", " ")
+        ).otherwise(text),
+    )
 
     def strip_lines(text: Column) -> Column:
         # Without separators a line has at most one space at either end.
         plain = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
         lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" " + SEPARATORS)))
-        separated = F.lit(False)
-        for separator in SEPARATORS:
-            separated = separated | F.contains(text, F.lit(separator))
-        return F.when(separated, F.array_join(lines, "\n")).otherwise(plain)
+        return F.when(_holds_any(text, SEPARATORS), F.array_join(lines, "\n")).otherwise(plain)
 
     return F.btrim(let(runs, strip_lines), F.lit(" " + SEPARATORS))
 

@@ -239,3 +239,20 @@ def test_only_words_of_both_scripts_are_taken_out(spark):
     given = ["҂a Tошкент", "aб҂б", "Zаб zßа", "абá bа1аb", "ΩаaΩ"]
     assert run(spark, ocrtext.fix_mixed_script_words, given) == in_duckdb(duck.mixed_words, given)
     assert "[^\\p{L}]+)" not in repr(ocrtext.fix_mixed_script_words(F.col("t")))
+
+
+def test_plain_texts_are_spared_the_patterns_of_the_clean_up():
+    """White space is looked for as literals first, and what takes one byte a letter cannot change under NFC."""
+    assert "contains" in repr(typography.squeeze_lines(F.col("t"))).split("regexp_replace")[0].lower()
+    assert "octet_length" in repr(nfc.nfc(F.col("t"))).split("nfc_udf")[1].lower()
+
+
+def test_every_kind_of_space_is_still_squeezed_and_marks_composed(spark):
+    spaces = [chr(i) for i in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                               0x202F, 0x205F, 0x3000) if i != 10]
+    assert run(spark, typography.squeeze_lines, [f"a{s}b" for s in spaces]) == ["a b"] * len(spaces)
+    assert run(spark, typography.squeeze_lines, [f"a {s}b" for s in spaces]) == ["a b"] * len(spaces)
+    texts = ["plain", "e\u0301", "\u212b", "caf\u00e9", "\U0001d15e", "\u0439 \u0438\u0306", None]
+    assert run(spark, nfc.nfc, texts) == [t and unicodedata.normalize("NFC", t) for t in texts]
+    marked = [f"a{z}b" for z in typography.ZERO_WIDTH]
+    assert run(spark, typography.drop_zero_width, marked) == ["ab"] * len(marked)
