@@ -32,6 +32,18 @@ LETTERS = {
 CAPS_MARK = "\ufdd0"
 
 
+def _class_without(first: int, last: int, letters: str) -> str:
+    """Body of the class of what lies from ``first`` to ``last`` but for ``letters``, in few ranges."""
+    cuts = [first - 1, *sorted(ord(letter) for letter in letters if first <= ord(letter) <= last), last + 1]
+    return "".join(
+        rf"\u{before + 1:04x}-\u{after - 1:04x}" for before, after in zip(cuts, cuts[1:]) if after - before > 1
+    )
+
+
+# After these e stays e: Cyrillic letters that are neither vowel nor sign, and the mark.
+E_AFTER = _class_without(0x0400, 0x04FF, YE_AFTER) + CAPS_MARK
+
+
 def count_letters(c: Column, letters: str) -> Column:
     # Literals are looked for in the bytes, which is much cheaper than a regex class or a translation.
     return let(c, lambda text: F.length(text) - F.length(_without(text, letters)))
@@ -117,10 +129,8 @@ def expand_e(c: Column) -> Column:
 
 def _expand_ye(c: Column) -> Column:
     def at_ye(letter: str) -> str:
-        # The letter leads the pattern, so the look-behinds run only where it occurs.
-        return (
-            f"{letter}(?:(?<![{CYRILLIC}{CAPS_MARK}]{letter})|(?<=[{YE_AFTER}]{letter}))"
-        )
+        # The letter leads the pattern, so the look-behind runs only where it occurs.
+        return f"{letter}(?<![{E_AFTER}]{letter})"
 
     # Lower case first: an e it turned into Latin still opens the run for a following E, and
     # that E would be read as ye after an e in any case.
@@ -142,6 +152,20 @@ def _mark_caps(c: Column, letters: str) -> Column:
     return F.regexp_replace(c, walk, "$1" + CAPS_MARK + "$2")
 
 
+def _has_caps(c: Column, letters: str) -> Column:
+    """False for most texts in which ``_mark_caps`` finds nothing, and only for such.
+
+    One of ``letters`` without a small letter beside it. One range, which holds all but a few of the letters,
+    leads the pattern, since every range and letter of a class costs a test at every character.
+    """
+    rare = "".join(letter for letter in letters if not "\u0400" <= letter <= "\u042f")
+    small = r"[\u0430-\u04ff&&\p{Ll}]"
+    found = c.rlike(rf"[\u0400-\u042f](?<=[{letters}])(?!{small})(?<!{small}.)")
+    for letter in rare:
+        found = F.contains(c, F.lit(letter)) | found
+    return found
+
+
 def to_latin(c: Column) -> Column:
     """Transliterate every Cyrillic run; other text is left as it is."""
 
@@ -152,7 +176,7 @@ def to_latin(c: Column) -> Column:
     def all_caps(text: Column) -> Column:
         out = F.regexp_replace(
             text,
-            f"{CAPS_MARK}Е(?:(?<![{CYRILLIC}]{CAPS_MARK}Е)|(?<=[{YE_AFTER}]{CAPS_MARK}Е))",
+            f"{CAPS_MARK}Е(?<![{E_AFTER.replace(CAPS_MARK, '')}]{CAPS_MARK}Е)",
             "YE",
         )
         for cyr, lat in long_letters.items():
@@ -160,11 +184,13 @@ def to_latin(c: Column) -> Column:
         return out
 
     def convert(text: Column) -> Column:
-        out = let(
-            # All others are one letter in Latin too, so their case needs no mark.
-            _mark_caps(repair_final_ii(text), "Е" + "".join(long_letters).upper()),
-            lambda t: F.when(F.contains(t, F.lit(CAPS_MARK)), all_caps(t)).otherwise(t),
+        # All others are one letter in Latin too, so their case needs no mark.
+        letters = "Е" + "".join(long_letters).upper()
+        marked = let(
+            repair_final_ii(text),
+            lambda t: F.when(_has_caps(t, letters), _mark_caps(t, letters)).otherwise(t),
         )
+        out = let(marked, lambda t: F.when(F.contains(t, F.lit(CAPS_MARK)), all_caps(t)).otherwise(t))
         # Single letters first: little Cyrillic is left for the others to be looked for in.
         out = F.translate(
             _expand_ye(out),

@@ -256,3 +256,15 @@ def test_every_kind_of_space_is_still_squeezed_and_marks_composed(spark):
     assert run(spark, nfc.nfc, texts) == [t and unicodedata.normalize("NFC", t) for t in texts]
     marked = [f"a{z}b" for z in typography.ZERO_WIDTH]
     assert run(spark, typography.drop_zero_width, marked) == ["ab"] * len(marked)
+
+
+def test_capitals_are_marked_only_where_some_stand_alone(spark):
+    letters = "ЕЁЎҒЦЧШЩЮЯ"
+    plain = ["Шаҳар Ўзбекистон", "аЕа бЯ яЮ", "АБВ Мен", "бет", ""]
+    caps = ["ШАҲАР", "бу Е", "Я", "1Ч2", "АБҒ", "МАЕ-а", "хЁ ЁХ"]
+    assert run(spark, lambda c: script._has_caps(c, letters), plain + caps) == [False] * 5 + [True] * 7
+    rng = random.Random(20)
+    texts = ["".join(rng.choice("еЕаАшШғҒбБѐЀ -e\n") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    marked = run(spark, lambda c: script._mark_caps(c, letters), texts)
+    found = run(spark, lambda c: script._has_caps(c, letters), texts)
+    assert all(has for text, mark, has in zip(texts, marked, found) if mark != text)
