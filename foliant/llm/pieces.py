@@ -18,6 +18,7 @@ import gc
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.shared import Sent
-from foliant.llm.words import mixed
+from foliant.llm.words import blocks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(" *[^ \n]+| +|\n")
@@ -38,11 +39,16 @@ UNIT = 1_000_000
 # Segments remembered by a task.
 REMEMBERED = 1 << 18
 NEVER = 1 << 60
-# Longest segment, in characters, that is scored together with others, and how many at a time.
-AT_ONCE, MANY = 32, 4096
-# Texts encoded together.
-TOGETHER = 500
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# Longest segment, in characters, of which tests compare all of a length.
+AT_ONCE = 32
+# Characters of segments whose lattices are worked on together; one segment may be longer.
+MANY = 1 << 16
+# Fewer segments than these, on average over the places of the longest, are worked on one by one.
+FEW = 3
+# Places of the trie that are tried at once.
+WINDOW = 2048
+# Bytes of texts encoded together; one text may be longer.
+TOGETHER = 2 << 20
 
 
 class Vocabulary:
@@ -52,19 +58,56 @@ class Vocabulary:
         self.texts, self.stands, self.scores, self.first_byte = texts, stands, scores, first_byte
         self.longest = max(map(len, texts))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all pieces in order, with their ids and scores."""
-        if not hasattr(self, "_table"):
-            hashes = []
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie of all pieces as a double array, one place for every beginning of a piece.
+
+        First the number of every character, 0 for those in no piece; the last one stands for all
+        beyond. Then by place, the root being 0: ``base``, ``parent`` and the piece that ends there
+        or -1. What follows place p by the character of number c, if anything, has the place
+        q = base[p] + c, and parent[q] is p.
+        """
+        if not hasattr(self, "_steps"):
+            seen = Counter(chain.from_iterable(self.texts))
+            number = {c: k for k, (c, _) in enumerate(seen.most_common(), 1)}
+            follow: dict[str, set] = {}
             for text in self.texts:
-                h = np.zeros(1, np.uint64)
-                for c in text:
-                    h = mixed(h * _FACTOR + np.uint64(ord(c)))
-                hashes.append(h[0])
-            order = np.argsort(hashes)
-            ids = np.array(list(self.texts.values()), np.int64)[order]
-            self._table = np.array(hashes)[order], ids, np.array(self.scores, np.int64)[ids]
-        return self._table
+                for k, c in enumerate(text):
+                    follow.setdefault(text[:k], set()).add(number[c])
+            taken, low, base = np.zeros(2 * len(self.texts) + len(number) + WINDOW, bool), 1, {}
+            taken[0] = True
+            for text, own in sorted(follow.items(), key=lambda item: -len(item[1])):
+                own = np.sort(np.fromiter(own, np.int64, len(own)))
+                if len(own) == 1:
+                    break
+                at, free = max(0, low - int(own[0])), np.zeros(1, bool)
+                while not free.any():
+                    if at + own[-1] + WINDOW > len(taken):
+                        taken = np.concatenate([taken, np.zeros_like(taken)])
+                    free = ~taken[at + own[0]:at + own[0] + WINDOW]
+                    for c in own[1:]:
+                        free &= ~taken[at + c:at + c + WINDOW]
+                    base[text] = at + int(np.argmax(free))
+                    at += WINDOW
+                taken[base[text] + own] = True
+                low = max(low, base[text] - WINDOW)
+            # Beginnings that one character follows take the places that are left.
+            taken = np.concatenate([taken, np.zeros(len(follow), bool)])
+            left = np.flatnonzero(~taken[len(number) + 1:]) + len(number) + 1
+            single = [(text, *own) for text, own in follow.items() if text not in base]
+            base.update((text, at - c) for (text, c), at in zip(single, left.tolist()))
+            size = max(base.values()) + len(number) + 1
+            bases, parent, piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+            for text, own in follow.items():
+                place = base[text[:-1]] + number[text[-1]] if text else 0
+                bases[place] = base[text]
+                parent[base[text] + np.fromiter(own, np.int64, len(own))] = place
+            for text, i in self.texts.items():
+                piece[base[text[:-1]] + number[text[-1]]] = i
+            numbers = np.zeros(max(map(ord, number)) + 2, np.int32)
+            for c, k in number.items():
+                numbers[ord(c)] = k
+            self._steps = numbers, bases, parent, piece
+        return self._steps
 
     def edges(self, segment: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For every place of a segment, the pieces that end there: start, score, ids.
@@ -110,7 +153,7 @@ def load(path: str = VOCABULARY) -> Vocabulary:
         round(-UNIT * (math.log(rank.get(i, len(plain)) + 2.7) + total)) for i in range(size)
     ]
     vocabulary = Vocabulary(texts, stands, scores, first_byte)
-    vocabulary.table()
+    vocabulary.steps()
     return vocabulary
 
 
@@ -183,57 +226,167 @@ def n_best(vocabulary: Vocabulary, segment: str, n: int) -> list[tuple[int, tupl
 
 
 def best_two_of_many(vocabulary: Vocabulary, segments: list[str]) -> Iterator[tuple]:
-    """``best_two`` of segments of one length, all at once: the same results in the same order."""
-    n, m = len(segments[0]), len(segments)
-    codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = codes.reshape(m, n).astype(np.uint64)
-    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64)
-    byte_score = vocabulary.scores[vocabulary.first_byte]
-    hashes, numbers, scores = vocabulary.table()
-    score: dict[tuple[int, int], np.ndarray] = {}
-    best = np.full((n + 1, m), -NEVER)
-    best[0] = 0
-    by, piece = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
-    for i in range(n):
-        h = np.zeros(m, np.uint64)
-        for j in range(i + 1, min(n, i + vocabulary.longest) + 1):
-            h = mixed(h * _FACTOR + codes[:, j - 1])
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            hit = hashes[at] == h
-            own = np.where(hit, scores[at], byte_score * size[:, i] if j == i + 1 else -NEVER)
-            score[i, j] = own
-            total = best[i] + own
-            better = total > best[j]
-            best[j][better] = total[better]
-            by[j][better] = i
-            piece[j][better] = np.where(hit, numbers[at], -1)[better]
-    behind = np.full((n + 1, m), -NEVER)
-    behind[n] = 0
-    used = np.zeros((n + 1, m), bool)
-    place, rows = np.full(m, n), np.arange(m)
-    while len(rows):
-        used[place[rows], rows] = True
-        place[rows] = by[place[rows], rows]
-        rows = rows[place[rows] > 0]
-    second = np.full(m, -NEVER)
-    for (i, j), own in sorted(score.items(), key=lambda item: -item[0][1]):
-        behind[i] = np.maximum(behind[i], own + behind[j])
-    for (i, j), own in score.items():
-        other = ~(used[j] & (by[j] == i))
-        second = np.maximum(second, np.where(other, best[i] + own + behind[j], -NEVER))
-    gap = np.where(second <= -NEVER // 2, NEVER, best[n] - second)
-    row, end = np.nonzero(used[1:].T)
-    ids = piece[1:].T[row, end]
-    count = np.bincount(row, minlength=m)
-    spelled = np.zeros(m, bool)
-    spelled[row[ids < 0]] = True
-    ends = np.cumsum(count)
-    for k in range(m):
-        if spelled[k]:
-            yield best_two(vocabulary, segments[k])
+    """``best_two`` of every segment, all at once: the same results in the same order."""
+    raw = [s.encode("utf-8", "surrogatepass") for s in segments]
+    offsets = np.cumsum([0] + [len(r) for r in raw])
+    ids, begin, count, score, gap = best_two_of_all(vocabulary, np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for k in range(len(segments)):
+        yield ids[begin[k]:begin[k] + count[k]], int(score[k]), int(gap[k])
+
+
+def best_two_of_all(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``best_two`` of segments that stand one after another in ``data`` (UTF-8), none empty.
+
+    Returns the ids of all best paths and, by segment, where its ids begin, how many there are,
+    the score of the path and what the second one costs.
+    """
+    spots = np.flatnonzero((data & 0xC0) != 0x80)
+    text = data.tobytes().decode("utf-8", "surrogatepass")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.diff(spots, append=len(data))
+    first = np.searchsorted(spots, offsets)
+    length = np.diff(first)
+    first = first[:-1]
+    numbers = vocabulary.steps()[0]
+    numbers = numbers[np.minimum(codes, len(numbers) - 1)]
+    # Longest first, so that those that reach a place come before those that do not.
+    order = np.argsort(-length, kind="stable")
+    until = np.cumsum(length[order])
+    begin, count, score, gap = (np.zeros(len(order), np.int64) for _ in range(4))
+    out, n_ids, row = [], 0, 0
+    while row < len(order):
+        done = until[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(until, done + MANY, "right")))
+        some = order[row:stop]
+        if until[stop - 1] - done < FEW * length[some[0]]:
+            found = [best_two(vocabulary, text[a:a + n]) for a, n in zip(first[some], length[some])]
+            ids = np.fromiter(chain.from_iterable(f[0] for f in found), np.int32)
+            count[some], score[some], gap[some] = zip(*((len(f[0]), *f[1:]) for f in found))
         else:
-            yield ids[ends[k] - count[k]:ends[k]], int(best[n, k]), int(gap[k])
+            ids, mine, at, score[some], gap[some] = _side_by_side(
+                vocabulary, numbers, size, first[some], length[some])
+            # A character that is spelled has -1 for its piece.
+            many = np.where(ids < 0, size[at], 1)
+            count[some] = np.bincount(mine, many, len(some)).astype(np.int64)
+            if (ids < 0).any():
+                ids = np.repeat(ids, many)
+                inside = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+                byte = data[np.repeat(spots[at], many) + inside]
+                ids = np.where(ids < 0, vocabulary.first_byte + byte.astype(np.int32), ids)
+        begin[some] = n_ids + np.cumsum(count[some]) - count[some]
+        n_ids += len(ids)
+        out.append(ids)
+        row = stop
+    return np.concatenate(out) if out else np.zeros(0, np.int32), begin, count, score, gap
+
+
+def _side_by_side(vocabulary: Vocabulary, numbers, size, first, length) -> tuple:
+    """Best paths of segments, the longest first, given by their first characters and lengths.
+
+    Place i of all segments that are longer than i is a run of a flat array, so all of them take a
+    step at once; edges are in the order of their beginnings. Returns the pieces of the best paths,
+    one path after another, -1 for a character that is spelled; for each of them the segment and
+    the character it begins with; the scores and what second paths cost.
+    """
+    _, base, parent, piece_at = vocabulary.steps()
+    scores = np.array(vocabulary.scores, np.int64)
+    m, longest = len(length), int(length[0])
+    wide = np.searchsorted(-length, -np.arange(longest), "left")
+    run = np.concatenate([[0], np.cumsum(wide)])
+    n = int(run[-1])
+    place = np.repeat(np.arange(longest), wide)
+    segment = np.arange(n) - run[place]
+    char = first[segment] + place
+    number = numbers[char]
+    # Edges by the trie, from all places at once; ``last`` is the place of their last character.
+    many, edges = np.zeros(n, np.int64), []
+    open_, at, last = np.arange(n), np.zeros(n, np.int32), np.arange(n)
+    for d in range(vocabulary.longest):
+        if d:
+            inside = place[open_] + d < length[segment[open_]]
+            open_, at = open_[inside], at[inside]
+            last = run[place[open_] + d] + segment[open_]
+        to = base[at] + number[last]
+        hit = parent[to] == at
+        piece = np.where(hit, piece_at[to], -1)
+        # A character that is no piece stands as its bytes.
+        some = np.arange(n) if d == 0 else np.flatnonzero(piece >= 0)
+        edges.append((open_[some], many[open_[some]], piece[some], last[some]))
+        many[open_[some]] += 1
+        open_, at = open_[hit], to[hit]
+        if not len(open_):
+            break
+    begin = np.concatenate([[0], np.cumsum(many)])
+    # Nodes are the beginnings of the segments, then what stands behind each place.
+    piece, reach = np.zeros(begin[-1], np.int32), np.zeros(begin[-1], np.int64)
+    for own, rank, pieces, ends in edges:
+        e = begin[own] + rank
+        piece[e], reach[e] = pieces, m + ends
+    owner = np.repeat(np.arange(n), many)
+    own = scores[piece]
+    raw = np.flatnonzero(piece < 0)
+    own[raw] = scores[vocabulary.first_byte] * size[char[owner[raw]]]
+
+    best, behind = np.full(m + n, -NEVER), np.full(m + n, -NEVER)
+    by, total = np.zeros(m + n, np.int64), np.zeros(len(own), np.int64)
+    best[:m] = 0
+    ends = m + run[length - 1] + np.arange(m)
+    behind[ends] = 0
+    starts = np.concatenate([[0], m + run[:-1]])[:longest]
+    for i in range(longest):
+        a, b = begin[run[i]], begin[run[i + 1]]
+        score = np.repeat(best[starts[i]:starts[i] + wide[i]], many[run[i]:run[i + 1]]) + own[a:b]
+        total[a:b] = score
+        to = reach[a:b]
+        # Of equal paths the one stays whose last piece begins first.
+        better = np.flatnonzero(score > best[to])
+        to = to[better]
+        best[to] = score[better]
+        by[to] = a + better
+    for i in range(longest - 1, -1, -1):
+        a, b = begin[run[i]], begin[run[i + 1]]
+        behind[starts[i]:starts[i] + wide[i]] = np.maximum.reduceat(
+            own[a:b] + behind[reach[a:b]], begin[run[i]:run[i + 1]] - a)
+    used = np.zeros(len(own), bool)
+    node = ends
+    while len(node):
+        e = by[node]
+        used[e] = True
+        e = owner[e]
+        e = e[place[e] > 0]
+        node = m + run[place[e] - 1] + segment[e]
+    # The second path has an edge that the best one has not; the best path over each is known.
+    total += behind[reach]
+    total[used] = -NEVER
+    over = np.maximum.reduceat(total, begin[:-1])
+    second = np.full(m, -NEVER)
+    for i in range(longest):
+        second[:wide[i]] = np.maximum(second[:wide[i]], over[run[i]:run[i + 1]])
+    best = best[ends]
+    path = np.flatnonzero(used)
+    mine = segment[owner[path]]
+    by_segment = np.argsort(mine.astype(np.uint16) if m <= 1 << 16 else mine, kind="stable")
+    path = path[by_segment]
+    gap = np.where(second <= -NEVER // 2, NEVER, best - second)
+    return piece[path], mine[by_segment], char[owner[path]], best, gap
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cut texts (UTF-8, one after another) like ``SEGMENT`` does, each after a space of its own.
+
+    Returns the texts with their spaces, the offsets of all segments, and the number of the first
+    segment of each text and, at the end, of all segments. Empty texts have none.
+    """
+    length = np.diff(offsets)
+    some = offsets[:-1][length > 0]
+    spaced = np.insert(data, some, 0x20)
+    offsets = np.concatenate([[0], np.cumsum(length + (length > 0))])
+    space, line = spaced == 0x20, spaced == 0x0A
+    begins = line.copy()
+    begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    begins[offsets[:-1][length > 0]] = True
+    starts = np.flatnonzero(begins)
+    return spaced, np.append(starts, len(spaced)), np.searchsorted(starts, offsets)
 
 
 class Encoder:
@@ -245,30 +398,33 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.int64)]
-        self.count, self.score, self.gap = ([np.zeros(0, np.int64)] for _ in range(3))
-
-    def _learn(self, segments: set[str]) -> None:
-        new = sorted(segments, key=len)
-        found, row = [], 0
-        while row < len(new):
-            width = len(new[row])
-            stop = row + 1
-            while stop < len(new) and stop < row + MANY and len(new[stop]) == width:
-                stop += 1
-            if width > AT_ONCE:
-                found += [best_two(self.vocabulary, s) for s in new[row:stop]]
-            else:
-                found += best_two_of_many(self.vocabulary, new[row:stop])
-            row = stop
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        for own, values in (
-            (self.count, [len(f[0]) for f in found]), (self.score, [f[1] for f in found]),
-            (self.gap, [f[2] for f in found]),
-        ):
-            own[:] = [np.concatenate([*own, np.array(values, np.int64)])]
-        self.ids = [np.concatenate([*self.ids, *(np.asarray(f[0], np.int64) for f in found)])]
+        self.known = pa.array([], pa.large_binary())
+        self.ids = np.zeros(0, np.int32)
+        self.begin, self.count, self.score, self.gap = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _numbers(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of segments among the known ones; those not known yet are learnt."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        n = len(offsets) - 1
+        segments = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        # Known ones keep their numbers, as they come first.
+        coded = pa.chunked_array([self.known, segments]).dictionary_encode()
+        if not n:
+            return np.zeros(0, np.int64)
+        coded = coded.chunk(coded.num_chunks - 1)
+        new = coded.dictionary.slice(len(self.known))
+        self.known = coded.dictionary
+        if len(new):
+            at = np.frombuffer(new.buffers()[1], np.int64, len(new) + 1, new.offset * 8)
+            raw = np.frombuffer(new.buffers()[2], np.uint8)[at[0]:at[-1]]
+            ids, begin, *others = best_two_of_all(self.vocabulary, raw, at - at[0])
+            self.begin = np.concatenate([self.begin, begin + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.count, self.score, self.gap = (
+                np.concatenate(both) for both in zip((self.count, self.score, self.gap), others))
+        return coded.indices.to_numpy()
 
     def _search(self, segment: str) -> list:
         if segment not in self.searched:
@@ -283,43 +439,46 @@ class Encoder:
         Those are (score, changes), where a change (start, stop, ids) replaces that part of the
         best path's ids.
         """
-        cut = [SEGMENT.findall(" " + text) if text else [] for text in texts]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if new:
-            self._learn(new)
-        known, (count,), (score,), (gap,), (ids,) = (
-            self.known, self.count, self.score, self.gap, self.ids)
-        begins = np.cumsum(count) - count
-        out = []
-        for segments in cut:
-            spot = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
-            own = count[spot]
-            before = np.cumsum(own) - own
-            flat = np.arange(own.sum()) + np.repeat(begins[spot] - before, own)
-            total = int(score[spot].sum())
-            out.append((ids[flat], total, self._others(segments, gap[spot], before, own, total)))
-        return out
-
-    def _others(self, segments, gaps, before, own, total) -> list:
-        if self.n < 2 or not len(segments):
+        raw = [text.encode("utf-8", "surrogatepass") for text in texts]
+        offsets = np.cumsum([0] + [len(r) for r in raw])
+        ids, ends, scores, others = self.encode_block(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        return [(ids[ends[k]:ends[k + 1]], int(scores[k]), others[k]) for k in range(len(texts))]
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        """``encode`` for texts that stand one after another in UTF-8: all ids, where those of each
+        text begin and, at the end, how many there are, the scores, and the following paths."""
+        data, segments, first = cut(data, offsets)
+        spot = self._numbers(data, segments)
+        own = self.count[spot]
+        before = np.concatenate([[0], np.cumsum(own)])
+        flat = np.arange(before[-1]) + np.repeat(self.begin[spot] - before[:-1], own)
+        scores = np.diff(np.concatenate([[0], np.cumsum(self.score[spot])])[first])
+        gaps, ends = self.gap[spot], before[first]
+        others = [
+            self._others(spot[a:b], gaps[a:b], before[a:b] - begin, own[a:b], total)
+            for a, b, begin, total in zip(first[:-1].tolist(), first[1:].tolist(), ends.tolist(), scores.tolist())
+        ]
+        return self.ids[flat], ends, scores, others
+
+    def _others(self, spot, gaps, before, own, total) -> list:
+        if self.n < 2 or not len(spot):
             return []
         few = min(self.n - 1, len(gaps))
         # The smallest gaps, of equal ones the first.
         limit = np.partition(gaps, few - 1)[few - 1]
         near = np.concatenate([np.flatnonzero(gaps < limit), np.flatnonzero(gaps == limit)])[:few]
+        near = [i for i in np.sort(near).tolist() if gaps[i] < NEVER]
+        found = {i: self._search(self.known[int(spot[i])].as_py().decode("utf-8", "surrogatepass")) for i in near}
         # Sums of alternatives, cheapest first; each keeps which alternative it takes where.
         sums: list = [(0, ())]
-        for i in sorted(int(i) for i in near if gaps[i] < NEVER):
-            paths = self._search(segments[i])
+        for i, paths in found.items():
             sums = heapq.nsmallest(self.n, [
                 (cost + paths[0][0] - paths[k][0], taken + ((i, k),) if k else taken)
                 for cost, taken in sums for k in range(len(paths))
             ])
         return [
             (total - cost, [
-                (int(before[i]), int(before[i] + own[i]), self._search(segments[i])[k][1])
+                (int(before[i]), int(before[i] + own[i]), found[i][k][1])
                 for i, k in taken
             ])
             for cost, taken in sums[1:]
@@ -353,21 +512,19 @@ def encode(docs: DataFrame, n: int = 4, path: str = VOCABULARY) -> DataFrame:
     def run(batches):
         encoder = Encoder(sent.value, n)
         for batch in batches:
-            for row in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(row, TOGETHER)
-                found = encoder.encode(part.column(at).fill_null("").to_pylist())
-                ends = np.cumsum([0] + [len(f[0]) for f in found]).astype(np.int32)
-                flat = np.concatenate([f[0] for f in found]).astype(np.int32)
+            for row, stop, data, offsets in blocks(batch.column(at), TOGETHER):
+                part = batch.slice(row, stop - row)
+                ids, ends, scores, found = encoder.encode_block(data, offsets)
                 others = [
                     [{"score": s / UNIT,
                       "changes": [{"start": a, "stop": b, "ids": list(i)} for a, b, i in changes]}
-                     for s, changes in f[2]]
-                    for f in found
+                     for s, changes in paths]
+                    for paths in found
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                     pa.array([len(f[0]) for f in found], pa.int64()),
-                     pa.array([f[1] / UNIT for f in found], pa.float64()), pa.array(others, other)],
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                     pa.array(np.diff(ends), pa.int64()), pa.array(scores / UNIT, pa.float64()),
+                     pa.array(others, other)],
                     names=[*part.schema.names, *names],
                 )
         # Workers live on: what was remembered is given back before other stages need the memory.

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.llm import licences, pieces, secrets, toxicity
@@ -276,3 +278,53 @@ def test_segments_together_and_alone():
         same = [s for s in segments if len(s) == size]
         for s, (ids, score, gap) in zip(same, pieces.best_two_of_many(vocabulary, same)):
             assert (tuple(ids), score, gap) == pieces.best_two(vocabulary, s)
+
+
+def test_texts_with_null_characters():
+    vocabulary = pieces.load()
+    texts = ["\x00g", "a\x00 \x00\x00the", "\x00", "the \x00of\n\x00of", "\n".join(f"\x00{c}the" for c in "abcdefgh")]
+    for text, (ids, score, _) in zip(texts, pieces.Encoder(vocabulary, 3).encode(texts)):
+        assert b"".join(vocabulary.stands[i] for i in ids).decode()[1:] == text
+        assert sum(vocabulary.scores[i] for i in ids) == score
+    for segment in ("\x00g", "\x00\x00the"):
+        (ids, score, gap), = pieces.best_two_of_many(vocabulary, [segment])
+        assert (tuple(ids), score, gap) == pieces.best_two(vocabulary, segment)
+
+
+def test_segments_of_many_lengths_together():
+    vocabulary, rng = pieces.load(), random.Random(8)
+    names = list(vocabulary.texts)
+    segments = ["".join(rng.choices([*names, *["\x00", "é", "漢", "😀", "\ud800", "x" * 40] * 999], k=rng.randint(1, 9)))
+                for _ in range(400)]
+    for s, (ids, score, gap) in zip(segments, pieces.best_two_of_many(vocabulary, segments), strict=True):
+        assert (tuple(ids), score, gap) == pieces.best_two(vocabulary, s)
+
+
+def test_texts_cut_into_segments():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("  \n\tab.é😀\x00", k=rng.randint(0, 12))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    spaced, at, first = pieces.cut(data, np.cumsum([0] + [len(r) for r in raw]))
+    found = [spaced[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:])]
+    for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert found[a:b] == (pieces.SEGMENT.findall(" " + text) if text else [])
+
+
+def test_new_segments_are_learnt_together():
+    """Python's calls do not grow with the number of segments (the check's CPU seconds a GB do)."""
+    rng = random.Random(10)
+    text = " ".join({"".join(rng.choices("abdeghilmnorstu", k=rng.randint(3, 12))) for _ in range(20_000)})
+    encoder, calls = pieces.Encoder(pieces.load(), 4), 0
+
+    def count(frame, event, what):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        (ids, _, others), = encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert b"".join(encoder.vocabulary.stands[i] for i in ids).decode()[1:] == text and len(others) == 3
+    assert calls < text.count(" ") / 2
